@@ -38,8 +38,7 @@ def number_tokens(x: Column) -> Column:
 
 def mentions_any(x: Column, phrases: Sequence[str]) -> Column:
     """True where the lower-cased text contains one of the phrases."""
-    lowered = F.lower(x)
-    return reduce(lambda a, b: a | b, (lowered.contains(p) for p in phrases))
+    return F.lower(x).rlike("|".join(rf"\Q{phrase}\E" for phrase in phrases))
 
 
 def starts_with_any(x: Column, prefixes: Sequence[str]) -> Column:

@@ -62,7 +62,11 @@ def verify_chat_answers(answers: DataFrame, catalog: DataFrame) -> DataFrame:
         .distinct()
     )
     answer = F.col("answer")
-    cited_text = F.array_join("evidence_used", " ")
+    # Wrapped in an array so that the joined text is built once, not per token.
+    cited_text = F.array(F.array_join("evidence_used", " "))
+    uncited = F.exists(
+        cited_text, lambda c: F.exists(number_tokens(answer), lambda t: ~F.contains(c, t))
+    )
     verdict = (
         F.when(F.length(strip(F.col("question"))) == 0, "blank question")
         .when(F.col("_outside"), "outside")
@@ -71,7 +75,7 @@ def verify_chat_answers(answers: DataFrame, catalog: DataFrame) -> DataFrame:
             F.exists("assumptions", lambda a: ~starts_with_any(a, fixed.ASSUMPTION_LABELS)),
             "unlabelled",
         )
-        .when(F.exists(number_tokens(answer), lambda t: ~F.contains(cited_text, t)), "number")
+        .when(uncited, "number")
         .when(mentions_any(answer, (fixed.FORBIDDEN_CLAIM,)), "guarantee")
         .otherwise("accepted")
     )

@@ -15,6 +15,8 @@ METHODOLOGY_NOTE = (
     "it is neither recomputed by a model nor a prediction."
 )
 
+LISTED_IDS = 256
+
 METRIC_COLUMNS = (
     "category",
     "ticket_count",
@@ -129,26 +131,29 @@ def raw_row_mentions(packages: DataFrame, keys: Sequence[str], markers: Sequence
 def foreign_mentions(packages: DataFrame, keys: Sequence[str], company_ids: DataFrame) -> DataFrame:
     """Packages in which another company's id occurs as a substring.
 
-    No package is compared with every company. For each id length that occurs, the
+    Up to ``LISTED_IDS`` ids are tested one by one inside the row. Beyond that no
+    package is compared with every company: for each id length that occurs, the
     package's substrings of that length are taken in one regular-expression pass,
     made distinct inside the row and joined with the ids by equality.
     """
     ids = company_ids.select(F.col("company_id").alias("foreign_id")).distinct()
-    lengths = [r[0] for r in ids.select(F.length("foreign_id")).distinct().collect()]
-    grams = F.array_distinct(
-        F.concat(
-            *(
-                F.regexp_extract_all("package", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
-                for n in sorted(lengths)
-            )
+    listed = [r[0] for r in ids.limit(LISTED_IDS + 1).collect()]
+    if len(listed) <= LISTED_IDS:
+        tests = (F.when(F.col("package").contains(i), F.lit(i)) for i in sorted(listed))
+        found = F.array_compact(F.array(*tests))
+    else:
+        lengths = [r[0] for r in ids.select(F.length("foreign_id")).distinct().collect()]
+        passes = (
+            F.regexp_extract_all("package", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
+            for n in sorted(lengths)
         )
+        found = F.array_distinct(F.concat(*passes))
+    mentions = packages.select(*keys, "company_id", F.explode(found).alias("foreign_id")).filter(
+        F.col("foreign_id") != F.col("company_id")
     )
-    return (
-        packages.select(*keys, "company_id", F.explode(grams).alias("foreign_id"))
-        .filter(F.col("foreign_id") != F.col("company_id"))
-        .join(ids, "foreign_id", "left_semi")
-        .select(*keys, "company_id", "foreign_id")
-    )
+    if len(listed) > LISTED_IDS:
+        mentions = mentions.join(ids, "foreign_id", "left_semi")
+    return mentions.select(*keys, "company_id", "foreign_id")
 
 
 def checksums(packages: DataFrame, keys: Sequence[str]) -> DataFrame:

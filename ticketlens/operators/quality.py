@@ -42,15 +42,14 @@ def parse_flag(x: Column) -> Column:
 
 
 def parse_time(x: Column) -> Column:
-    """ISO text or an epoch number; a time without an offset is taken as UTC.
-
-    The session time zone must be UTC, as ``build_session`` sets it.
-    """
+    """ISO text or an epoch number; a time without an offset is taken as UTC."""
     number = F.when(x.rlike(_PLAIN_NUMBER), x.try_cast("double"))
     seconds = F.when(F.abs(number) > _SECONDS_BOUND, number / 1000).otherwise(number)
     iso = F.regexp_replace(F.regexp_replace(x, "[t_]", "T"), ",", ".")
     iso = F.regexp_replace(F.upper(iso), r"\s(?=[Z+-])", "")
     iso = F.regexp_replace(iso, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    iso = F.when(F.length(iso) == 10, F.concat(iso, F.lit("T00:00"))).otherwise(iso)
+    iso = F.when(iso.rlike(r"(Z|[+-]\d{2}:\d{2})$"), iso).otherwise(F.concat(iso, F.lit("Z")))
     return F.when(number.isNotNull(), F.timestamp_micros((seconds * 1000000).cast("bigint"))).when(
         x.rlike(_ISO), iso.try_cast("timestamp")
     )

@@ -74,7 +74,10 @@ def write_ticket_files(tickets: DataFrame, path: str) -> None:
     written = tickets.select(
         "company_id",
         *(
-            F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias(name)
+            F.date_format(
+                F.to_utc_timestamp("created_at", F.current_timezone()),
+                "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'",
+            ).alias(name)
             if name == "created_at" and isinstance(tickets.schema[name].dataType, T.TimestampType)
             else F.col(name)
             for name in TICKET_COLUMNS

@@ -334,6 +334,34 @@ _CTES: dict[str, str] = {
 }
 
 
+# Columns that Spark types as int where DuckDB gives bigint.
+_INTEGERS = {
+    "evidence_json": ("rank",),
+    "category_metrics": ("position",),
+    "channel_counts": ("position",),
+    "tier_counts": ("position",),
+    "opportunity_ranking": ("rank",),
+    "top3_opportunities": ("rank",),
+    "remaining_opportunities": ("rank",),
+    "score_bands": ("rank",),
+    "chart_series": ("pos",),
+    "metrics_table": ("position",),
+    "evidence_lines": ("rank", "line_no"),
+    "evidence_package": ("rank",),
+    "process_bullets": ("line_no",),
+    "process_sections": ("section_no", "pos"),
+    "parse_drafts": ("entries",),
+    "numeric_tokens": ("token_no",),
+    "report_limitations": ("line_no",),
+    "chat_context": ("analyses", "recommendations", "answers", "limitations", "turns", "catalog_lines"),
+}
+
+
+def _typed(name: str, final: str) -> str:
+    casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in _INTEGERS.get(name, ()))
+    return f"SELECT * REPLACE ({casts}) FROM ({final})" if casts else final
+
+
 def _statement(final: str) -> str:
     """Put the needed common table expressions before ``final``."""
     needed: list[str] = []
@@ -352,7 +380,8 @@ def _statement(final: str) -> str:
 
 
 _FINAL = {
-    "scan_tickets": "SELECT * FROM raw_tickets",
+    # In delimited text an empty cell is a missing one.
+    "scan_tickets": "SELECT * REPLACE (nullif(description, '') AS description) FROM raw_tickets",
     "tickets_csv_roundtrip": "SELECT * FROM tickets",
     "scan_companies": """
         SELECT id, short_name || ' Support Services' AS name, 'Online services' AS industry,
@@ -619,4 +648,4 @@ _FINAL = {
               GROUP BY batch_id) c USING (batch_id)""",
 }
 
-ORACLES: dict[str, str] = {name: _statement(sql) for name, sql in _FINAL.items()}
+ORACLES: dict[str, str] = {name: _statement(_typed(name, sql)) for name, sql in _FINAL.items()}
