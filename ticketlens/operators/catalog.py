@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,18 +81,16 @@ def _numbered(frame: DataFrame, source: int, major: Column, values: Column) -> D
     )
 
 
-def evidence_catalog(
+def catalog_lines(
     opportunities: DataFrame,
     analyses: DataFrame,
     recommendations: DataFrame,
     documents: DataFrame,
 ) -> DataFrame:
-    """Distinct lines per company with the ordinal of their first occurrence.
+    """All lines that may be cited, repeats included: ``(company_id, line, ordinal)``.
 
     ``analyses``, ``recommendations`` and ``documents`` carry ``ordinal``, their
-    place in the company's list. Keeping the first occurrence is a partial
-    aggregation on (company, line), so repeated lines shrink before the shuffle and
-    no company is gathered in one task.
+    place in the company's list. No shuffle.
     """
     parts = [
         _numbered(opportunities, 0, F.col("rank"), opportunity_lines()),
@@ -105,7 +105,13 @@ def evidence_catalog(
         ),
         _numbered(documents, 3, F.col("ordinal"), bullet_lines(F.col("text"))),
     ]
-    lines = parts[0]
-    for part in parts[1:]:
-        lines = lines.unionByName(part)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def evidence_catalog(lines: DataFrame) -> DataFrame:
+    """Distinct lines per company with the ordinal of their first occurrence.
+
+    A partial aggregation on (company, line): repeated lines shrink before the
+    shuffle, and no company is gathered in one task.
+    """
     return lines.groupBy("company_id", "line").agg(F.min("ordinal").alias("ordinal"))

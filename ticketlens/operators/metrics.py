@@ -1,30 +1,33 @@
 """Volume, effort, escalation and mix metrics per company.
 
-All metrics start from one pre-aggregated cube over (company, category, channel,
-tier). It is built with partial sums before the only shuffle of ticket rows, so
-a company or category that holds most of the rows reaches that shuffle as a few
-rows. Coarser groupings then add the cube's partial sums up.
+All metrics are read from one pre-aggregated cube over company and the dimensions
+in use. The cube is the only place where tickets are shuffled, and only after
+partial sums: a company or category that holds most of the rows reaches the shuffle
+as a few rows. Coarser groupings add the cube's sums up, exactly, since counts and
+minutes are kept as integers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlens.functions.numbers import limb_columns, limb_resums, limb_total, ratio, round_exact
 
-_DIMENSIONS = ("category", "channel", "customer_tier")
+DIMENSIONS = ("category", "channel", "customer_tier")
 
 
-def _counted(tickets: DataFrame, *keys: str) -> DataFrame:
-    return tickets.groupBy(*keys).agg(
+def ticket_cube(tickets: DataFrame, dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
+    return tickets.groupBy("company_id", *dimensions).agg(
         F.count(F.lit(1)).alias("ticket_count"),
         F.sum(F.col("escalated").cast("int")).alias("escalated_count"),
         *limb_columns(F.col("resolution_minutes"), "minutes"),
     )
 
 
-def _recounted():
+def _resums():
     return [
         F.sum("ticket_count").alias("ticket_count"),
         F.sum("escalated_count").alias("escalated_count"),
@@ -41,22 +44,22 @@ def _measures() -> dict:
     }
 
 
-def ticket_cube(tickets: DataFrame) -> DataFrame:
-    return _counted(tickets, "company_id", *_DIMENSIONS)
-
-
-def overall_metrics(tickets: DataFrame) -> DataFrame:
+def overall_metrics(cube: DataFrame) -> DataFrame:
     """Totals per company: count, hours (2 digits) and escalation rate (6 digits)."""
     measures = _measures()
-    return _counted(tickets, "company_id").select(
-        "company_id",
-        F.col("ticket_count").alias("total_ticket_count"),
-        round_exact(measures["total_handling_hours"], 2).alias("total_handling_hours"),
-        round_exact(measures["escalation_rate"], 6).alias("overall_escalation_rate"),
+    return (
+        cube.groupBy("company_id")
+        .agg(*_resums())
+        .select(
+            "company_id",
+            F.col("ticket_count").alias("total_ticket_count"),
+            round_exact(measures["total_handling_hours"], 2).alias("total_handling_hours"),
+            round_exact(measures["escalation_rate"], 6).alias("overall_escalation_rate"),
+        )
     )
 
 
-def category_metrics(tickets: DataFrame) -> DataFrame:
+def category_metrics(cube: DataFrame) -> DataFrame:
     """One row per company and category, with the canonical ``position``.
 
     The windows run over one row per category, not over tickets.
@@ -65,7 +68,8 @@ def category_metrics(tickets: DataFrame) -> DataFrame:
     canonical = company.orderBy(F.desc("ticket_count"), "category")
     total = F.sum("ticket_count").over(company)
     return (
-        _counted(tickets, "company_id", "category")
+        cube.groupBy("company_id", "category")
+        .agg(*_resums())
         .select(
             "company_id",
             "category",
@@ -78,18 +82,17 @@ def category_metrics(tickets: DataFrame) -> DataFrame:
     )
 
 
-def category_shares(tickets: DataFrame) -> DataFrame:
+def category_shares(cube: DataFrame) -> DataFrame:
     company = Window.partitionBy("company_id")
-    counted = tickets.groupBy("company_id", "category").agg(
-        F.count(F.lit(1)).alias("ticket_count")
+    counted = cube.groupBy("company_id", "category").agg(
+        F.sum("ticket_count").alias("ticket_count")
     )
+    total = F.sum("ticket_count").over(company)
     return counted.select(
         "company_id",
         "category",
         "ticket_count",
-        (
-            F.col("ticket_count") * F.lit(100.0) / F.sum("ticket_count").over(company)
-        ).alias("category_percentage"),
+        (F.col("ticket_count") * F.lit(100.0) / total).alias("category_percentage"),
         F.max("ticket_count").over(company).alias("maximum_category_count"),
     )
 
@@ -102,51 +105,46 @@ def volume_ratios(shares: DataFrame) -> DataFrame:
     )
 
 
-def escalation_rates(tickets: DataFrame) -> DataFrame:
-    return tickets.groupBy("company_id", "category").agg(
-        F.avg(F.col("escalated").cast("int")).alias("escalation_rate")
+def escalation_rates(cube: DataFrame) -> DataFrame:
+    return (
+        cube.groupBy("company_id", "category")
+        .agg(F.sum("ticket_count").alias("n"), F.sum("escalated_count").alias("escalated"))
+        .select("company_id", "category", (F.col("escalated") / F.col("n")).alias("escalation_rate"))
     )
 
 
-def dimension_counts(tickets: DataFrame, dimension: str) -> DataFrame:
+def dimension_counts(cube: DataFrame, dimension: str) -> DataFrame:
     """Tickets per value of a dimension in canonical order (``position``)."""
     canonical = Window.partitionBy("company_id").orderBy(F.desc("ticket_count"), "value")
     return (
-        tickets.groupBy("company_id", F.col(dimension).alias("value"))
-        .agg(F.count(F.lit(1)).alias("ticket_count"))
+        cube.groupBy("company_id", F.col(dimension).alias("value"))
+        .agg(F.sum("ticket_count").alias("ticket_count"))
         .withColumn("position", F.row_number().over(canonical))
     )
 
 
-def support_summary(tickets: DataFrame) -> DataFrame:
-    """Totals, category, channel and tier rows of every company from one scan.
+def support_summary(cube: DataFrame) -> DataFrame:
+    """Totals, category, channel and tier rows of every company from one cube.
 
     ``level`` names the grouping. The grouping sets expand the small cube, not the
     tickets.
     """
-    category, channel, tier = _DIMENSIONS
-    grouped = ticket_cube(tickets).groupingSets(
-        [
-            ["company_id"],
-            ["company_id", category],
-            ["company_id", channel],
-            ["company_id", tier],
-        ],
-        "company_id",
-        category,
-        channel,
-        tier,
-    )
+    category, channel, tier = DIMENSIONS
+    sets = [["company_id"], *(["company_id", dimension] for dimension in DIMENSIONS)]
     level = (
         F.when(F.grouping(category) == 0, category)
         .when(F.grouping(channel) == 0, channel)
         .when(F.grouping(tier) == 0, tier)
         .otherwise("company")
     )
-    return grouped.agg(level.alias("level"), *_recounted()).select(
-        "company_id",
-        "level",
-        F.coalesce(category, channel, tier).alias("value"),
-        "ticket_count",
-        *(expression.alias(name) for name, expression in _measures().items()),
+    return (
+        cube.groupingSets(sets, "company_id", *DIMENSIONS)
+        .agg(level.alias("level"), *_resums())
+        .select(
+            "company_id",
+            "level",
+            F.coalesce(category, channel, tier).alias("value"),
+            "ticket_count",
+            *(expression.alias(name) for name, expression in _measures().items()),
+        )
     )

@@ -17,6 +17,7 @@ _ISO = (
     r"^\d{4}-\d{2}-\d{2}"
     r"([Tt _]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?\s?([Zz]|[+-]\d{2}:?\d{2})?)?$"
 )
+_OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"
 _PLAIN_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 _NUMBER = rf"{_PLAIN_NUMBER}|^(?i)[+-]?inf(inity)?$"
 # Epoch numbers above this many seconds are read as milliseconds.
@@ -43,15 +44,18 @@ def parse_flag(x: Column) -> Column:
 
 def parse_time(x: Column) -> Column:
     """ISO text or an epoch number; a time without an offset is taken as UTC."""
-    number = F.when(x.rlike(_PLAIN_NUMBER), x.try_cast("double"))
-    seconds = F.when(F.abs(number) > _SECONDS_BOUND, number / 1000).otherwise(number)
-    iso = F.regexp_replace(F.regexp_replace(x, "[t_]", "T"), ",", ".")
-    iso = F.regexp_replace(F.upper(iso), r"\s(?=[Z+-])", "")
-    iso = F.regexp_replace(iso, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    iso = F.when(F.length(iso) == 10, F.concat(iso, F.lit("T00:00"))).otherwise(iso)
-    iso = F.when(iso.rlike(r"(Z|[+-]\d{2}:\d{2})$"), iso).otherwise(F.concat(iso, F.lit("Z")))
-    return F.when(number.isNotNull(), F.timestamp_micros((seconds * 1000000).cast("bigint"))).when(
-        x.rlike(_ISO), iso.try_cast("timestamp")
+    seconds = x.try_cast("double")
+    micros = F.when(F.abs(seconds) > _SECONDS_BOUND, seconds * 1e3).otherwise(seconds * 1e6)
+    # The cast wants seconds wherever an offset follows, and no space before it.
+    iso = F.regexp_replace(F.translate(x, "tz_,", "TZT."), r"\s(?=Z$|[+-]\d{2}:?\d{2}$)", "")
+    iso = F.regexp_replace(iso, rf"([T ]\d{{2}}:\d{{2}})(?={_OFFSET}|$)", "$1:00")
+    zoned = (
+        F.when(F.length(x) == 10, F.concat(x, F.lit("T00:00:00Z")))
+        .when(iso.rlike(_OFFSET), iso)
+        .otherwise(F.concat(iso, F.lit("Z")))
+    )
+    return F.when(x.rlike(_ISO), zoned.try_cast("timestamp")).when(
+        x.rlike(_PLAIN_NUMBER), F.timestamp_micros(micros.try_cast("bigint"))
     )
 
 

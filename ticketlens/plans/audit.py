@@ -1,4 +1,4 @@
-"""The complete support audit of all companies as lazy DataFrames."""
+"""The complete support audit of all companies."""
 
 from __future__ import annotations
 
@@ -31,28 +31,28 @@ def validated_tickets(raw: DataFrame, companies: DataFrame, factors: DataFrame)
     return qu.normalized(checked)
 
 
-def scored_metrics(tickets: DataFrame, factors: DataFrame) -> DataFrame:
-    return sc.scored(me.category_metrics(tickets), factors)
+def scored_metrics(cube: DataFrame, factors: DataFrame) -> DataFrame:
+    return sc.scored(me.category_metrics(cube), factors)
 
 
-def opportunities(tickets: DataFrame, factors: DataFrame) -> DataFrame:
-    return sc.ranked(scored_metrics(tickets, factors))
+def opportunities(cube: DataFrame, factors: DataFrame) -> DataFrame:
+    return sc.ranked(scored_metrics(cube, factors))
 
 
-def support_audit(tickets: DataFrame, companies: DataFrame, factors: DataFrame) -> SupportAudit:
-    """All parts of the audit; each is computed when it is used.
+def support_audit(cube: DataFrame, companies: DataFrame, factors: DataFrame) -> SupportAudit:
+    """All parts of the audit, lazily, from ``metrics.ticket_cube``.
 
-    To write several parts, persist ``metrics`` first: it is one row per company
-    and category.
+    Stage the cube (``session.staged``) before using several parts: the tickets are
+    then scanned and shuffled once for all of them.
     """
-    metrics = scored_metrics(tickets, factors)
+    metrics = scored_metrics(cube, factors)
     ranked = sc.ranked(metrics)
     return SupportAudit(
         companies=companies,
-        overall=me.overall_metrics(tickets),
+        overall=me.overall_metrics(cube),
         metrics=metrics,
-        channels=me.dimension_counts(tickets, "channel"),
-        tiers=me.dimension_counts(tickets, "customer_tier"),
+        channels=me.dimension_counts(cube, "channel"),
+        tiers=me.dimension_counts(cube, "customer_tier"),
         opportunities=ranked,
         highest_volume=sc.highest_volume(metrics),
         highest_automation=sc.highest_automation(ranked),

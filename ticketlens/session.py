@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "ticketlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,3 +36,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("Set spark.checkpoint.dir to a folder shared by all executors")
         base = os.path.join(tempfile.gettempdir(), "ticketlens-shared")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(frame: DataFrame, name: str) -> DataFrame:
+    """Write a result once to the shared folder and go on from the written table.
+
+    Later stages start from files instead of recomputing the lineage, also after an
+    executor is lost.
+    """
+    path = shared_folder(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

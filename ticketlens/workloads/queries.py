@@ -19,7 +19,7 @@ from ticketlens.operators import recommendations as rc
 from ticketlens.operators import report as rp
 from ticketlens.operators import scoring as sc
 from ticketlens.plans import audit, grounded
-from ticketlens.session import shared_folder
+from ticketlens.session import shared_folder, staged
 from ticketlens.sources import companies as co
 from ticketlens.sources import documents as do
 from ticketlens.sources import nested
@@ -91,9 +91,7 @@ def unknown_companies(spark, sf):
 def evidence_json(spark, sf):
     """Company evidence written as JSON, read back and laid out flat."""
     path = shared_folder(spark, "evidence")
-    companies = co.apply_company_contract(tb.raw_companies(spark, sf)).drop("violations")
-    plan = audit.support_audit(tb.tickets(spark, sf), companies, tb.factors(spark))
-    frame = audit.audit_evidence(plan)
+    frame = _company_evidence(spark, sf, _cube(spark, sf))
     nested.write_json(frame, path)
     entries = spark.read.schema(frame.schema).json(path).select(
         "company_id", "audit_summary.total_ticket_count", F.inline("categories")
@@ -151,58 +149,62 @@ def normalized_tickets(spark, sf):
 
 @query
 def overall_metrics(spark, sf):
-    return me.overall_metrics(tb.tickets(spark, sf))
+    return me.overall_metrics(tb.cube(spark, sf))
 
 
 @query
 def category_metrics(spark, sf):
-    return me.category_metrics(tb.tickets(spark, sf))
+    return me.category_metrics(tb.cube(spark, sf, "category"))
 
 
 @query
 def category_share(spark, sf):
-    return me.category_shares(tb.tickets(spark, sf))
+    return me.category_shares(tb.cube(spark, sf, "category"))
 
 
 @query
 def volume_ratio(spark, sf):
-    return me.volume_ratios(me.category_shares(tb.tickets(spark, sf)))
+    return me.volume_ratios(me.category_shares(tb.cube(spark, sf, "category")))
 
 
 @query
 def escalation_rate(spark, sf):
-    return me.escalation_rates(tb.tickets(spark, sf))
+    return me.escalation_rates(tb.cube(spark, sf, "category"))
 
 
 @query
 def channel_counts(spark, sf):
-    return me.dimension_counts(tb.tickets(spark, sf), "channel")
+    return me.dimension_counts(tb.cube(spark, sf, "channel"), "channel")
 
 
 @query
 def tier_counts(spark, sf):
-    return me.dimension_counts(tb.tickets(spark, sf), "customer_tier")
+    return me.dimension_counts(tb.cube(spark, sf, "customer_tier"), "customer_tier")
 
 
 @query
 def support_summary(spark, sf):
-    return me.support_summary(tb.tickets(spark, sf))
+    return me.support_summary(tb.cube(spark, sf, *me.DIMENSIONS))
 
 
 # Scoring, ranking, presentation -----------------------------------------------
 
 
 def _scored(spark, sf):
-    return audit.scored_metrics(tb.tickets(spark, sf), tb.factors(spark))
+    return audit.scored_metrics(tb.cube(spark, sf, "category"), tb.factors(spark))
+
+
+def _ranked(spark, sf):
+    return sc.ranked(_scored(spark, sf))
 
 
 @query
 def factor_join(spark, sf):
     """Raw categories with their factors; unknown ones stay, marked."""
-    shares = me.category_shares(tb.raw_tickets(spark, sf))
-    return sc.with_factors(shares, tb.factors(spark)).select(
-        "company_id", "category", "ticket_count", "repetitiveness", "process_consistency", "has_factors"
+    counted = tb.raw_tickets(spark, sf).groupBy("company_id", "category").agg(
+        F.count(F.lit(1)).alias("ticket_count")
     )
+    return sc.with_factors(counted, tb.factors(spark))
 
 
 @query
@@ -212,24 +214,24 @@ def automation_score(spark, sf):
 
 @query
 def opportunity_ranking(spark, sf):
-    return tb.opportunities(spark, sf).select(
+    return _ranked(spark, sf).select(
         "company_id", "category", "ticket_count", "automation_score", "rank"
     )
 
 
 @query
 def opportunity_explanations(spark, sf):
-    return tb.opportunities(spark, sf).select("company_id", "category", "explanation")
+    return _ranked(spark, sf).select("company_id", "category", "explanation")
 
 
 @query
 def highest_volume(spark, sf):
-    return sc.highest_volume(me.category_shares(tb.tickets(spark, sf)))
+    return sc.highest_volume(me.category_shares(tb.cube(spark, sf, "category")))
 
 
 @query
 def highest_automation(spark, sf):
-    return sc.highest_automation(tb.opportunities(spark, sf))
+    return sc.highest_automation(_ranked(spark, sf))
 
 
 @query
@@ -239,21 +241,21 @@ def overview_argmax(spark, sf):
 
 @query
 def top3_opportunities(spark, sf):
-    return sc.top_opportunities(tb.opportunities(spark, sf)).select(
+    return sc.top_opportunities(_ranked(spark, sf)).select(
         "company_id", "rank", "category", "automation_score"
     )
 
 
 @query
 def remaining_opportunities(spark, sf):
-    return sc.remaining_opportunities(tb.opportunities(spark, sf)).select(
+    return sc.remaining_opportunities(_ranked(spark, sf)).select(
         "company_id", "rank", "category", "automation_score"
     )
 
 
 @query
 def score_bands(spark, sf):
-    return pr.ranking_cards(tb.opportunities(spark, sf))
+    return pr.ranking_cards(_ranked(spark, sf))
 
 
 @query
@@ -273,8 +275,9 @@ def metrics_table(spark, sf):
 
 @query
 def headline_cards(spark, sf):
-    overall = me.overall_metrics(tb.tickets(spark, sf))
-    return pr.headline_cards(overall, sc.overview_extremes(_scored(spark, sf)))
+    cube = staged(tb.cube(spark, sf, "category"), "cube")
+    scored = audit.scored_metrics(cube, tb.factors(spark))
+    return pr.headline_cards(me.overall_metrics(cube), sc.overview_extremes(scored))
 
 
 @query
@@ -287,17 +290,18 @@ def company_caption(spark, sf):
 
 @query
 def evidence_lines(spark, sf):
-    return ev.evidence_lines(tb.opportunities(spark, sf))
+    return ev.evidence_lines(_ranked(spark, sf))
 
 
 @query
 def evidence_package(spark, sf):
     """The package of every company laid out flat, one row per category."""
-    overall = me.overall_metrics(tb.tickets(spark, sf)).withColumnRenamed(
+    cube = staged(tb.cube(spark, sf, "category"), "cube")
+    overall = me.overall_metrics(cube).withColumnRenamed(
         "total_handling_hours", "overall_handling_hours"
     )
     return (
-        tb.evidence(spark, sf)
+        ev.category_evidence(audit.opportunities(cube, tb.factors(spark)))
         .withColumn("allowed_numeric_evidence", F.array_join("allowed_numeric_evidence", "; "))
         .join(overall, "company_id")
     )
@@ -307,9 +311,18 @@ def _companies(spark, sf):
     return co.apply_company_contract(tb.raw_companies(spark, sf)).drop("violations")
 
 
-def _company_evidence(spark, sf):
-    return audit.audit_evidence(
-        audit.support_audit(tb.tickets(spark, sf), _companies(spark, sf), tb.factors(spark))
+def _cube(spark, sf):
+    """The category cube, computed once per query that needs it in several places."""
+    return staged(tb.cube(spark, sf, "category"), "cube")
+
+
+def _evidence(spark, cube):
+    return ev.category_evidence(audit.opportunities(cube, tb.factors(spark)))
+
+
+def _company_evidence(spark, sf, cube):
+    return ev.company_evidence(
+        _evidence(spark, cube), me.overall_metrics(cube), _companies(spark, sf)
     )
 
 
@@ -317,8 +330,9 @@ def _documents(spark, sf):
     return do.stripped_documents(tb.process_documents(spark, sf)).drop("is_empty")
 
 
-def _packages(spark, sf):
-    return ev.evidence_packages(_company_evidence(spark, sf), _documents(spark, sf), ["batch_id"])
+def _packages(spark, sf, cube=None):
+    per_company = _company_evidence(spark, sf, cube or _cube(spark, sf))
+    return ev.evidence_packages(per_company, _documents(spark, sf), ["batch_id"])
 
 
 @query
@@ -336,11 +350,12 @@ def evidence_isolation(spark, sf):
 @query
 def evidence_checksum(spark, sf):
     """Checksums of the packages before and after refinement has been verified."""
-    before = ev.checksums(_packages(spark, sf), ["batch_id"])
-    refined = _accepted(spark, sf).select("batch_id", F.lit(True).alias("refined")).distinct()
+    cube = _cube(spark, sf)
+    before = ev.checksums(_packages(spark, sf, cube), ["batch_id"])
+    refined = _accepted(spark, sf, cube).select("batch_id", F.lit(True).alias("refined")).distinct()
     after = ev.checksums(
         ev.evidence_packages(
-            _company_evidence(spark, sf),
+            _company_evidence(spark, sf, cube),
             _documents(spark, sf).join(refined, "batch_id", "left"),
             ["batch_id"],
         ),
@@ -361,35 +376,42 @@ def process_sections(spark, sf):
     return do.process_sections(_documents(spark, sf), ["batch_id", "company_id"])
 
 
-def _catalog(spark, sf):
-    return ca.evidence_catalog(
-        tb.opportunities(spark, sf),
+def _catalog_parts(spark, sf, cube):
+    return ca.catalog_lines(
+        audit.opportunities(cube, tb.factors(spark)),
         tb.process_analyses(spark, sf),
-        _accepted(spark, sf).withColumn("ordinal", F.col("batch_id") * 4 + F.col("pos")),
+        _accepted(spark, sf, cube).withColumn("ordinal", F.col("batch_id") * 4 + F.col("pos")),
         _documents(spark, sf).withColumn("ordinal", F.col("batch_id")),
     )
 
 
 @query
 def evidence_catalog(spark, sf):
-    return _catalog(spark, sf)
+    return ca.evidence_catalog(_catalog_parts(spark, sf, _cube(spark, sf)))
 
 
 # Grounding rules --------------------------------------------------------------
 
 
-def _verified(spark, sf):
-    return rc.verify_recommendations(tb.recommendation_drafts(spark, sf), tb.evidence(spark, sf))
+def _verified(spark, sf, cube=None):
+    evidence = _evidence(spark, cube or _cube(spark, sf))
+    return rc.verify_recommendations(tb.recommendation_drafts(spark, sf, evidence), evidence)
+
+
+def _accepted(spark, sf, cube):
+    return rc.accepted(_verified(spark, sf, cube))
 
 
-def _accepted(spark, sf):
-    return rc.accepted(_verified(spark, sf))
+def _parsed(spark, sf):
+    evidence = _evidence(spark, tb.cube(spark, sf, "category"))
+    return dr.parse_documents(
+        tb.recommendation_documents(spark, sf, evidence), RECOMMENDATION_BATCH
+    )
 
 
 @query
 def parse_drafts(spark, sf):
-    parsed = dr.parse_documents(tb.recommendation_documents(spark, sf), RECOMMENDATION_BATCH)
-    return parsed.select(
+    return _parsed(spark, sf).select(
         "batch_id",
         "status",
         F.when(F.col("status") == "ok", F.size("parsed.recommendations")).alias("entries"),
@@ -398,8 +420,7 @@ def parse_drafts(spark, sf):
 
 @query
 def draft_contract(spark, sf):
-    parsed = dr.parse_documents(tb.recommendation_documents(spark, sf), RECOMMENDATION_BATCH)
-    rows = dr.explode_batch(parsed, ["batch_id"], "recommendations")
+    rows = dr.explode_batch(_parsed(spark, sf), ["batch_id"], "recommendations")
     return dr.batch_contract(rows, dr.recommendation_bounds(), ["batch_id"])
 
 
@@ -435,8 +456,10 @@ def batch_gate(spark, sf):
     return rc.batch_gate(_verified(spark, sf))
 
 
-def _questions(spark, sf):
-    categories = qs.company_categories(me.category_shares(tb.tickets(spark, sf)))
+def _questions(spark, sf, cube=None):
+    categories = qs.company_categories(
+        me.category_shares(cube or tb.cube(spark, sf, "category"))
+    )
     return qs.verify_questions(tb.question_drafts(spark, sf), categories)
 
 
@@ -447,8 +470,8 @@ def verify_questions(spark, sf):
     )
 
 
-def _answers(spark, sf):
-    asked = _questions(spark, sf).filter(F.col("verdict") == "accepted")
+def _answers(spark, sf, cube=None):
+    asked = _questions(spark, sf, cube).filter(F.col("verdict") == "accepted")
     return qs.verify_answers(tb.clarification_answers(spark, sf), asked)
 
 
@@ -461,7 +484,9 @@ def clarification_answers(spark, sf):
 
 @query
 def verify_chat_answers(spark, sf):
-    return ch.verify_chat_answers(tb.chat_answers(spark, sf), _catalog(spark, sf)).select(
+    cube = _cube(spark, sf)
+    answers = tb.chat_answers(spark, sf, _evidence(spark, cube))
+    return ch.verify_chat_answers(answers, _catalog_parts(spark, sf, cube)).select(
         "conv_id", "turn", "company_id", "verdict", "issue"
     )
 
@@ -476,11 +501,14 @@ def bounded_history(spark, sf):
     return ch.bounded_history(tb.chat_turns(spark, sf))
 
 
+def _coverage(spark, sf, cube=None):
+    shares = me.category_shares(cube or tb.cube(spark, sf, "category"))
+    return rp.process_coverage(tb.process_analyses(spark, sf), shares)
+
+
 @query
 def process_coverage(spark, sf):
-    return rp.process_coverage(
-        tb.process_analyses(spark, sf), me.category_shares(tb.tickets(spark, sf))
-    )
+    return _coverage(spark, sf)
 
 
 @query
@@ -494,38 +522,34 @@ def report_limitations(spark, sf):
 
 @query
 def staged_issues(spark, sf):
-    return rp.staged_issues(_verified(spark, sf), _questions(spark, sf))
-
-
-def _coverage(spark, sf):
-    return rp.process_coverage(
-        tb.process_analyses(spark, sf), me.category_shares(tb.tickets(spark, sf))
-    )
+    cube = _cube(spark, sf)
+    return rp.staged_issues(_verified(spark, sf, cube), _questions(spark, sf, cube))
 
 
 @query
 def result_complete(spark, sf):
+    cube = _cube(spark, sf)
     documents = tb.process_documents(spark, sf)
     parts = {
         "evidence": documents,
-        "process_analysis": _coverage(spark, sf).filter("ok"),
-        "report": rc.batch_gate(_verified(spark, sf)).filter("ok"),
-        "clarification_questions": _questions(spark, sf).filter("verdict = 'accepted'"),
+        "process_analysis": _coverage(spark, sf, cube).filter("ok"),
+        "report": rc.batch_gate(_verified(spark, sf, cube)).filter("ok"),
+        "clarification_questions": _questions(spark, sf, cube).filter("verdict = 'accepted'"),
     }
     return rp.result_completeness(documents, parts)
 
 
-def _contexts(spark, sf):
+def _contexts(spark, sf, cube):
     history = ch.history_lists(
         ch.bounded_history(tb.chat_turns(spark, sf).filter(F.col("role").isin(*dr.CHAT_ROLES)))
     ).withColumnRenamed("conv_id", "batch_id")
     return grounded.chat_contexts(
-        _company_evidence(spark, sf),
+        _company_evidence(spark, sf, cube),
         _documents(spark, sf),
-        grounded.analysis_lists(tb.process_analyses(spark, sf), _coverage(spark, sf)),
-        grounded.recommendation_lists(_accepted(spark, sf)),
+        grounded.analysis_lists(tb.process_analyses(spark, sf), _coverage(spark, sf, cube)),
+        grounded.recommendation_lists(_accepted(spark, sf, cube)),
         tb.narratives(spark, sf),
-        qs.clarifications(_answers(spark, sf)),
+        qs.clarifications(_answers(spark, sf, cube)),
         history,
     )
 
@@ -534,7 +558,7 @@ def _contexts(spark, sf):
 def chat_context(spark, sf):
     """Every batch's context in figures, with a checksum of its ordered catalog."""
     turns = F.col("recent_turns")
-    return _contexts(spark, sf).select(
+    return _contexts(spark, sf, _cube(spark, sf)).select(
         "batch_id",
         "company_id",
         F.size("process_analysis").alias("analyses"),
@@ -550,10 +574,12 @@ def chat_context(spark, sf):
 
 @query
 def stage_payloads(spark, sf):
-    asked = tb.chat_answers(spark, sf).groupBy(F.col("conv_id").alias("batch_id")).agg(
+    cube = _cube(spark, sf)
+    answers = tb.chat_answers(spark, sf, _evidence(spark, cube))
+    asked = answers.groupBy(F.col("conv_id").alias("batch_id")).agg(
         F.max("question").alias("user_question")
     )
-    return grounded.stage_payloads(_contexts(spark, sf), asked).select(
+    return grounded.stage_payloads(_contexts(spark, sf, cube), asked).select(
         "batch_id",
         "company_id",
         "stage_no",

@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.operators import evidence as ev
-from ticketlens.plans import audit
+from ticketlens.operators import metrics as me
 from ticketlens.sources.dimensions import factor_table
 from ticketlens.sources.schemas import COMPANY, RECOMMENDATION
 
@@ -157,12 +156,8 @@ def raw_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.opportunities(tickets(spark, sf_dir), factors(spark))
-
-
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.category_evidence(opportunities(spark, sf_dir))
+def cube(spark: SparkSession, sf_dir: str, *dimensions: str) -> DataFrame:
+    return me.ticket_cube(tickets(spark, sf_dir), dimensions)
 
 
 def process_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +200,7 @@ def process_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def recommendation_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def recommendation_drafts(spark: SparkSession, sf_dir: str, evidence: DataFrame) -> DataFrame:
     doc = F.col("doc_id")
     batch = F.floor(doc / 4)
     kind = (doc % 6) * (doc % 6) % 6
@@ -228,7 +223,7 @@ def recommendation_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         _with_company(spark, sf_dir, base, F.col("batch_id"))
         .join(
-            evidence(spark, sf_dir).select("company_id", "category", "allowed_numeric_evidence"),
+            evidence.select("company_id", "category", "allowed_numeric_evidence"),
             ["company_id", "category"],
             "left",
         )
@@ -252,12 +247,12 @@ def recommendation_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def recommendation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def recommendation_documents(spark: SparkSession, sf_dir: str, evidence: DataFrame) -> DataFrame:
     """The drafts of a batch as one JSON text, some of them cut off or incomplete."""
     entry = F.struct(*RECOMMENDATION.fieldNames())
     ordered = F.array_sort(F.collect_list(F.struct("pos", entry.alias("entry"))))
     # At most four drafts make up a batch.
-    batches = recommendation_drafts(spark, sf_dir).groupBy("batch_id", "company_id").agg(
+    batches = recommendation_drafts(spark, sf_dir, evidence).groupBy("batch_id", "company_id").agg(
         F.transform(ordered, lambda e: e["entry"]).alias("recommendations")
     )
     text = F.to_json(F.struct("recommendations"))
@@ -340,13 +335,13 @@ def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def chat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chat_answers(spark: SparkSession, sf_dir: str, evidence: DataFrame) -> DataFrame:
     """One answer per assistant turn, in six kinds."""
     conv, kind = F.col("conv_id"), (F.col("conv_id") + F.col("turn")) % 5
     base = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant").select(
         "conv_id", "turn", "text", kind.alias("kind"), _pick(CATEGORIES, kind).alias("category")
     )
-    first_line = evidence(spark, sf_dir).select(
+    first_line = evidence.select(
         "company_id", "category", F.element_at("allowed_numeric_evidence", 1).alias("line")
     )
     none = F.array().cast("array<string>")
