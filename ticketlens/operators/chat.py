@@ -67,10 +67,9 @@ def verify_chat_answers(answers: DataFrame, catalog: DataFrame) -> DataFrame:
     uncited = F.exists(
         cited_text, lambda c: F.exists(number_tokens(answer), lambda t: ~F.contains(c, t))
     )
-    verdict = (
-        F.when(F.length(strip(F.col("question"))) == 0, "blank question")
-        .when(F.col("_outside"), "outside")
-        .when((F.size("evidence_used") == 0) & (F.size("missing_information") == 0), "neither")
+    # In the order of the checks; the citation check comes second.
+    own = (
+        F.when((F.size("evidence_used") == 0) & (F.size("missing_information") == 0), "neither")
         .when(
             F.exists("assumptions", lambda a: ~starts_with_any(a, fixed.ASSUMPTION_LABELS)),
             "unlabelled",
@@ -79,6 +78,11 @@ def verify_chat_answers(answers: DataFrame, catalog: DataFrame) -> DataFrame:
         .when(mentions_any(answer, (fixed.FORBIDDEN_CLAIM,)), "guarantee")
         .otherwise("accepted")
     )
+    verdict = (
+        F.when(F.col("_blank"), "blank question")
+        .when(F.col("_outside"), "outside")
+        .otherwise(F.col("_own"))
+    )
     wording = {
         "blank question": fixed.ISSUE_BLANK_QUESTION,
         "outside": fixed.ISSUE_OUTSIDE,
@@ -91,8 +95,10 @@ def verify_chat_answers(answers: DataFrame, catalog: DataFrame) -> DataFrame:
     for name, text in wording.items():
         issue = F.when(F.col("verdict") == name, F.lit(text)).otherwise(issue)
     return (
-        answers.join(outside, ["conv_id", "turn"], "left")
+        answers.withColumn("_blank", F.length(strip(F.col("question"))) == 0)
+        .withColumn("_own", own)
+        .join(outside, ["conv_id", "turn"], "left")
         .withColumn("verdict", verdict)
-        .drop("_outside")
+        .drop("_outside", "_blank", "_own")
         .withColumn("issue", issue)
     )

@@ -154,7 +154,7 @@ def quality_report(checked: DataFrame, companies: DataFrame) -> DataFrame:
     """Findings per company and check: ``(company_id, check_no, check, findings)``.
 
     ``companies`` lists the expected company ids, so a company without a single
-    row is reported as empty. One pass over the rows feeds all counts but the
+    row is reported as empty; further companies in the rows are reported too. One pass over the rows feeds all counts but the
     duplicate one, which aggregates on the ticket key.
     """
     any_missing = F.exists("violations", lambda v: v.endswith(": missing"))
@@ -178,7 +178,7 @@ def quality_report(checked: DataFrame, companies: DataFrame) -> DataFrame:
     )
     joined = (
         companies.select("company_id")
-        .join(counts, "company_id", "left")
+        .join(counts, "company_id", "full_outer")
         .join(duplicates, "company_id", "left")
     )
     numeric = sum(

@@ -21,18 +21,20 @@ def verify_questions(
     """Add ``verdict`` and ``issue`` to the first ``limit`` questions of each batch."""
     question = F.col("question")
     known = F.coalesce("known_categories", F.array().cast("array<string>"))
-    own = (
+    # Texts are judged before the join, so that a verdict alone moves no text.
+    of_text = (
         F.when(mentions_any(question, fixed.KNOWN_METRIC_REQUESTS), "known metric")
         .when(mentions_any(question, fixed.VAGUE_QUESTIONS), "vague")
         .when(mentions_any(question, fixed.DOCUMENTED_REQUESTS), "documented")
-        .when(F.size(F.array_except("related_categories", known)) > 0, "unsupported")
-        .otherwise("accepted")
     )
+    unknown = F.size(F.array_except("related_categories", known)) > 0
+    own = F.coalesce("_of_text", F.when(unknown, "unsupported"), F.lit("accepted"))
     judged = (
         drafts.filter(F.col("pos") < limit)
+        .withColumn("_of_text", of_text)
         .join(categories, "company_id", "left")
         .withColumn("_own", own)
-        .drop("known_categories")
+        .drop("known_categories", "_of_text")
         .repartition("batch_id")
     )
     earlier = (

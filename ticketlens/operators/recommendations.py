@@ -34,6 +34,10 @@ def verify_recommendations(
     allowed = evidence.select("company_id", "category", "allowed_numeric_evidence")
     # concat_ws takes texts and arrays alike; the line feed keeps words apart.
     narrative = F.concat_ws("\n", *_NARRATIVE)
+    # Texts are judged before the join, so that a verdict alone moves no text.
+    of_texts = F.when(has_digit(narrative), "numeric").when(
+        F.lower(narrative).contains(fixed.FORBIDDEN_CLAIM), "guarantee"
+    )
     own = (
         F.when(F.col("allowed_numeric_evidence").isNull(), "unsupported")
         .when(
@@ -41,15 +45,14 @@ def verify_recommendations(
             | (F.size(F.array_except("evidence", "allowed_numeric_evidence")) > 0),
             "evidence",
         )
-        .when(has_digit(narrative), "numeric")
-        .when(F.lower(narrative).contains(fixed.FORBIDDEN_CLAIM), "guarantee")
-        .otherwise("accepted")
+        .otherwise(F.coalesce("_of_texts", F.lit("accepted")))
     )
     judged = (
         drafts.filter(F.col("pos") < limit)
+        .withColumn("_of_texts", of_texts)
         .join(allowed, ["company_id", "category"], "left")
         .withColumn("_own", own)
-        .drop("allowed_numeric_evidence")
+        .drop("allowed_numeric_evidence", "_of_texts")
         # Batches stay together, so neither the window nor a later gate per batch
         # moves the rows again.
         .repartition("batch_id")

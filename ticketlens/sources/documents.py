@@ -64,7 +64,7 @@ def process_sections(documents: DataFrame, keys: Sequence[str]) -> DataFrame:
     The text is first cut before each heading line, so a bullet finds its heading
     in its own piece and no window over the document is needed.
     """
-    pieces = F.split("text", rf"(?:{LINE_BREAK})(?=## )|\A(?=## )")
+    pieces = F.split("text", rf"(?:{LINE_BREAK})(?=## )")
     return (
         documents.select(*keys, F.posexplode(pieces).alias("section_no", "piece"))
         .filter(F.col("piece").startswith("## "))
