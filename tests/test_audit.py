@@ -149,6 +149,11 @@ def test_unknown_category_is_kept_and_can_stop_the_run(spark):
     assert joined.head().has_factors is False
     with pytest.raises(DataContractError, match="no such thing"):
         sc.require_factors(joined)
+    with pytest.raises(Exception, match="No factors for category"):
+        ranked = sc.ranked(joined).withColumns(
+            {c: F.lit(0.0) for c in ("category_percentage", "total_handling_hours")}
+        )
+        ev.category_evidence(ranked).collect()
 
 
 def test_bands_top_and_rest(spark):

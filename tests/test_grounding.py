@@ -304,6 +304,8 @@ def test_bounded_history(spark):
     assert lists == {1: ["Question 7", "Question 8", "Question 9"], 2: ["hi"]}
     with pytest.raises(ValueError):
         ch.bounded_history(frame, 0)
+    with pytest.raises(ValueError):
+        ch.bounded_history(frame, 21)
 
 
 def test_parsing_and_bounds(spark):

@@ -19,6 +19,8 @@ def bounded_history(turns: DataFrame, max_messages: int = fixed.DEFAULT_HISTORY)
     """
     if max_messages < 1:
         raise ValueError("max_messages must be at least 1")
+    if max_messages > fixed.LARGEST_HISTORY:
+        raise ValueError(f"max_messages must be at most {fixed.LARGEST_HISTORY}")
     latest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     return (
         turns.withColumn("_age", F.row_number().over(latest))

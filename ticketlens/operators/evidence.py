@@ -43,11 +43,19 @@ def fact_lines() -> Column:
 
 
 def category_evidence(opportunities: DataFrame) -> DataFrame:
-    """Ranked metrics with their explanation and allowed fact lines."""
+    """Ranked metrics with their explanation and allowed fact lines.
+
+    A category without factors stops the job, so the categories of a company are
+    never more than the rows of the factor table.
+    """
+    known = F.when(F.col("has_factors"), F.col("category")).otherwise(
+        F.raise_error(F.concat(F.lit("No factors for category: "), "category")).cast("string")
+    )
     return opportunities.select(
         "company_id",
         "rank",
-        *METRIC_COLUMNS,
+        known.alias("category"),
+        *METRIC_COLUMNS[1:],
         F.col("explanation").alias("deterministic_explanation"),
         fact_lines().alias("allowed_numeric_evidence"),
     )

@@ -10,9 +10,9 @@ from ticketlens.errors import GroundingError
 from ticketlens.functions.text import has_digit, mentions_any, strip
 
 
-def company_categories(metrics: DataFrame) -> DataFrame:
-    """Audited categories per company as an array, bounded by the category domain."""
-    return metrics.groupBy("company_id").agg(F.collect_set("category").alias("known_categories"))
+def company_categories(evidence: DataFrame) -> DataFrame:
+    """Audited categories per company as an array, at most one entry per factor row."""
+    return evidence.groupBy("company_id").agg(F.collect_set("category").alias("known_categories"))
 
 
 def verify_questions(
@@ -67,8 +67,8 @@ def verify_questions(
 def verify_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
     """Judge stakeholder answers: ``dropped``, ``submission rejected`` or ``accepted``.
 
-    ``answers`` has (batch_id, question_id, answer) and ``questions`` the accepted
-    questions of each batch. Blank answers and answers to unknown ids are dropped;
+    ``answers`` has one (batch_id, question_id, answer) per question and ``questions``
+    the accepted questions of each batch. Blank answers and answers to unknown ids are dropped;
     one answer that gives a number for a known metric rejects its whole submission.
     The submissions to reject come from a partial aggregation and are joined back;
     they are one row per submission.

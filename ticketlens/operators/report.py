@@ -31,14 +31,21 @@ def process_coverage(analyses: DataFrame, metrics: DataFrame) -> DataFrame:
             F.count_if(F.col("_audited").isNull()).alias("unexpected"),
         )
     )
+    # A company without any batch is kept: nothing covers its categories. A full
+    # outer join would say this too, but could not split a company with very many
+    # batches.
+    idle = expected.join(analyses.select("company_id").distinct(), "company_id", "left_anti")
     zero = F.lit(0).cast("bigint")
-    # A company without any batch is kept: nothing covers its categories.
     return (
-        per_batch.join(expected, "company_id", "full_outer")
+        per_batch.join(expected, "company_id", "left")
+        .unionByName(idle, allowMissingColumns=True)
         .select(
             "batch_id",
             "company_id",
-            *(F.coalesce(name, zero).alias(name) for name in ("expected", "entries", "covered", "unexpected")),
+            *(
+                F.coalesce(name, zero).alias(name)
+                for name in ("expected", "entries", "covered", "unexpected")
+            ),
         )
         .withColumn("missing", F.col("expected") - F.col("covered"))
         .withColumn(

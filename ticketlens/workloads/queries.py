@@ -457,9 +457,8 @@ def batch_gate(spark, sf):
 
 
 def _questions(spark, sf, cube=None):
-    categories = qs.company_categories(
-        me.category_shares(cube or tb.cube(spark, sf, "category"))
-    )
+    evidence = _evidence(spark, cube or tb.cube(spark, sf, "category"))
+    categories = qs.company_categories(evidence)
     return qs.verify_questions(tb.question_drafts(spark, sf), categories)
 
 
