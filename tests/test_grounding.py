@@ -345,6 +345,16 @@ def test_question_bounds(spark):
     assert broken == [[], ["question_id", "question", "related_categories"]]
 
 
+def test_further_bounds(spark):
+    narrative = spark.createDataFrame([("", ["a"]), ("x", [])], "executive_summary string, limitations array<string>")
+    broken = [r.broken for r in dr.with_broken_bounds(narrative, dr.narrative_bounds()).collect()]
+    assert broken == [["executive_summary"], ["limitations"]]
+    answer = spark.createDataFrame([("", [], None, [])], "answer string, evidence_used array<string>, assumptions array<string>, missing_information array<string>")
+    assert dr.with_broken_bounds(answer, dr.chat_answer_bounds()).head().broken == ["answer", "assumptions"]
+    analysis = spark.createDataFrame([("c", [], [], [], None, [])], schemas.PROCESS_ANALYSIS)
+    assert dr.with_broken_bounds(analysis, dr.analysis_bounds()).head().broken == ["human_approval_required"]
+
+
 def test_four_entries_are_too_many(spark):
     rows = [(1, i, "user", "x") for i in range(4)] + [(2, 0, "system", "x")]
     frame = spark.createDataFrame(rows, "batch_id bigint, pos int, role string, content string")

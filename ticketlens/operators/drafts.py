@@ -85,6 +85,17 @@ def turn_bounds() -> dict[str, Column]:
     return {"role": F.col("role").isin(*CHAT_ROLES), "content": F.col("content").isNotNull()}
 
 
+def analysis_bounds() -> dict[str, Column]:
+    lists = ("repetitive_steps", "systems_used", "exception_cases", "observations")
+    return {
+        name: F.col(name).isNotNull() for name in ("category", "human_approval_required", *lists)
+    }
+
+
+def narrative_bounds() -> dict[str, Column]:
+    return {"executive_summary": _filled("executive_summary"), "limitations": _some("limitations")}
+
+
 def chat_answer_bounds() -> dict[str, Column]:
     lists = ("evidence_used", "assumptions", "missing_information")
     return {"answer": _filled("answer"), **{name: F.col(name).isNotNull() for name in lists}}

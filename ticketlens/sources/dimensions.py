@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketlens.fixed_values import PROCESS_FACTORS
 from ticketlens.sources.schemas import FACTORS
 
-# A table of at most this many literal rows is broadcast; a longer one is left to
-# the join planner, which checks sizes itself.
-BROADCAST_ROWS = 10_000
-
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
-    table = spark.createDataFrame(list(rows), schema)
-    return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
+    """A table whose size the planner knows.
+
+    Arrow data becomes a local relation, so joins with it, and with what is computed
+    from it, are broadcast by their size; a list of rows would count as unbounded.
+    """
+    columns = {f.name: [row[i] for row in rows] for i, f in enumerate(schema)}
+    return spark.createDataFrame(pa.table(columns), schema)
 
 
 def factor_table(spark: SparkSession, rows: Sequence[tuple] = PROCESS_FACTORS) -> DataFrame:

@@ -383,6 +383,9 @@ _FINAL = {
     # In delimited text an empty cell is a missing one.
     "scan_tickets": "SELECT * REPLACE (nullif(description, '') AS description) FROM raw_tickets",
     "tickets_csv_roundtrip": "SELECT * FROM tickets",
+    "ticket_view": """
+        SELECT company_id, count(*) AS ticket_count, min(created_at) AS first_ticket,
+               max(created_at) AS last_ticket FROM tickets GROUP BY company_id""",
     "scan_companies": """
         SELECT id, short_name || ' Support Services' AS name, 'Online services' AS industry,
                'Support desk for ' || short_name AS description, headquarters, support_team_size,
@@ -536,7 +539,10 @@ _FINAL = {
     "evidence_isolation": """
         SELECT batch_id, d.company_id, r.company_id AS foreign_id
         FROM process_docs d JOIN region_ids r ON r.company_id <> d.company_id AND contains(d.text, r.company_id)""",
-    "evidence_checksum": "SELECT batch_id, TRUE AS unchanged FROM process_docs",
+    "evidence_checksum": """
+        SELECT batch_id, batch_id IN (SELECT batch_id FROM rec_steps WHERE verdict = 'accepted') AS refined,
+               TRUE AS unchanged
+        FROM process_docs""",
     "process_bullets": """
         SELECT batch_id, company_id, line_no, 'Process documentation — ' || raw[3:] AS line
         FROM doc_lines WHERE raw LIKE '- **%'""",

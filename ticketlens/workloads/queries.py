@@ -54,6 +54,16 @@ def tickets_csv_roundtrip(spark, sf):
     return qu.normalized(checked)
 
 
+@query
+def ticket_view(spark, sf):
+    """The tickets under a SQL name, read with plain SQL."""
+    tb.tickets(spark, sf).createOrReplaceTempView("tickets")
+    return spark.sql(
+        "SELECT company_id, count(*) AS ticket_count, min(created_at) AS first_ticket, "
+        "max(created_at) AS last_ticket FROM tickets GROUP BY company_id"
+    )
+
+
 @query
 def scan_companies(spark, sf):
     path = shared_folder(spark, "companies")
@@ -91,7 +101,10 @@ def unknown_companies(spark, sf):
 def evidence_json(spark, sf):
     """Company evidence written as JSON, read back and laid out flat."""
     path = shared_folder(spark, "evidence")
-    frame = _company_evidence(spark, sf, _cube(spark, sf))
+    cube = _cube(spark, sf)
+    frame = ev.company_evidence(
+        _evidence(spark, cube), me.overall_metrics(cube), _companies(spark, sf)
+    )
     nested.write_json(frame, path)
     entries = spark.read.schema(frame.schema).json(path).select(
         "company_id", "audit_summary.total_ticket_count", F.inline("categories")
@@ -321,9 +334,11 @@ def _evidence(spark, cube):
 
 
 def _company_evidence(spark, sf, cube):
-    return ev.company_evidence(
+    """One row per company, written once: joins then know its size."""
+    frame = ev.company_evidence(
         _evidence(spark, cube), me.overall_metrics(cube), _companies(spark, sf)
     )
+    return staged(frame, "company-evidence")
 
 
 def _documents(spark, sf):
@@ -349,20 +364,24 @@ def evidence_isolation(spark, sf):
 
 @query
 def evidence_checksum(spark, sf):
-    """Checksums of the packages before and after refinement has been verified."""
+    """Checksums of the packages before and after refinement has been verified.
+
+    Only keys and checksums are shuffled, no document.
+    """
     cube = _cube(spark, sf)
     before = ev.checksums(_packages(spark, sf, cube), ["batch_id"])
     refined = _accepted(spark, sf, cube).select("batch_id", F.lit(True).alias("refined")).distinct()
-    after = ev.checksums(
-        ev.evidence_packages(
-            _company_evidence(spark, sf, cube),
-            _documents(spark, sf).join(refined, "batch_id", "left"),
-            ["batch_id"],
-        ),
-        ["batch_id"],
-    ).withColumnRenamed("checksum", "after")
-    return before.join(after, "batch_id", "full_outer").select(
-        "batch_id", F.col("checksum").eqNullSafe(F.col("after")).alias("unchanged")
+    after = ev.checksums(_packages(spark, sf, cube), ["batch_id"]).withColumnRenamed(
+        "checksum", "after"
+    )
+    return (
+        before.join(after, "batch_id", "full_outer")
+        .join(refined, "batch_id", "left")
+        .select(
+            "batch_id",
+            F.coalesce("refined", F.lit(False)).alias("refined"),
+            F.col("checksum").eqNullSafe(F.col("after")).alias("unchanged"),
+        )
     )
 
 
@@ -403,7 +422,7 @@ def _accepted(spark, sf, cube):
 
 
 def _parsed(spark, sf):
-    evidence = _evidence(spark, tb.cube(spark, sf, "category"))
+    evidence = _evidence(spark, _cube(spark, sf))
     return dr.parse_documents(
         tb.recommendation_documents(spark, sf, evidence), RECOMMENDATION_BATCH
     )
@@ -457,7 +476,7 @@ def batch_gate(spark, sf):
 
 
 def _questions(spark, sf, cube=None):
-    evidence = _evidence(spark, cube or tb.cube(spark, sf, "category"))
+    evidence = _evidence(spark, cube or _cube(spark, sf))
     categories = qs.company_categories(evidence)
     return qs.verify_questions(tb.question_drafts(spark, sf), categories)
 
@@ -501,7 +520,7 @@ def bounded_history(spark, sf):
 
 
 def _coverage(spark, sf, cube=None):
-    shares = me.category_shares(cube or tb.cube(spark, sf, "category"))
+    shares = me.category_shares(cube or _cube(spark, sf))
     return rp.process_coverage(tb.process_analyses(spark, sf), shares)
 
 
