@@ -17,6 +17,7 @@ _ISO = (
     r"^\d{4}-\d{2}-\d{2}"
     r"([Tt _]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?\s?([Zz]|[+-]\d{2}:?\d{2})?)?$"
 )
+_USUAL = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,9})?"
 _OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"
 _PLAIN_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 _NUMBER = rf"{_PLAIN_NUMBER}|^(?i)[+-]?inf(inity)?$"
@@ -54,8 +55,12 @@ def parse_time(x: Column) -> Column:
         .when(iso.rlike(_OFFSET), iso)
         .otherwise(F.concat(iso, F.lit("Z")))
     )
-    return F.when(x.rlike(_ISO), zoned.try_cast("timestamp")).when(
-        x.rlike(_PLAIN_NUMBER), F.timestamp_micros(micros.try_cast("bigint"))
+    # The two usual forms need no rewriting.
+    return (
+        F.when(x.rlike(_USUAL + _OFFSET), x.try_cast("timestamp"))
+        .when(x.rlike(_USUAL + "$"), F.concat(x, F.lit("Z")).try_cast("timestamp"))
+        .when(x.rlike(_ISO), zoned.try_cast("timestamp"))
+        .when(x.rlike(_PLAIN_NUMBER), F.timestamp_micros(micros.try_cast("bigint")))
     )
 
 
