@@ -140,6 +140,8 @@ def test_csv_round_trip_keeps_quotes_breaks_and_spaces(spark, factors, tmp_path)
     back = ti.read_ticket_folder(spark, path)
     assert sorted(map(tuple, back.drop(ti.CORRUPT).collect())) == sorted(map(tuple, frame.collect()))
     assert {r[ti.CORRUPT] for r in back.collect()} == {None}
+    split = ti.read_ticket_folder(spark, path, multi_line=False).collect()
+    assert any(r[ti.CORRUPT] for r in split)  # a break inside a cell needs multi_line
     single = ti.read_ticket_files(spark, {"one": f"{path}/company_id=one"})
     assert sorted(map(tuple, single.collect())) == sorted(map(tuple, back.collect()))
 

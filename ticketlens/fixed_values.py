@@ -87,7 +87,17 @@ SCORE_BANDS = (
 )
 LOWEST_BAND = "Limited opportunity"
 
-# Explanation wording
+# Explanation bounds and wording
+
+HIGH_VOLUME_FROM = 0.75
+MODERATE_VOLUME_FROM = 0.35
+HIGH_REPETITION_FROM = 0.8
+LOW_REPETITION_BELOW = 0.4
+LONG_HANDLING_FROM = 60
+HIGH_ESCALATION_FROM = 0.30
+LOW_ESCALATION_UP_TO = 0.08
+LOW_CONSISTENCY_BELOW = 0.5
+HIGH_CONSISTENCY_FROM = 0.8
 
 HIGH_VOLUME = "High volume increases the potential impact"
 MODERATE_VOLUME = "Moderate volume creates a meaningful opportunity"
@@ -102,6 +112,15 @@ LOW_ESCALATION = "a low escalation rate supports automation suitability"
 LOW_CONSISTENCY = "an inconsistent process reduces the score"
 HIGH_CONSISTENCY = "a consistent process supports repeatable automation"
 
+# Labels of the fact lines
+
+FACT_COUNT = "Ticket count: "
+FACT_PERCENTAGE = "Category percentage: "
+FACT_MINUTES = "Average resolution minutes: "
+FACT_HOURS = "Total handling hours: "
+FACT_ESCALATION = "Escalation rate: "
+FACT_SCORE = "Automation score: "
+
 # Chart bounds
 
 SCORE_AXIS_MAX = 108.0

@@ -47,13 +47,28 @@ def numeric_tokens(texts: DataFrame, keys: Sequence[str], column: str) -> DataFr
     )
 
 
+def cited_lines(answers: DataFrame) -> DataFrame:
+    """Distinct lines cited per company: ``(company_id, line)``."""
+    return answers.select("company_id", F.explode("evidence_used").alias("line")).distinct()
+
+
+def cited_catalog(lines: DataFrame, cited: DataFrame) -> DataFrame:
+    """Catalog lines that are cited at all.
+
+    With ``cited`` staged, its size is known: while it is small the lines of all
+    documents are filtered where they are made, and hardly any is shuffled.
+    """
+    return lines.join(cited, ["company_id", "line"], "left_semi")
+
+
 def verify_chat_answers(answers: DataFrame, catalog: DataFrame) -> DataFrame:
     """Add ``verdict`` and ``issue`` to answers keyed by (conv_id, turn).
 
     ``answers`` carries company_id, question, answer, evidence_used, assumptions and
-    missing_information; ``catalog`` has (company_id, line). Cited lines are
-    exploded and anti-joined on the line itself, so work spreads over lines and no
-    company's catalog is gathered; only the keys with a line outside come back.
+    missing_information; ``catalog`` has (company_id, line) and may be cut down with
+    ``cited_catalog``. Cited lines are exploded and anti-joined on the line itself, so
+    work spreads over lines and no company's catalog is gathered; only the keys with
+    a line outside come back.
     """
     cited = answers.select(
         "conv_id", "turn", "company_id", F.explode("evidence_used").alias("line")

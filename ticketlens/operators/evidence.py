@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.fixed_values import SCORE_WEIGHTS
+from ticketlens import fixed_values as fv
 from ticketlens.functions.numbers import fixed, percent, thousands
 
 METHODOLOGY_NOTE = (
@@ -30,16 +30,15 @@ METRIC_COLUMNS = (
 
 def fact_lines() -> Column:
     """The six fact lines of a category, as an array."""
-    return F.array(
-        F.concat(F.lit("Ticket count: "), thousands(F.col("ticket_count"))),
-        F.concat(F.lit("Category percentage: "), fixed(F.col("category_percentage"), 2), F.lit("%")),
-        F.concat(
-            F.lit("Average resolution minutes: "), fixed(F.col("average_resolution_minutes"), 2)
-        ),
-        F.concat(F.lit("Total handling hours: "), fixed(F.col("total_handling_hours"), 2)),
-        F.concat(F.lit("Escalation rate: "), percent(F.col("escalation_rate"), 2)),
-        F.concat(F.lit("Automation score: "), fixed(F.col("automation_score"), 2), F.lit("/100")),
+    facts = (
+        (fv.FACT_COUNT, thousands(F.col("ticket_count")), ""),
+        (fv.FACT_PERCENTAGE, fixed(F.col("category_percentage"), 2), "%"),
+        (fv.FACT_MINUTES, fixed(F.col("average_resolution_minutes"), 2), ""),
+        (fv.FACT_HOURS, fixed(F.col("total_handling_hours"), 2), ""),
+        (fv.FACT_ESCALATION, percent(F.col("escalation_rate"), 2), ""),
+        (fv.FACT_SCORE, fixed(F.col("automation_score"), 2), "/100"),
     )
+    return F.array(*(F.concat(F.lit(label), text, F.lit(end)) for label, text, end in facts))
 
 
 def category_evidence(opportunities: DataFrame) -> DataFrame:
@@ -68,7 +67,7 @@ def evidence_lines(opportunities: DataFrame) -> DataFrame:
     )
 
 
-def methodology(weights: Mapping[str, float] = SCORE_WEIGHTS, note: str = METHODOLOGY_NOTE) -> Column:
+def methodology(weights: Mapping[str, float] = fv.SCORE_WEIGHTS, note: str = METHODOLOGY_NOTE) -> Column:
     return F.struct(
         *(F.lit(float(value)).alias(name) for name, value in weights.items()),
         F.lit(note).alias("note"),

@@ -66,18 +66,20 @@ def explanation() -> Column:
     consistency = F.col("process_consistency")
     escalation = F.col("escalation_rate")
     fragments = [
-        F.when(volume >= 0.75, fixed.HIGH_VOLUME)
-        .when(volume >= 0.35, fixed.MODERATE_VOLUME)
+        F.when(volume >= fixed.HIGH_VOLUME_FROM, fixed.HIGH_VOLUME)
+        .when(volume >= fixed.MODERATE_VOLUME_FROM, fixed.MODERATE_VOLUME)
         .otherwise(fixed.LOW_VOLUME),
-        F.when(repetitiveness >= 0.8, fixed.HIGH_REPETITION).when(
-            repetitiveness < 0.4, fixed.LOW_REPETITION
+        F.when(repetitiveness >= fixed.HIGH_REPETITION_FROM, fixed.HIGH_REPETITION).when(
+            repetitiveness < fixed.LOW_REPETITION_BELOW, fixed.LOW_REPETITION
         ),
-        F.when(F.col("average_resolution_minutes") >= 60, fixed.LONG_HANDLING),
-        F.when(escalation >= 0.30, fixed.HIGH_ESCALATION).when(
-            escalation <= 0.08, fixed.LOW_ESCALATION
+        F.when(
+            F.col("average_resolution_minutes") >= fixed.LONG_HANDLING_FROM, fixed.LONG_HANDLING
         ),
-        F.when(consistency < 0.5, fixed.LOW_CONSISTENCY).when(
-            consistency >= 0.8, fixed.HIGH_CONSISTENCY
+        F.when(escalation >= fixed.HIGH_ESCALATION_FROM, fixed.HIGH_ESCALATION).when(
+            escalation <= fixed.LOW_ESCALATION_UP_TO, fixed.LOW_ESCALATION
+        ),
+        F.when(consistency < fixed.LOW_CONSISTENCY_BELOW, fixed.LOW_CONSISTENCY).when(
+            consistency >= fixed.HIGH_CONSISTENCY_FROM, fixed.HIGH_CONSISTENCY
         ),
     ]
     return F.concat(F.concat_ws("; ", *fragments), F.lit("."))

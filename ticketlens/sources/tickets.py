@@ -13,7 +13,7 @@ from ticketlens.errors import DataContractError
 from ticketlens.fixed_values import TICKET_COLUMNS
 
 CORRUPT = "_unreadable"
-_DIALECT = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+_DIALECT = {"header": True, "quote": '"', "escape": '"'}
 # A multi-line file is read by one task, so the writer keeps files moderate.
 ROWS_PER_FILE = 1_000_000
 
@@ -22,9 +22,9 @@ def missing_columns(columns) -> list[str]:
     return sorted(set(TICKET_COLUMNS) - set(columns))
 
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
+def _header(spark: SparkSession, path: str, multi_line: bool) -> tuple[str, ...]:
     try:
-        columns = spark.read.options(**_DIALECT).csv(path).columns
+        columns = spark.read.options(**_DIALECT, multiLine=multi_line).csv(path).columns
     except Exception as error:
         raise DataContractError(f"Unable to load support tickets: {path}") from error
     if not columns:
@@ -32,7 +32,9 @@ def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(columns)
 
 
-def read_ticket_files(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
+def read_ticket_files(
+    spark: SparkSession, paths: Mapping[str, str], *, multi_line: bool = True
+) -> DataFrame:
     """A few companies' ticket files as text columns, one scan per company.
 
     ``paths`` maps company ids to files or folders. Columns are taken by name, so
@@ -42,13 +44,15 @@ def read_ticket_files(spark: SparkSession, paths: Mapping[str, str]) -> DataFram
     """
     scans = []
     for company_id, path in paths.items():
-        header = _header(spark, path)
+        header = _header(spark, path, multi_line)
         missing = missing_columns(header)
         if missing:
             raise DataContractError(f"Missing required ticket columns: {', '.join(missing)}")
         schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, CORRUPT)])
         scans.append(
-            spark.read.options(**_DIALECT, columnNameOfCorruptRecord=CORRUPT)
+            spark.read.options(
+                **_DIALECT, multiLine=multi_line, columnNameOfCorruptRecord=CORRUPT
+            )
             .schema(schema)
             .csv(path)
             .select(F.lit(company_id).alias("company_id"), *TICKET_COLUMNS, CORRUPT)
@@ -56,13 +60,22 @@ def read_ticket_files(spark: SparkSession, paths: Mapping[str, str]) -> DataFram
     return reduce(DataFrame.unionByName, scans)
 
 
-def read_ticket_folder(spark: SparkSession, path: str) -> DataFrame:
-    """A folder written by :func:`write_ticket_files`, as text columns in one scan."""
+def read_ticket_folder(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+    """A folder written by :func:`write_ticket_files`, as text columns in one scan.
+
+    Set ``multi_line`` to false for files without line breaks inside cells: they can
+    then be split, however large.
+    """
     schema = T.StructType(
         [T.StructField(name, T.StringType()) for name in (*TICKET_COLUMNS, CORRUPT)]
     ).add("company_id", T.StringType())
     return (
-        spark.read.options(**_DIALECT, columnNameOfCorruptRecord=CORRUPT, enforceSchema=False)
+        spark.read.options(
+            **_DIALECT,
+            multiLine=multi_line,
+            columnNameOfCorruptRecord=CORRUPT,
+            enforceSchema=False,
+        )
         .schema(schema)
         .csv(path)
         .select("company_id", *TICKET_COLUMNS, CORRUPT)

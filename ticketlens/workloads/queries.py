@@ -1,8 +1,9 @@
-"""One registered query per operator; each takes (spark, sf_dir) and stays lazy."""
+"""One registered query per operator, over whole tables; small shared results are staged."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,9 +102,9 @@ def unknown_companies(spark, sf):
 def evidence_json(spark, sf):
     """Company evidence written as JSON, read back and laid out flat."""
     path = shared_folder(spark, "evidence")
-    cube = _cube(spark, sf)
+    done = _audit(spark, sf)
     frame = ev.company_evidence(
-        _evidence(spark, cube), me.overall_metrics(cube), _companies(spark, sf)
+        done.evidence, me.overall_metrics(done.cube), _companies(spark, sf)
     )
     nested.write_json(frame, path)
     entries = spark.read.schema(frame.schema).json(path).select(
@@ -324,19 +325,28 @@ def _companies(spark, sf):
     return co.apply_company_contract(tb.raw_companies(spark, sf)).drop("violations")
 
 
-def _cube(spark, sf):
-    """The category cube, computed once per query that needs it in several places."""
-    return staged(tb.cube(spark, sf, "category"), "cube")
+@dataclass(frozen=True)
+class _Audit:
+    """What a query needs in several places, computed once and staged."""
 
+    cube: DataFrame
+    opportunities: DataFrame
 
-def _evidence(spark, cube):
-    return ev.category_evidence(audit.opportunities(cube, tb.factors(spark)))
+    @property
+    def evidence(self) -> DataFrame:
+        return ev.category_evidence(self.opportunities)
 
 
-def _company_evidence(spark, sf, cube):
+def _audit(spark, sf) -> _Audit:
+    cube = staged(tb.cube(spark, sf, "category"), "cube")
+    ranked = audit.opportunities(cube, tb.factors(spark))
+    return _Audit(cube, staged(ranked, "opportunities"))
+
+
+def _company_evidence(spark, sf, done):
     """One row per company, written once: joins then know its size."""
     frame = ev.company_evidence(
-        _evidence(spark, cube), me.overall_metrics(cube), _companies(spark, sf)
+        done.evidence, me.overall_metrics(done.cube), _companies(spark, sf)
     )
     return staged(frame, "company-evidence")
 
@@ -345,8 +355,8 @@ def _documents(spark, sf):
     return do.stripped_documents(tb.process_documents(spark, sf)).drop("is_empty")
 
 
-def _packages(spark, sf, cube=None):
-    per_company = _company_evidence(spark, sf, cube or _cube(spark, sf))
+def _packages(spark, sf, done=None):
+    per_company = _company_evidence(spark, sf, done or _audit(spark, sf))
     return ev.evidence_packages(per_company, _documents(spark, sf), ["batch_id"])
 
 
@@ -368,10 +378,10 @@ def evidence_checksum(spark, sf):
 
     Only keys and checksums are shuffled, no document.
     """
-    cube = _cube(spark, sf)
-    before = ev.checksums(_packages(spark, sf, cube), ["batch_id"])
-    refined = _accepted(spark, sf, cube).select("batch_id", F.lit(True).alias("refined")).distinct()
-    after = ev.checksums(_packages(spark, sf, cube), ["batch_id"]).withColumnRenamed(
+    done = _audit(spark, sf)
+    before = ev.checksums(_packages(spark, sf, done), ["batch_id"])
+    refined = _accepted(spark, sf, done).select("batch_id", F.lit(True).alias("refined")).distinct()
+    after = ev.checksums(_packages(spark, sf, done), ["batch_id"]).withColumnRenamed(
         "checksum", "after"
     )
     return (
@@ -395,37 +405,35 @@ def process_sections(spark, sf):
     return do.process_sections(_documents(spark, sf), ["batch_id", "company_id"])
 
 
-def _catalog_parts(spark, sf, cube):
+def _catalog_parts(spark, sf, done):
     return ca.catalog_lines(
-        audit.opportunities(cube, tb.factors(spark)),
+        done.opportunities,
         tb.process_analyses(spark, sf),
-        _accepted(spark, sf, cube).withColumn("ordinal", F.col("batch_id") * 4 + F.col("pos")),
+        _accepted(spark, sf, done).withColumn("ordinal", F.col("batch_id") * 4 + F.col("pos")),
         _documents(spark, sf).withColumn("ordinal", F.col("batch_id")),
     )
 
 
 @query
 def evidence_catalog(spark, sf):
-    return ca.evidence_catalog(_catalog_parts(spark, sf, _cube(spark, sf)))
+    return ca.evidence_catalog(_catalog_parts(spark, sf, _audit(spark, sf)))
 
 
 # Grounding rules --------------------------------------------------------------
 
 
-def _verified(spark, sf, cube=None):
-    evidence = _evidence(spark, cube or _cube(spark, sf))
+def _verified(spark, sf, done=None):
+    evidence = (done or _audit(spark, sf)).evidence
     return rc.verify_recommendations(tb.recommendation_drafts(spark, sf, evidence), evidence)
 
 
-def _accepted(spark, sf, cube):
-    return rc.accepted(_verified(spark, sf, cube))
+def _accepted(spark, sf, done):
+    return rc.accepted(_verified(spark, sf, done))
 
 
 def _parsed(spark, sf):
-    evidence = _evidence(spark, _cube(spark, sf))
-    return dr.parse_documents(
-        tb.recommendation_documents(spark, sf, evidence), RECOMMENDATION_BATCH
-    )
+    documents = tb.recommendation_documents(spark, sf, _audit(spark, sf).evidence)
+    return dr.parse_documents(documents, RECOMMENDATION_BATCH)
 
 
 @query
@@ -475,9 +483,8 @@ def batch_gate(spark, sf):
     return rc.batch_gate(_verified(spark, sf))
 
 
-def _questions(spark, sf, cube=None):
-    evidence = _evidence(spark, cube or _cube(spark, sf))
-    categories = qs.company_categories(evidence)
+def _questions(spark, sf, done=None):
+    categories = qs.company_categories((done or _audit(spark, sf)).evidence)
     return qs.verify_questions(tb.question_drafts(spark, sf), categories)
 
 
@@ -488,8 +495,8 @@ def verify_questions(spark, sf):
     )
 
 
-def _answers(spark, sf, cube=None):
-    asked = _questions(spark, sf, cube).filter(F.col("verdict") == "accepted")
+def _answers(spark, sf, done=None):
+    asked = _questions(spark, sf, done).filter(F.col("verdict") == "accepted")
     return qs.verify_answers(tb.clarification_answers(spark, sf), asked)
 
 
@@ -502,9 +509,11 @@ def clarification_answers(spark, sf):
 
 @query
 def verify_chat_answers(spark, sf):
-    cube = _cube(spark, sf)
-    answers = tb.chat_answers(spark, sf, _evidence(spark, cube))
-    return ch.verify_chat_answers(answers, _catalog_parts(spark, sf, cube)).select(
+    done = _audit(spark, sf)
+    answers = tb.chat_answers(spark, sf, done.evidence)
+    cited = staged(ch.cited_lines(answers), "cited")
+    catalog = ch.cited_catalog(_catalog_parts(spark, sf, done), cited)
+    return ch.verify_chat_answers(answers, catalog).select(
         "conv_id", "turn", "company_id", "verdict", "issue"
     )
 
@@ -519,9 +528,9 @@ def bounded_history(spark, sf):
     return ch.bounded_history(tb.chat_turns(spark, sf))
 
 
-def _coverage(spark, sf, cube=None):
-    shares = me.category_shares(cube or _cube(spark, sf))
-    return rp.process_coverage(tb.process_analyses(spark, sf), shares)
+def _coverage(spark, sf, done=None):
+    audited = (done or _audit(spark, sf)).opportunities
+    return rp.process_coverage(tb.process_analyses(spark, sf), audited)
 
 
 @query
@@ -540,34 +549,34 @@ def report_limitations(spark, sf):
 
 @query
 def staged_issues(spark, sf):
-    cube = _cube(spark, sf)
-    return rp.staged_issues(_verified(spark, sf, cube), _questions(spark, sf, cube))
+    done = _audit(spark, sf)
+    return rp.staged_issues(_verified(spark, sf, done), _questions(spark, sf, done))
 
 
 @query
 def result_complete(spark, sf):
-    cube = _cube(spark, sf)
+    done = _audit(spark, sf)
     documents = tb.process_documents(spark, sf)
     parts = {
         "evidence": documents,
-        "process_analysis": _coverage(spark, sf, cube).filter("ok"),
-        "report": rc.batch_gate(_verified(spark, sf, cube)).filter("ok"),
-        "clarification_questions": _questions(spark, sf, cube).filter("verdict = 'accepted'"),
+        "process_analysis": _coverage(spark, sf, done).filter("ok"),
+        "report": rc.batch_gate(_verified(spark, sf, done)).filter("ok"),
+        "clarification_questions": _questions(spark, sf, done).filter("verdict = 'accepted'"),
     }
     return rp.result_completeness(documents, parts)
 
 
-def _contexts(spark, sf, cube):
+def _contexts(spark, sf, done):
     history = ch.history_lists(
         ch.bounded_history(tb.chat_turns(spark, sf).filter(F.col("role").isin(*dr.CHAT_ROLES)))
     ).withColumnRenamed("conv_id", "batch_id")
     return grounded.chat_contexts(
-        _company_evidence(spark, sf, cube),
+        _company_evidence(spark, sf, done),
         _documents(spark, sf),
-        grounded.analysis_lists(tb.process_analyses(spark, sf), _coverage(spark, sf, cube)),
-        grounded.recommendation_lists(_accepted(spark, sf, cube)),
+        grounded.analysis_lists(tb.process_analyses(spark, sf), _coverage(spark, sf, done)),
+        grounded.recommendation_lists(_accepted(spark, sf, done)),
         tb.narratives(spark, sf),
-        qs.clarifications(_answers(spark, sf, cube)),
+        qs.clarifications(_answers(spark, sf, done)),
         history,
     )
 
@@ -576,7 +585,7 @@ def _contexts(spark, sf, cube):
 def chat_context(spark, sf):
     """Every batch's context in figures, with a checksum of its ordered catalog."""
     turns = F.col("recent_turns")
-    return _contexts(spark, sf, _cube(spark, sf)).select(
+    return _contexts(spark, sf, _audit(spark, sf)).select(
         "batch_id",
         "company_id",
         F.size("process_analysis").alias("analyses"),
@@ -592,12 +601,12 @@ def chat_context(spark, sf):
 
 @query
 def stage_payloads(spark, sf):
-    cube = _cube(spark, sf)
-    answers = tb.chat_answers(spark, sf, _evidence(spark, cube))
+    done = _audit(spark, sf)
+    answers = tb.chat_answers(spark, sf, done.evidence)
     asked = answers.groupBy(F.col("conv_id").alias("batch_id")).agg(
         F.max("question").alias("user_question")
     )
-    return grounded.stage_payloads(_contexts(spark, sf, cube), asked).select(
+    return grounded.stage_payloads(_contexts(spark, sf, done), asked).select(
         "batch_id",
         "company_id",
         "stage_no",
