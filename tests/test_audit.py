@@ -156,6 +156,11 @@ def test_unknown_category_is_kept_and_can_stop_the_run(spark):
         ev.category_evidence(ranked).collect()
 
 
+def test_factors_name_each_category_once(spark):
+    with pytest.raises(DataContractError, match="more than one row"):
+        factor_table(spark, [("a", 0.1, 0.2), ("a", 0.3, 0.4)])
+
+
 def test_bands_top_and_rest(spark):
     rows = [(n, 1, 1, 1.0, 0.1, s) for n, s in zip(("a", "b", "c", "d", "e"), (75.0, 74.99, 55.0, 54.99, 3.0))]
     frame = metrics_rows(spark, rows).withColumns(

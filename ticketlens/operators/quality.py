@@ -67,7 +67,7 @@ def parse_time(x: Column) -> Column:
 def with_violations(raw: DataFrame, categories: DataFrame) -> DataFrame:
     """Add the parsed columns and an array of violations to each raw row.
 
-    ``categories`` is the category domain; a left join flags values outside it, so
+    ``categories`` is the category domain, one row per category; a left join flags values outside it, so
     no row is lost.
     """
     domain = categories.select("category", F.lit(True).alias("_known"))

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ticketlens.errors import DataContractError
 from ticketlens.fixed_values import PROCESS_FACTORS
 from ticketlens.sources.schemas import FACTORS
 
@@ -23,5 +24,8 @@ def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructTy
 
 
 def factor_table(spark: SparkSession, rows: Sequence[tuple] = PROCESS_FACTORS) -> DataFrame:
-    """Category factors; the categories in it are the category domain."""
+    """Category factors, one row per category; its categories are the category domain."""
+    names = [row[0] for row in rows]
+    if len(set(names)) != len(names):
+        raise DataContractError("A category has more than one row of factors")
     return literal_table(spark, rows, FACTORS)
