@@ -403,8 +403,9 @@ _FINAL = {
         FROM companies""",
     "scan_process_docs": "SELECT batch_id, company_id, text, text = '' AS is_empty FROM process_docs",
     "unknown_companies": """
-        SELECT source AS company_id, count(*) AS requests FROM documents
-        WHERE doc_id % 7 = 0 AND source NOT IN (SELECT company_id FROM region_ids) GROUP BY source""",
+        SELECT company_id, count(*) AS requests
+        FROM (SELECT company_id FROM tickets UNION ALL SELECT source FROM documents)
+        WHERE company_id NOT IN (SELECT company_id FROM region_ids) GROUP BY company_id""",
     "evidence_json": """
         SELECT company_id, total_ticket_count, rank, category, automation_score,
                array_to_string(lines, '; ') AS facts

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketlens.fixed_values import CHAT_ROLES
 from ticketlens.operators import catalog as ca
 from ticketlens.operators import chat as ch
 from ticketlens.operators import drafts as dr
@@ -91,9 +92,9 @@ def scan_process_docs(spark, sf):
 
 @query
 def unknown_companies(spark, sf):
-    """Document sources that ask for a company no customer belongs to."""
-    requests = tb.table(spark, sf, "documents").select(
-        F.when(F.col("doc_id") % 7 == 0, F.col("source")).otherwise("asia").alias("company_id")
+    """Tickets ask for companies and documents for their sources; no source is a company."""
+    requests = tb.tickets(spark, sf).select("company_id").unionByName(
+        tb.table(spark, sf, "documents").select(F.col("source").alias("company_id"))
     )
     return co.unknown_companies(requests, tb.company_ids(spark, sf))
 
@@ -568,7 +569,7 @@ def result_complete(spark, sf):
 
 def _contexts(spark, sf, done):
     history = ch.history_lists(
-        ch.bounded_history(tb.chat_turns(spark, sf).filter(F.col("role").isin(*dr.CHAT_ROLES)))
+        ch.bounded_history(tb.chat_turns(spark, sf).filter(F.col("role").isin(*CHAT_ROLES)))
     ).withColumnRenamed("conv_id", "batch_id")
     return grounded.chat_contexts(
         _company_evidence(spark, sf, done),
