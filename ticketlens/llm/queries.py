@@ -65,13 +65,13 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
-    kinds = [
-        F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{secrets.KINDS[i]}")
-        for i in range(3)
-    ]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
     return found.select(
         F.col("key").alias("doc_id"),
-        *kinds,
+        *(count(kind) for kind in ("assign", "access", "hex")),
         F.sha2(secrets.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         secrets.listed(F.sort_array(F.concat("base", "added"))).alias("spans"),
     )
