@@ -34,7 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the row with the smallest id stays.
 
-    If the smallest id belongs to several rows, one of them stays. In classes whose rows all have null ids, all stay,
+    If the smallest id belongs to several rows of the class, one of them stays. In classes whose rows all have null ids, all stay,
     as nothing tells them apart.
     """
     found = staged(simhash.near_classes(docs), "classes")
@@ -48,9 +48,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     single = _without(docs, staged(dropped.union(repeated).distinct(), "dropped"))
     several = docs.join(twice, F.col("doc_id") == F.col("_repeated"), "left_semi")
     prints = simhash.fingerprints(several.select(F.struct("*").alias("row"), "text"), key="row").select("key", "fp")
-    classes = found.filter("key = component").select(F.col("key").alias("_id"), F.col("fp").alias("_fp")).distinct()
-    first = prints.join(classes, (F.col("key.doc_id") == F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_semi")
-    kept = first.groupBy(F.col("key.doc_id").alias("_id")).agg(F.min("key").alias("key"))
+    classes = found.filter("key = component").select(F.col("key").alias("_id"), F.col("fp").alias("_fp"), "root").distinct()
+    first = prints.join(classes, (F.col("key.doc_id") == F.col("_id")) & (F.col("fp") == F.col("_fp")))
+    kept = first.groupBy("_id", "root").agg(F.min("key").alias("key"))
     return single.unionByName(kept.select("key.*"))
 
 

@@ -227,12 +227,13 @@ def near_classes(
     radius: int = RADIUS,
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
-    """``(key, fp, component)`` for every row of ``docs``.
+    """``(key, fp, component, root)`` for every row of ``docs``.
 
     ``component`` is the least key reachable over links of at most ``radius`` differing bits,
     the row's own included; null keys are never the least, and a class with null keys only
     has a null component. Blank and null texts have fingerprint zero and link like
-    others. Repeated rows give repeated results; no rows give none.
+    others. ``root`` names the class, also where two classes share their least key. Repeated rows give
+    repeated results; no rows give none.
     """
     own = staged(fingerprints(docs, key, text, size), "fingerprints")
     members = staged(own.groupBy("fp").agg(F.min("key").alias("first")), "members")
@@ -241,5 +242,5 @@ def near_classes(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    classes = rooted.join(least, "root").select("fp", "component")
-    return own.join(classes, "fp").select("key", "fp", "component")
+    classes = rooted.join(least, "root").select("fp", "component", "root")
+    return own.join(classes, "fp").select("key", "fp", "component", "root")
