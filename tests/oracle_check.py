@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime
 import sys
+import tempfile
 import time
 from collections import Counter
 from pathlib import Path
@@ -66,6 +67,7 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "12g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="oracle-check-"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },

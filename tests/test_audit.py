@@ -30,34 +30,59 @@ def by_category(frame):
 
 def test_golden_totals(one):
     row = one.overall.head()
-    assert (row.total_ticket_count, row.total_handling_hours, row.overall_escalation_rate) == (4, 2.0, 0.5)
+    # (90 + 216) / 60 hours; four of six escalated.
+    assert (row.total_ticket_count, row.total_handling_hours, row.overall_escalation_rate) == (6, 5.1, 0.666667)
 
 
 def test_golden_categories_and_scores(one):
     rows = by_category(one.metrics)
-    status = rows["order status"]
-    assert status.ticket_count == 2 and status.category_percentage == 50
-    assert status.average_resolution_minutes == 15 and status.total_handling_hours == 0.5
-    assert status.escalation_rate == 0
-    assert status.automation_score == 87.5
-    assert rows["damaged shipment"].automation_score == 52.25
-    assert [r.position for r in (rows["damaged shipment"], status)] == [1, 2]
+    access, fraud = rows["account access"], rows["fraud review"]
+    assert access.ticket_count == 3 and access.category_percentage == 50
+    assert access.average_resolution_minutes == 30 and access.total_handling_hours == 1.5
+    assert access.escalation_rate == pytest.approx(1 / 3)
+    # 30 for volume, 25 * 0.95, 15 * 30 / 90, 15 * 2 / 3, 15 * 0.95
+    assert access.automation_score == 83.0
+    # 30, 25 * 0.18, 15 * 72 / 90, 0, 15 * 0.22
+    assert fraud.automation_score == 49.8
+    assert [r.position for r in (access, fraud)] == [1, 2]
 
 
 def test_golden_dimensions(one):
     channels = [(r.value, r.ticket_count) for r in one.channels.orderBy("position").collect()]
     tiers = [(r.value, r.ticket_count) for r in one.tiers.orderBy("position").collect()]
-    assert channels == [("email", 2), ("phone", 2)]
-    assert tiers == [("standard", 3), ("priority", 1)]
+    assert channels == [("chat", 3), ("phone", 2), ("letter", 1)]
+    assert tiers == [("basic", 4), ("gold", 2)]
 
 
 def test_three_tie_rules(one):
     """Equal volume: the audit takes the last name, the overview the first."""
-    assert one.highest_volume.head().category == "order status"
+    assert one.highest_volume.head().category == "fraud review"
     extremes = sc.overview_extremes(one.metrics).head()
-    assert extremes.volume_category == "damaged shipment"
-    assert extremes.score_category == "order status" and extremes.top_score == 87.5
-    assert one.highest_automation.head().category == "order status"
+    assert extremes.volume_category == "account access"
+    assert extremes.score_category == "account access" and extremes.top_score == 83.0
+    assert one.highest_automation.head().category == "account access"
+
+
+def test_positions_of_a_million_values(spark):
+    """One company with a million channels: places agree with a sort, and no window gathers them."""
+    counted = spark.range(1_000_000).select(
+        F.lit("one").alias("company_id"),
+        F.concat(F.lit("c"), "id").alias("channel"),
+        (F.col("id") % 3).alias("ticket_count"),
+    )
+    out = me.dimension_counts(counted, "channel")
+    row = out.agg(F.count("*"), F.min("position"), F.max("position"), F.countDistinct("position")).head()
+    assert tuple(row) == (1_000_000, 1, 1_000_000, 1_000_000)
+    first = out.filter("position <= 3").orderBy("position").collect()
+    assert [r.value for r in first] == ["c100001", "c100004", "c100007"]
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in text
+
+
+def test_positions_of_missing_values(spark):
+    cube = spark.createDataFrame([(None, "x", 1), (None, None, 2), ("one", None, 3)], "company_id string, channel string, ticket_count bigint")
+    got = {(r.company_id, r.value): r.position for r in me.dimension_counts(cube, "channel").collect()}
+    assert got == {(None, None): 1, (None, "x"): 2, ("one", None): 1}
 
 
 def test_summary_levels_agree(spark):
@@ -65,13 +90,13 @@ def test_summary_levels_agree(spark):
     totals = {}
     for r in rows:
         totals[r.level] = totals.get(r.level, 0) + r.ticket_count
-    assert totals == {"company": 4, "category": 4, "channel": 4, "customer_tier": 4}
+    assert totals == {"company": 6, "category": 6, "channel": 6, "customer_tier": 6}
 
 
 def test_missing_dimension_values_keep_their_level(spark):
     frame = golden(spark).withColumn("channel", F.lit(None).cast("string"))
     rows = me.support_summary(me.ticket_cube(frame)).filter("level = 'channel'").collect()
-    assert [(r.value, r.ticket_count) for r in rows] == [(None, 4)]
+    assert [(r.value, r.ticket_count) for r in rows] == [(None, 6)]
 
 
 def metrics_rows(spark, rows):
@@ -197,31 +222,31 @@ def test_chart_series(spark):
 def test_headline_cards(one):
     cards = pr.headline_cards(one.overall, sc.overview_extremes(one.metrics)).orderBy("card_no")
     assert [(r.value, r.support) for r in cards.collect()] == [
-        ("4", "All recorded tickets"),
-        ("2.0", "Recorded resolution effort"),
-        ("50.0%", "Share requiring escalation"),
-        ("Damaged Shipment", "2 tickets"),
-        ("Order Status", "87.5 out of 100"),
+        ("6", "All recorded tickets"),
+        ("5.1", "Recorded resolution effort"),
+        ("66.7%", "Share requiring escalation"),
+        ("Account Access", "3 tickets"),
+        ("Account Access", "83.0 out of 100"),
     ]
 
 
 def test_fact_lines(one):
-    lines = by_category(one.opportunities.withColumn("lines", ev.fact_lines()))["order status"].lines
+    lines = by_category(one.opportunities.withColumn("lines", ev.fact_lines()))["fraud review"].lines
     assert lines == [
-        "Ticket count: 2",
+        "Ticket count: 3",
         "Category percentage: 50.00%",
-        "Average resolution minutes: 15.00",
-        "Total handling hours: 0.50",
-        "Escalation rate: 0.00%",
-        "Automation score: 87.50/100",
+        "Average resolution minutes: 72.00",
+        "Total handling hours: 3.60",
+        "Escalation rate: 100.00%",
+        "Automation score: 49.80/100",
     ]
 
 
 def test_companies_do_not_mix(spark):
-    both = golden(spark, "one").unionByName(golden(spark, "two").filter("ticket_id <> '4'"))
+    both = golden(spark, "one").unionByName(golden(spark, "two").filter("ticket_id <> 'b'"))
     rows = {r.company_id: r for r in me.overall_metrics(me.ticket_cube(both)).collect()}
-    assert rows["one"].total_ticket_count == 4 and rows["two"].total_ticket_count == 3
-    assert rows["two"].total_handling_hours == 1.0
+    assert rows["one"].total_ticket_count == 6 and rows["two"].total_ticket_count == 5
+    assert rows["two"].total_handling_hours == 3.43
 
 
 def test_invariants_per_company(spark, sf_dir):

@@ -81,9 +81,21 @@ def test_limb_sum_of_large_values_negatives_and_infinity(spark):
     assert _limb_sum(big) == 2.0**41 + 0.5
     assert _limb_sum(spark.createDataFrame([(-0.5,), (-1.25,)], "x double")) == -1.75
     assert _limb_sum(spark.createDataFrame([(math.inf,), (1.0,)], "x double")) == math.inf
+    assert _limb_sum(spark.createDataFrame([(math.inf,), (-math.inf,)], "x double")) is not None
     assert _limb_sum(spark.createDataFrame([], "x double")) is None
 
 
+def test_limb_sum_of_tiny_values(spark):
+    frame = spark.createDataFrame([(3e-13,), (3e-13,), (3e-13,), (-1e-20,)], "x double")
+    assert _limb_sum(frame) == pytest.approx(9e-13 - 1e-20, rel=1e-15)
+
+
+@pytest.mark.parametrize("value", [2.0**31, 2.0**40, 1e15 + 0.5, 1e22])
+def test_limb_sum_of_ten_million_large_values(spark, value):
+    frame = spark.range(10_000_000).select(F.lit(value).alias("x"))
+    assert _limb_sum(frame) == float(Fraction(value) * 10_000_000)
+
+
 TEXTS = [
     "  plain ",
     "\t\r\n inner  runs   stay   ",

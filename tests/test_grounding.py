@@ -80,8 +80,8 @@ def loop_over_drafts(rows):
 
 def test_recommendation_branches(spark, evidence):
     rows = [
-        draft(1, 0, "shipping delay"),
-        draft(1, 1, evidence=["Ticket count: 999,999", "Automation score: 87.50/100"]),
+        draft(1, 0, "lost badge"),
+        draft(1, 1, evidence=["Ticket count: 3", "Automation score: 87.50/100"]),
         draft(1, 2),
         draft(2, 0, evidence=["Ticket count: 2"]),
         draft(2, 1, evidence=["Ticket count: 2", "Ticket count: 2"]),
@@ -93,7 +93,7 @@ def test_recommendation_branches(spark, evidence):
     ]
     got = judged(spark, evidence, rows)
     assert {k: v for k, (v, _) in got.items()} == loop_over_drafts(rows)
-    assert got[1, 0] == ("unsupported", "Rejected unsupported category: shipping delay")
+    assert got[1, 0] == ("unsupported", "Rejected unsupported category: lost badge")
     assert got[1, 1][1].startswith("Rejected order status: numeric evidence was missing")
     assert got[1, 2] == ("accepted", None)  # an earlier rejected one does not block it
     assert got[2, 1][0] == "accepted"  # repeated lines count
@@ -107,7 +107,7 @@ def random_drafts(batches, seed):
     rows = []
     for batch in range(batches):
         for pos in range(rng.randint(1, 5)):
-            category = rng.choice([*LINES, "shipping delay"])
+            category = rng.choice([*LINES, "lost badge"])
             pool = [*LINES.get(category, []), "Invented"]
             weights = [9] * (len(pool) - 1) + [1]
             lines = rng.choices(pool, weights, k=rng.choice([1, 2, 2, 3]))
@@ -124,7 +124,7 @@ def test_recommendations_equal_the_loop(spark, evidence):
 
 
 def test_gate_and_issue_merge(spark, evidence):
-    rows = [draft(1, 0, "shipping delay"), draft(1, 1), draft(2, 0, "x"), draft(2, 1, "y"), draft(3, 0)]
+    rows = [draft(1, 0, "lost badge"), draft(1, 1), draft(2, 0, "x"), draft(2, 1, "y"), draft(3, 0)]
     verified = rc.verify_recommendations(spark.createDataFrame(rows, DRAFT), evidence)
     gate = {r.batch_id: r.ok for r in rc.batch_gate(verified).collect()}
     assert gate == {1: True, 2: False, 3: True}
@@ -133,7 +133,7 @@ def test_gate_and_issue_merge(spark, evidence):
     narratives = spark.createDataFrame([(1, ["own"]), (2, None), (3, ["only"])], "batch_id bigint, limitations array<string>")
     merged = {r.batch_id: r.limitations for r in rp.merged_limitations(narratives, verified).collect()}
     assert merged == {
-        1: ["own", "Rejected unsupported category: shipping delay"],
+        1: ["own", "Rejected unsupported category: lost badge"],
         2: ["Rejected unsupported category: x", "Rejected unsupported category: y"],
         3: ["only"],
     }
@@ -193,14 +193,14 @@ def test_answers(spark):
     )
     answers = spark.createDataFrame(
         [
-            (1, "a", "  A lead does. \n"),
-            (1, "b", " \t"),
-            (1, "zz", "The ticket count is 42."),
-            (2, "a", "The Ticket Count is 42."),
-            (2, "zz", "hello"),
-            (3, "a", "The ticket count is unknown"),
+            (1, 5, "a", "  A lead does. \n"),
+            (1, 4, "b", " \t"),
+            (1, 3, "zz", "Our handling hours are 7."),
+            (2, 0, "a", "Our Handling Hours are 7."),
+            (2, 1, "zz", "hello"),
+            (3, 0, "a", "The handling hours are unknown"),
         ],
-        "batch_id bigint, question_id string, answer string",
+        "batch_id bigint, pos int, question_id string, answer string",
     )
     out = qs.verify_answers(answers, questions)
     rows = {(r.batch_id, r.question_id): r for r in out.collect()}
@@ -221,7 +221,7 @@ def test_answers(spark):
 
 CATALOG = ["Ticket count: 1,042", "Automation score: 87.50/100", "Process documentation — **Systems used:** Inbox"]
 ANSWER = (
-    "conv_id bigint, turn bigint, company_id string, question string, answer string, "
+    "batch_id bigint, turn bigint, company_id string, question string, answer string, "
     "evidence_used array<string>, assumptions array<string>, missing_information array<string>"
 )
 
@@ -265,13 +265,31 @@ def test_chat_answers_equal_the_loop(spark):
                 rng.choice([[], ["a gap"]]),
             )
         )
-    catalog = spark.createDataFrame([("one", line) for line in CATALOG] + [("two", "Invented")], "company_id string, line string")
-    out = ch.verify_chat_answers(spark.createDataFrame(rows, ANSWER), catalog)
-    got = {(r.conv_id, r.turn): r.verdict for r in out.collect()}
+    # Every other batch has a line of its own, which its neighbours may not cite.
+    contexts = spark.createDataFrame(
+        [(conv, [*CATALOG, *(["Invented"] if conv < 0 else [])]) for conv in range(-700, 700)],
+        "batch_id bigint, evidence_catalog array<string>",
+    )
+    answers = spark.createDataFrame(rows, ANSWER)
+    out = ch.verify_chat_answers(answers, ch.foreign_lines(answers, contexts))
+    got = {(r.batch_id, r.turn): r.verdict for r in out.collect()}
     assert got == loop_over_answers(rows)
     assert len(set(got.values())) == 7
 
 
+def test_an_answer_may_cite_its_own_batch_only(spark):
+    contexts = spark.createDataFrame(
+        [(1, ["own line"]), (2, ["own line", "neighbour's line"])], "batch_id bigint, evidence_catalog array<string>"
+    )
+    texts = [(1, 1, ["own line"]), (1, 2, ["neighbour's line"]), (2, 1, ["neighbour's line"]), (3, 1, ["own line"])]
+    rows = [(b, t, "one", "Why?", "So.", cited, [], []) for b, t, cited in texts]
+    answers = spark.createDataFrame(rows, ANSWER)
+    out = ch.verify_chat_answers(answers, ch.foreign_lines(answers, contexts)).collect()
+    assert {(r.batch_id, r.turn): r.verdict for r in out} == {
+        (1, 1): "accepted", (1, 2): "outside", (2, 1): "accepted", (3, 1): "outside",
+    }
+
+
 def test_coverage(spark):
     metrics = spark.createDataFrame(
         [("one", "a"), ("one", "b"), ("two", "a")], "company_id string, category string"
@@ -308,6 +326,17 @@ def test_bounded_history(spark):
         ch.bounded_history(frame, 21)
 
 
+def test_history_keeps_answer_details(spark):
+    details = ("so", ["line"], [], ["gap"])
+    frame = spark.createDataFrame(
+        [(1, 0, "user", "q", None), (1, 1, "assistant", "so", details)],
+        "conv_id bigint, turn bigint, role string, content string, answer_details "
+        "struct<answer:string,evidence_used:array<string>,assumptions:array<string>,missing_information:array<string>>",
+    )
+    turns = ch.history_lists(ch.bounded_history(frame)).head().recent_turns
+    assert [t.answer_details and tuple(t.answer_details) for t in turns] == [None, details]
+
+
 def test_parsing_and_bounds(spark):
     good = (
         '{"recommendations":[{"category":"c","title":"t","current_workflow":"w","proposed_automation":"p",'
@@ -323,18 +352,21 @@ def test_parsing_and_bounds(spark):
         6: good.replace('"risks":["r"]', '"risks":[]'),
         7: good.replace('"title":"t",', ""),
         8: '{"recommendations":"none"}',
+        9: good.replace('"title":"t"', '"title":["t"]'),
+        10: good.replace('"risks":["r"]', '"risks":["r",4]'),
+        11: good.replace('"title":"t"', '"title":null'),
     }
     frame = spark.createDataFrame(list(texts.items()), "batch_id bigint, document string")
     parsed = dr.parse_documents(frame, schemas.RECOMMENDATION_BATCH)
     status = {r.batch_id: r.status for r in parsed.collect()}
-    assert status == {1: "ok", 2: "malformed", 3: "malformed", 4: "malformed", 5: "ok", 6: "ok", 7: "ok", 8: "malformed"}
+    assert status == {1: "ok", 2: "malformed", 3: "malformed", 4: "malformed", 5: "ok", 6: "ok", 7: "ok", 8: "malformed", 9: "malformed", 10: "malformed", 11: "ok"}
     with pytest.raises(GroundingError):
         dr.require_documents_ok(parsed)
     rows = dr.explode_batch(parsed, ["batch_id"], "recommendations")
     broken = {r.batch_id: r.broken for r in dr.with_broken_bounds(rows, dr.recommendation_bounds()).collect()}
-    assert broken == {1: [], 5: ["confidence"], 6: ["risks"], 7: ["title"]}
+    assert broken == {1: [], 5: ["confidence"], 6: ["risks"], 7: ["title"], 11: ["title"]}
     contract = dr.batch_contract(rows, dr.recommendation_bounds(), ["batch_id"])
-    assert {r.batch_id: r.ok for r in contract.collect()} == {1: True, 5: False, 6: False, 7: False}
+    assert {r.batch_id: r.ok for r in contract.collect()} == {1: True, 5: False, 6: False, 7: False, 11: False}
     assert [r.batch_id for r in dr.standing_batches(rows, contract, ["batch_id"]).collect()] == [1]
 
 
@@ -362,33 +394,66 @@ def test_four_entries_are_too_many(spark):
     assert out == {1: (4, 0, False), 2: (1, 1, False)}
 
 
+OTHER_KINDS = {
+    "questions": (
+        schemas.QUESTION_BATCH,
+        '{"questions":[{"question_id":"a","question":"Who signs it off?","rationale":"It matters.","related_categories":["c"]}]}',
+        ('"question_id":"a"', '"question_id":{"a":1}'),
+    ),
+    "analyses": (
+        schemas.PROCESS_ANALYSIS_BATCH,
+        '{"analyses":[{"category":"c","repetitive_steps":["s"],"systems_used":[],"exception_cases":[],'
+        '"human_approval_required":true,"observations":[]}]}',
+        ("true", '"often"'),
+    ),
+    "narrative": (schemas.NARRATIVE, '{"executive_summary":"s","limitations":["l"]}', ('["l"]', '"l"')),
+    "chat answer": (
+        schemas.CHAT_ANSWER,
+        '{"answer":"a","evidence_used":[],"assumptions":["m"],"missing_information":[]}',
+        ('["m"]', "[[]]"),
+    ),
+}
+
+
+@pytest.mark.parametrize("kind", OTHER_KINDS)
+def test_parsing_of_the_other_documents(spark, kind):
+    schema, good, (part, wrong) = OTHER_KINDS[kind]
+    texts = [good, good[:20], "{}", good.replace(part, wrong), None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "batch_id int, document string")
+    status = {r.batch_id: r.status for r in dr.parse_documents(frame, schema).collect()}
+    assert status == {0: "ok", 1: "malformed", 2: "malformed", 3: "malformed", 4: "malformed"}
+
+
+def test_a_question_is_not_required_by_default(spark):
+    schema, good, _ = OTHER_KINDS["questions"]
+    texts = [good, good.replace('"question_id"', '"required":true,"question_id"')]
+    frame = spark.createDataFrame(list(enumerate(texts)), "batch_id int, document string")
+    rows = dr.explode_batch(dr.parse_documents(frame, schema), ["batch_id"], "questions").collect()
+    assert {r.batch_id: r.required for r in rows} == {0: False, 1: True}
+
+
 def test_catalog_keeps_the_first_occurrence_in_order(spark):
-    opportunities = spark.createDataFrame(
-        [("one", 1, "a", 1200, 60.0, 15.0, 300.0, 0.5, 88.0, "Because.")],
-        "company_id string, rank int, category string, ticket_count bigint, category_percentage double, "
-        "average_resolution_minutes double, total_handling_hours double, escalation_rate double, "
-        "automation_score double, explanation string",
-    )
-    analyses = spark.createDataFrame(
-        [("one", 0, "a", ["step", "step"], ["Inbox"], ["None"])],
-        "company_id string, ordinal bigint, category string, repetitive_steps array<string>, "
-        "systems_used array<string>, exception_cases array<string>",
-    )
-    recommendations = spark.createDataFrame(
-        [("one", 0, "a", "Title", ["risk"], ["review"])],
-        "company_id string, ordinal bigint, category string, title string, risks array<string>, human_review_points array<string>",
-    )
-    documents = spark.createDataFrame(
-        [("one", 0, "- **X:** y\nz\n- **X:** y\n- **A:** b")], "company_id string, ordinal bigint, text string"
+    facts = ["Ticket count: 1,200", "Automation score: 88.00/100"]
+    contexts = spark.createDataFrame(
+        [
+            (
+                2**63 - 1,
+                [(facts, ("a",), "Because.")],
+                [("a", ["step", "step"], ["Inbox"], ["None"])],
+                [("a", "Title", ["risk"], ["review"])],
+                "- **X:** y\nz\n- **X:** y\n- **A:** b",
+            )
+        ],
+        "batch_id bigint, categories array<struct<allowed_numeric_evidence:array<string>,metrics:struct<category:string>,"
+        "deterministic_explanation:string>>, analyses array<struct<category:string,repetitive_steps:array<string>,"
+        "systems_used:array<string>,exception_cases:array<string>>>, recommendations array<struct<category:string,"
+        "title:string,risks:array<string>,human_review_points:array<string>>>, document string",
     )
-    out = ca.evidence_catalog(ca.catalog_lines(opportunities, analyses, recommendations, documents))
-    assert [r.line for r in out.orderBy("ordinal").collect()] == [
-        "Ticket count: 1,200",
-        "Category percentage: 60.00%",
-        "Average resolution minutes: 15.00",
-        "Total handling hours: 300.00",
-        "Escalation rate: 50.00%",
-        "Automation score: 88.00/100",
+    lines = ca.catalog_of(*map(F.col, ("categories", "analyses", "recommendations", "document")))
+    out = ca.catalog_lines(contexts.select("batch_id", lines.alias("evidence_catalog"))).orderBy("line_no").collect()
+    assert {r.batch_id for r in out} == {2**63 - 1}
+    assert [r.line for r in out] == [
+        *facts,
         "Deterministic ranking — a: Because.",
         "Process documentation — a — repetitive step: step",
         "Process documentation — a — system: Inbox",
@@ -399,6 +464,3 @@ def test_catalog_keeps_the_first_occurrence_in_order(spark):
         "Process documentation — **X:** y",
         "Process documentation — **A:** b",
     ]
-    beyond = documents.withColumn("ordinal", F.lit(2**33))
-    with pytest.raises(Exception, match="order number"):
-        ca.catalog_lines(opportunities, analyses, recommendations, beyond).collect()

@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry_module
-from oracle_check import compare, connect
+from oracle_check import TABLES, compare, connect
+from ticketlens.workloads.oracle import ORACLES
+from ticketlens.workloads.queries import QUERIES
 
-ROWS_ONLY = {"stage_payloads"}
 
 
 @pytest.fixture(scope="module")
@@ -13,12 +14,17 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
+@pytest.fixture(scope="module")
+def con_larger():
+    return connect("/root/testdata/sf0.01")
+
+
 def test_every_query_has_an_oracle():
-    assert set(entry_module.queries()) - set(entry_module.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) == set(ORACLES)
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_oracle(spark, con, sf_dir, name):
     assert compare(spark, con, sf_dir, name) is None
 
@@ -38,6 +44,27 @@ def test_query_equals_oracle_without_broadcasts(spark, con, sf_dir, name):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 
+VERDICTS = ("verdict", "ok", "status", "row_free", "unchanged", "refined", "is_empty", "broken", "required", "process_analysis",
+            "evidence", "report", "clarification_questions", "has_factors")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_every_verdict_occurs(con_larger, name):
+    """Each boolean or verdict column takes two values or more."""
+    rows = con_larger.execute(ORACLES[name])
+    columns = [d[0] for d in rows.description]
+    # turn_contract lists broken turns only, and the given turns break one bound.
+    if set(VERDICTS) & set(columns) and name != "turn_contract":
+        found = rows.fetchall()
+        for column in set(VERDICTS) & set(columns):
+            assert len({r[columns.index(column)] for r in found}) > 1, column
+
+
+def test_every_check_finds_something(con_larger):
+    found = con_larger.execute(f'SELECT "check" FROM ({ORACLES["dq_report"]}) WHERE findings > 0').fetchall()
+    assert len({r[0] for r in found}) == 6
+
+
 def test_entry(spark):
     frame = entry_module.entry(spark)
     assert frame.columns == ["company_id", "category", "ticket_count", "automation_score", "rank"]

@@ -170,6 +170,7 @@ CONFIDENCE_LEVELS = ("low", "medium", "high")
 CHAT_ROLES = ("user", "assistant")
 QUESTION_ID_PATTERN = "^[a-z0-9_-]+$"
 BATCH_LIMIT = 3
+LEAST_LINES = 2
 DEFAULT_HISTORY = 6
 LARGEST_HISTORY = 20
 
@@ -205,3 +206,12 @@ CATALOG_RANKING = "Deterministic ranking — "
 CATALOG_PROCESS = "Process documentation — "
 CATALOG_RECOMMENDATION = "Verified recommendation — "
 BULLET_START = "- **"
+
+# Kinds of catalog lines
+
+CATALOG_STEP = "repetitive step"
+CATALOG_SYSTEM = "system"
+CATALOG_EXCEPTION = "exception"
+CATALOG_TITLE = "title"
+CATALOG_RISK = "risk"
+CATALOG_REVIEW = "human review"

@@ -1,21 +1,16 @@
-"""The catalog of lines that a chat answer may cite."""
+"""The catalog of lines that a chat answer may cite: one for each audit result."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.fixed_values import CATALOG_PROCESS, CATALOG_RANKING, CATALOG_RECOMMENDATION
-from ticketlens.operators.evidence import fact_lines
+from ticketlens import fixed_values as fixed
 from ticketlens.sources.documents import bullet_lines
 
-_MAJOR_BOUND = 2**33
-
 
 def ranking_line(category: Column, explanation: Column) -> Column:
-    return F.concat(F.lit(CATALOG_RANKING), category, F.lit(": "), explanation)
+    return F.concat(F.lit(fixed.CATALOG_RANKING), category, F.lit(": "), explanation)
 
 
 def _prefixed(values: Column, prefix: str, category: Column, middle: str) -> Column:
@@ -24,22 +19,24 @@ def _prefixed(values: Column, prefix: str, category: Column, middle: str) -> Col
     )
 
 
-def opportunity_lines() -> Column:
+def category_entry_lines(entry: Column) -> Column:
+    """Fact lines and ranking line of one category of a company's evidence."""
     return F.concat(
-        fact_lines(), F.array(ranking_line(F.col("category"), F.col("explanation")))
+        entry["allowed_numeric_evidence"],
+        F.array(ranking_line(entry["metrics"]["category"], entry["deterministic_explanation"])),
     )
 
 
 def analysis_entry_lines(entry: Column) -> Column:
     """Lines of one process analysis given as a struct."""
     kinds = {
-        "repetitive_steps": "repetitive step",
-        "systems_used": "system",
-        "exception_cases": "exception",
+        "repetitive_steps": fixed.CATALOG_STEP,
+        "systems_used": fixed.CATALOG_SYSTEM,
+        "exception_cases": fixed.CATALOG_EXCEPTION,
     }
     return F.concat(
         *(
-            _prefixed(entry[field], CATALOG_PROCESS, entry["category"], middle)
+            _prefixed(entry[field], fixed.CATALOG_PROCESS, entry["category"], middle)
             for field, middle in kinds.items()
         )
     )
@@ -47,71 +44,26 @@ def analysis_entry_lines(entry: Column) -> Column:
 
 def recommendation_entry_lines(entry: Column) -> Column:
     """Lines of one verified recommendation given as a struct."""
-    category = entry["category"]
+    category, prefix = entry["category"], fixed.CATALOG_RECOMMENDATION
     return F.concat(
-        _prefixed(F.array(entry["title"]), CATALOG_RECOMMENDATION, category, "title"),
-        _prefixed(entry["risks"], CATALOG_RECOMMENDATION, category, "risk"),
-        _prefixed(entry["human_review_points"], CATALOG_RECOMMENDATION, category, "human review"),
+        _prefixed(F.array(entry["title"]), prefix, category, fixed.CATALOG_TITLE),
+        _prefixed(entry["risks"], prefix, category, fixed.CATALOG_RISK),
+        _prefixed(entry["human_review_points"], prefix, category, fixed.CATALOG_REVIEW),
     )
 
 
-_ANALYSIS_FIELDS = ("category", "repetitive_steps", "systems_used", "exception_cases")
-_RECOMMENDATION_FIELDS = ("category", "title", "risks", "human_review_points")
-
-
-def _numbered(frame: DataFrame, source: int, major: Column, values: Column) -> DataFrame:
-    """Lines with an ordinal: 2 bits source, 33 bits major, 28 bits place in the row.
-
-    The place fits because a row holds fewer than 2**28 strings; a larger major
-    stops the job.
-    """
-    checked = F.when(
-        (major >= 0) & (major < _MAJOR_BOUND), major.cast("bigint")
-    ).otherwise(F.raise_error(F.lit("catalog order number outside 0..2**33-1")).cast("bigint"))
-    return frame.select(
-        "company_id", checked.alias("_major"), F.posexplode(values).alias("_place", "line")
-    ).select(
-        "company_id",
-        "line",
-        (
-            F.lit(source).cast("bigint") * F.lit(2**61)
-            + F.shiftleft(F.col("_major"), 28)
-            + F.col("_place")
-        ).alias("ordinal"),
+def catalog_of(categories: Column, analyses: Column, recommendations: Column, document: Column) -> Column:
+    """The distinct lines of one audit result, in order of their first occurrence."""
+    return F.array_distinct(
+        F.concat(
+            F.flatten(F.transform(categories, category_entry_lines)),
+            F.flatten(F.transform(analyses, analysis_entry_lines)),
+            F.flatten(F.transform(recommendations, recommendation_entry_lines)),
+            bullet_lines(document),
+        )
     )
 
 
-def catalog_lines(
-    opportunities: DataFrame,
-    analyses: DataFrame,
-    recommendations: DataFrame,
-    documents: DataFrame,
-) -> DataFrame:
-    """All lines that may be cited, repeats included: ``(company_id, line, ordinal)``.
-
-    ``analyses``, ``recommendations`` and ``documents`` carry ``ordinal``, their
-    place in the company's list. No shuffle.
-    """
-    parts = [
-        _numbered(opportunities, 0, F.col("rank"), opportunity_lines()),
-        _numbered(
-            analyses, 1, F.col("ordinal"), analysis_entry_lines(F.struct(*_ANALYSIS_FIELDS))
-        ),
-        _numbered(
-            recommendations,
-            2,
-            F.col("ordinal"),
-            recommendation_entry_lines(F.struct(*_RECOMMENDATION_FIELDS)),
-        ),
-        _numbered(documents, 3, F.col("ordinal"), bullet_lines(F.col("text"))),
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def evidence_catalog(lines: DataFrame) -> DataFrame:
-    """Distinct lines per company with the ordinal of their first occurrence.
-
-    A partial aggregation on (company, line): repeated lines shrink before the
-    shuffle, and no company is gathered in one task.
-    """
-    return lines.groupBy("company_id", "line").agg(F.min("ordinal").alias("ordinal"))
+def catalog_lines(contexts: DataFrame) -> DataFrame:
+    """Catalogs laid out flat: ``(batch_id, line_no, line)``. Every row stays where it is."""
+    return contexts.select("batch_id", F.posexplode("evidence_catalog").alias("line_no", "line"))

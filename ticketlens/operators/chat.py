@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ticketlens import fixed_values as fixed
 from ticketlens.functions.text import mentions_any, number_tokens, starts_with_any, strip
+from ticketlens.sources.schemas import CHAT_ANSWER
 
 
 def bounded_history(turns: DataFrame, max_messages: int = fixed.DEFAULT_HISTORY) -> DataFrame:
@@ -30,13 +31,16 @@ def bounded_history(turns: DataFrame, max_messages: int = fixed.DEFAULT_HISTORY)
 
 
 def history_lists(bounded: DataFrame) -> DataFrame:
-    """One row per conversation with its bounded turns as an ordered array."""
-    turn = F.struct("turn", "role", "content")
-    ordered = F.array_sort(F.collect_list(turn))
+    """One row per conversation with its bounded turns as an ordered array.
+
+    ``answer_details`` of a turn is kept where the turns carry it, else null.
+    """
+    if "answer_details" not in bounded.columns:
+        bounded = bounded.withColumn("answer_details", F.lit(None).cast(CHAT_ANSWER))
+    turn = F.struct("turn", "role", "content", "answer_details")
+    by_turn = F.array_sort(F.collect_list(turn))
     return bounded.groupBy("conv_id").agg(
-        F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias(
-            "recent_turns"
-        )
+        F.transform(by_turn, lambda t: t.dropFields("turn")).alias("recent_turns")
     )
 
 
@@ -48,34 +52,34 @@ def numeric_tokens(texts: DataFrame, keys: Sequence[str], column: str) -> DataFr
 
 
 def cited_lines(answers: DataFrame) -> DataFrame:
-    """Distinct lines cited per company: ``(company_id, line)``."""
-    return answers.select("company_id", F.explode("evidence_used").alias("line")).distinct()
+    """Distinct lines cited per batch: ``(batch_id, line)``.
+
+    A line cited by very many answers shrinks before the shuffle.
+    """
+    return answers.select("batch_id", F.explode("evidence_used").alias("line")).distinct()
 
 
-def cited_catalog(lines: DataFrame, cited: DataFrame) -> DataFrame:
-    """Catalog lines that are cited at all.
+def foreign_lines(answers: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Cited lines that aren't in the catalog of their own batch: ``(batch_id, line)``.
 
-    With ``cited`` staged, its size is known: while it is small the lines of all
-    documents are filtered where they are made, and hardly any is shuffled.
+    Only catalogs of batches with citations are laid out; both sides hold a line of a batch once.
     """
-    return lines.join(cited, ["company_id", "line"], "left_semi")
+    cited = cited_lines(answers)
+    asked = cited.select("batch_id").distinct()
+    lines = contexts.join(asked, "batch_id", "left_semi").select("batch_id", F.explode("evidence_catalog").alias("line"))
+    return cited.join(lines, ["batch_id", "line"], "left_anti")
 
 
-def verify_chat_answers(answers: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Add ``verdict`` and ``issue`` to answers keyed by (conv_id, turn).
+def verify_chat_answers(answers: DataFrame, foreign: DataFrame) -> DataFrame:
+    """Add ``verdict`` and ``issue`` to answers keyed by (batch_id, turn).
 
-    ``answers`` carries company_id, question, answer, evidence_used, assumptions and
-    missing_information; ``catalog`` has (company_id, line) and may be cut down with
-    ``cited_catalog``. Cited lines are exploded and anti-joined on the line itself, so
-    work spreads over lines and no company's catalog is gathered; only the keys with
-    a line outside come back.
+    ``answers`` carries question, answer, evidence_used, assumptions and missing_information;
+    ``foreign`` is what ``foreign_lines`` finds. Only keys of answers that cite such a line come back to the texts.
     """
-    cited = answers.select(
-        "conv_id", "turn", "company_id", F.explode("evidence_used").alias("line")
-    )
+    cited = answers.select("batch_id", "turn", F.explode("evidence_used").alias("line"))
     outside = (
-        cited.join(catalog.select("company_id", "line"), ["company_id", "line"], "left_anti")
-        .select("conv_id", "turn", F.lit(True).alias("_outside"))
+        cited.join(foreign, ["batch_id", "line"], "left_semi")
+        .select("batch_id", "turn", F.lit(True).alias("_outside"))
         .distinct()
     )
     answer = F.col("answer")
@@ -114,7 +118,7 @@ def verify_chat_answers(answers: DataFrame, catalog: DataFrame) -> DataFrame:
     return (
         answers.withColumn("_blank", F.length(strip(F.col("question"))) == 0)
         .withColumn("_own", own)
-        .join(outside, ["conv_id", "turn"], "left")
+        .join(outside, ["batch_id", "turn"], "left")
         .withColumn("verdict", verdict)
         .drop("_outside", "_blank", "_own")
         .withColumn("issue", issue)

@@ -7,6 +7,7 @@ inside its row. The flat form has one row per entry with its place ``pos``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,26 @@ from ticketlens.fixed_values import (
 _CORRUPT = "_corrupt"
 
 
+def _wrong_types(schema: T.DataType, found: Column) -> list[Column]:
+    """Tests on a document's own schema text: does a declared field hold something else?
+
+    Parsing alone would take any value for a text.
+    """
+    if isinstance(schema, T.ArrayType):
+        return _wrong_types(schema.elementType, found)
+    if not isinstance(schema, T.StructType):
+        return []
+    tests = []
+    for field in schema.fields:
+        kind = field.dataType.simpleString()
+        allowed = {"string": "STRING", "boolean": "BOOLEAN", "array<string>": "ARRAY<(?:STRING|VOID)>"}.get(kind)
+        if allowed:
+            tests.append(found.rlike(rf"(?<![A-Za-z_]){field.name}: (?!{allowed}|VOID)"))
+        else:
+            tests += _wrong_types(field.dataType, found)
+    return tests
+
+
 def parse_documents(drafts: DataFrame, schema: T.StructType, column: str = "document") -> DataFrame:
     """Add ``parsed`` and ``status`` (``ok``, ``malformed``); unreadable texts keep their row."""
     extended = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
@@ -32,25 +53,41 @@ def parse_documents(drafts: DataFrame, schema: T.StructType, column: str = "docu
     missing = F.lit(False)
     for field in schema.fields:
         missing = missing | F.col(f"_parsed.{field.name}").isNull()
-    malformed = F.col("_parsed").isNull() | F.col(f"_parsed.{_CORRUPT}").isNotNull() | missing
+    wrong = reduce(lambda a, b: a | b, _wrong_types(schema, F.col("_found")), F.lit(False))
+    malformed = (
+        F.col("_parsed").isNull()
+        | F.col(f"_parsed.{_CORRUPT}").isNotNull()
+        | missing
+        | F.coalesce(wrong, F.lit(True))
+    )
     return (
         drafts.withColumn("_parsed", parsed)
+        .withColumn("_found", F.schema_of_variant(F.try_parse_json(column)))
         .withColumn("status", F.when(malformed, "malformed").otherwise("ok"))
         .withColumn(
             "parsed",
             F.when(F.col("status") == "ok", F.struct(*(f"_parsed.{n}" for n in schema.fieldNames()))),
         )
-        .drop("_parsed")
+        .drop("_parsed", "_found")
     )
 
 
 def explode_batch(parsed: DataFrame, keys: Sequence[str], entries: str) -> DataFrame:
-    """Entries of the readable batches as flat rows ``(*keys, pos, fields…)``."""
-    return (
+    """Entries of the readable batches as flat rows ``(*keys, pos, fields…)``.
+
+    A question that doesn't say so is not required.
+    """
+    rows = (
         parsed.filter(F.col("status") == "ok")
         .select(*keys, F.posexplode(f"parsed.{entries}").alias("pos", "_entry"))
         .select(*keys, "pos", "_entry.*")
     )
+    return rows.fillna(False, ["required"]) if "required" in rows.columns else rows
+
+
+def single_entries(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Readable documents that are one entry each, as flat rows ``(*keys, fields…)``."""
+    return parsed.filter(F.col("status") == "ok").select(*keys, "parsed.*")
 
 
 def _filled(name: str) -> Column:

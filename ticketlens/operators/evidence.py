@@ -10,12 +10,8 @@ from pyspark.sql import functions as F
 from ticketlens import fixed_values as fv
 from ticketlens.functions.numbers import fixed, percent, thousands
 
-METHODOLOGY_NOTE = (
-    "Preliminary score from open rules, computed before any model sees it; "
-    "it is neither recomputed by a model nor a prediction."
-)
-
-LISTED_IDS = 256
+# First letters of a needle by which it is looked up.
+GRAM = 4
 
 METRIC_COLUMNS = (
     "category",
@@ -67,7 +63,10 @@ def evidence_lines(opportunities: DataFrame) -> DataFrame:
     )
 
 
-def methodology(weights: Mapping[str, float] = fv.SCORE_WEIGHTS, note: str = METHODOLOGY_NOTE) -> Column:
+def methodology(weights: Mapping[str, float] = fv.SCORE_WEIGHTS, note: str | None = None) -> Column:
+    """The weights, and how they are put together: said by ``note``, else listed from the weights."""
+    if note is None:
+        note = "Weighted sum, 0 to 100: " + ", ".join(f"{name} {value:g}" for name, value in weights.items())
     return F.struct(
         *(F.lit(float(value)).alias(name) for name, value in weights.items()),
         F.lit(note).alias("note"),
@@ -135,32 +134,43 @@ def raw_row_mentions(packages: DataFrame, keys: Sequence[str], markers: Sequence
     )
 
 
-def foreign_mentions(packages: DataFrame, keys: Sequence[str], company_ids: DataFrame) -> DataFrame:
-    """Packages in which another company's id occurs as a substring.
+def mentions(texts: DataFrame, keys: Sequence[str], column: str, needles: DataFrame) -> DataFrame:
+    """Which needles occur in which texts, as substrings: ``(*keys, needle)``.
 
-    Up to ``LISTED_IDS`` ids are tested one by one inside the row. Beyond that no
-    package is compared with every company: for each id length that occurs, the
-    package's substrings of that length are taken in one regular-expression pass,
-    made distinct inside the row and joined with the ids by equality.
+    Needles are looked up by their first ``GRAM`` letters (shorter ones by all of theirs). Each text gives
+    every run of so many letters once, and nothing else is joined; texts come back only to those
+    that share a run with a needle, once each. One way for any number of needles.
     """
-    ids = company_ids.select(F.col("company_id").alias("foreign_id")).distinct()
-    listed = [r[0] for r in ids.limit(LISTED_IDS + 1).collect()]
-    if len(listed) <= LISTED_IDS:
-        tests = (F.when(F.col("package").contains(i), F.lit(i)) for i in sorted(listed))
-        found = F.array_compact(F.array(*tests))
-    else:
-        lengths = [r[0] for r in ids.select(F.length("foreign_id")).distinct().collect()]
-        passes = (
-            F.regexp_extract_all("package", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
-            for n in sorted(lengths)
-        )
-        found = F.array_distinct(F.concat(*passes))
-    mentions = packages.select(*keys, "company_id", F.explode(found).alias("foreign_id")).filter(
-        F.col("foreign_id") != F.col("company_id")
-    )
-    if len(listed) > LISTED_IDS:
-        mentions = mentions.join(ids, "foreign_id", "left_semi")
-    return mentions.select(*keys, "company_id", "foreign_id")
+    known = needles.select(F.col(needles.columns[0]).alias("needle")).filter("needle <> ''").distinct()
+    known = known.withColumn("_gram", F.substring("needle", 1, GRAM))
+    runs = [
+        F.regexp_extract_all(column, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, GRAM + 1)
+    ]
+    grams = texts.select(*keys, F.explode(F.array_distinct(F.concat(*runs))).alias("_gram"))
+    near = (
+        grams.join(known, "_gram")
+        .groupBy(*keys)
+        .agg(F.collect_set("needle").alias("_near"))
+    )
+    return (
+        texts.select(*keys, F.col(column).alias("_text"))
+        .join(near, list(keys))
+        .select(*keys, F.explode(F.filter("_near", lambda n: F.contains("_text", n))).alias("needle"))
+    )
+
+
+def foreign_mentions(documents: DataFrame, keys: Sequence[str], company_ids: DataFrame) -> DataFrame:
+    """Documents in which another company's id occurs as a substring.
+
+    The company's own part of a package is one row per company and is checked by the same function.
+    """
+    found = mentions(documents, [*keys, "company_id"], "text", company_ids)
+    return found.filter(F.col("needle") != F.col("company_id")).withColumnRenamed("needle", "foreign_id")
+
+
+def quoted_tickets(documents: DataFrame, keys: Sequence[str], descriptions: DataFrame) -> DataFrame:
+    """Texts of tickets that occur in documents: ``(*keys, description)``."""
+    return mentions(documents, keys, "text", descriptions).withColumnRenamed("needle", "description")
 
 
 def checksums(packages: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlens.functions.numbers import limb_columns, limb_resums, limb_total, ratio, round_exact
+from ticketlens.operators.ordering import numbered
 
 DIMENSIONS = ("category", "channel", "customer_tier")
 
@@ -114,13 +115,14 @@ def escalation_rates(cube: DataFrame) -> DataFrame:
 
 
 def dimension_counts(cube: DataFrame, dimension: str) -> DataFrame:
-    """Tickets per value of a dimension in canonical order (``position``)."""
-    canonical = Window.partitionBy("company_id").orderBy(F.desc("ticket_count"), "value")
-    return (
-        cube.groupBy("company_id", F.col(dimension).alias("value"))
-        .agg(F.sum("ticket_count").alias("ticket_count"))
-        .withColumn("position", F.row_number().over(canonical))
+    """Tickets per value of a dimension in canonical order (``position``).
+
+    A dimension may have any number of values, so positions come from a range sort.
+    """
+    counted = cube.groupBy("company_id", F.col(dimension).alias("value")).agg(
+        F.sum("ticket_count").alias("ticket_count")
     )
+    return numbered(counted, ["company_id"], [F.desc("ticket_count"), F.col("value")], "position")
 
 
 def support_summary(cube: DataFrame) -> DataFrame:

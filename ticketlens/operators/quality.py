@@ -71,12 +71,14 @@ def with_violations(raw: DataFrame, categories: DataFrame) -> DataFrame:
     no row is lost.
     """
     domain = categories.select("category", F.lit(True).alias("_known"))
-    parsed = (
-        raw.join(domain, "category", "left")
-        .withColumn("_minutes", parse_minutes(F.col("resolution_minutes")))
-        .withColumn("_flag", parse_flag(F.col("escalated")))
-        .withColumn("_time", parse_time(F.col("created_at")))
+    # Parsed cells and violations leave a generator, below which no later filter is pushed: each
+    # cell is parsed once, whatever is asked of it.
+    cells = F.struct(
+        parse_minutes(F.col("resolution_minutes")).alias("_minutes"),
+        parse_flag(F.col("escalated")).alias("_flag"),
+        parse_time(F.col("created_at")).alias("_time"),
     )
+    parsed = raw.join(domain, "category", "left").select("*", F.inline(F.array(cells)))
     missing = {name: is_missing(F.col(name)) for name in TICKET_COLUMNS}
 
     def finding(name: str, broken: Column, what: str) -> Column:
@@ -91,7 +93,8 @@ def with_violations(raw: DataFrame, categories: DataFrame) -> DataFrame:
     ]
     if CORRUPT in raw.columns:
         findings.insert(0, F.when(F.col(CORRUPT).isNotNull(), F.lit("row: unreadable")))
-    return parsed.withColumn("violations", F.array_compact(F.array(*findings))).drop("_known")
+    found = F.array_compact(F.array(*findings))
+    return parsed.select("*", F.explode(F.array(found)).alias("violations")).drop("_known")
 
 
 def normalized(checked: DataFrame) -> DataFrame:
@@ -159,8 +162,8 @@ def quality_report(checked: DataFrame, companies: DataFrame) -> DataFrame:
     """Findings per company and check: ``(company_id, check_no, check, findings)``.
 
     ``companies`` lists the expected company ids, so a company without a single
-    row is reported as empty; further companies in the rows are reported too. One pass over the rows feeds all counts but the
-    duplicate one, which aggregates on the ticket key.
+    row is reported as empty; further companies in the rows are reported too. Rows are read and
+    shuffled once, after partial counts by ticket id.
     """
     any_missing = F.exists("violations", lambda v: v.endswith(": missing"))
     only_numbers = [
@@ -169,23 +172,21 @@ def quality_report(checked: DataFrame, companies: DataFrame) -> DataFrame:
     ]
     unreadable = F.array_contains("violations", "row: unreadable")
     invalid = F.exists("violations", lambda v: ~v.endswith(": missing") & ~v.startswith("row:"))
-    counts = checked.groupBy("company_id").agg(
+    # By ticket id first, which finds repeated ids, then by company.
+    per_id = checked.groupBy("company_id", "ticket_id").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.count_if(unreadable).alias("_unreadable"),
         F.count_if(any_missing).alias("_missing"),
         F.count_if(invalid).alias("_invalid"),
         *only_numbers,
     )
-    duplicates = (
-        duplicate_keys(checked)
-        .groupBy("company_id")
-        .agg(F.sum(F.col("occurrences") - 1).alias("_duplicates"))
-    )
-    joined = (
-        companies.select("company_id")
-        .join(counts, "company_id", "full_outer")
-        .join(duplicates, "company_id", "left")
+    repeated = F.when((F.col("_rows") > 1) & ~is_missing(F.col("ticket_id")), F.col("_rows") - 1)
+    counts = per_id.groupBy("company_id").agg(
+        F.sum(repeated).alias("_duplicates"),
+        *(F.sum(name).alias(name) for name in ("_rows", "_unreadable", "_missing", "_invalid")),
+        *(F.min(f"_{name}_numeric").alias(f"_{name}_numeric") for name in _TEXT_COLUMNS),
     )
+    joined = companies.select("company_id").join(counts, "company_id", "full_outer")
     numeric = sum(
         (F.coalesce(F.col(f"_{name}_numeric").cast("int"), F.lit(0)) for name in _TEXT_COLUMNS),
         F.lit(0),

@@ -70,14 +70,15 @@ def verify_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
     ``answers`` has one (batch_id, question_id, answer) per question and ``questions``
     the accepted questions of each batch. Blank answers and answers to unknown ids are dropped;
     one answer that gives a number for a known metric rejects its whole submission.
-    The submissions to reject come from a partial aggregation and are joined back;
-    they are one row per submission.
+    A submission answers questions of one batch, at most as many as its form has.
     """
     asked = questions.select("batch_id", "question_id", "question")
     answer = F.col("answer")
     judged = (
         answers.withColumn("answer", strip(answer))
-        .join(asked, ["batch_id", "question_id"], "left")
+        # Both sides by batch, so that the join and the window move each row once.
+        .repartition("batch_id")
+        .join(asked.repartition("batch_id"), ["batch_id", "question_id"], "left")
         .withColumn("_kept", (F.length(answer) > 0) & F.col("question").isNotNull())
         .withColumn(
             "_contradiction",
@@ -86,16 +87,14 @@ def verify_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
             & mentions_any(answer, fixed.CANONICAL_METRIC_TERMS),
         )
     )
-    rejected = (
-        judged.filter("_contradiction").select("batch_id", F.lit(True).alias("_rejected")).distinct()
-    )
+    rejected = F.max("_contradiction").over(Window.partitionBy("batch_id"))
     verdict = (
         F.when(F.col("_rejected"), "submission rejected")
         .when(~F.col("_kept"), "dropped")
         .otherwise("accepted")
     )
     return (
-        judged.join(rejected, "batch_id", "left")
+        judged.withColumn("_rejected", rejected)
         .withColumn("verdict", verdict)
         .withColumn("issue", F.when(F.col("_rejected"), F.lit(fixed.ISSUE_CONTRADICTION)))
         .withColumn(
@@ -107,8 +106,9 @@ def verify_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def clarifications(verified_answers: DataFrame) -> DataFrame:
+    """Accepted answers with ``pos``, their place in the submission."""
     return verified_answers.filter(F.col("verdict") == "accepted").select(
-        "batch_id", "question_id", "question", "answer", "source_label"
+        "batch_id", "pos", "question_id", "question", "answer", "source_label"
     )
 
 

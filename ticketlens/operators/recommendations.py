@@ -41,7 +41,7 @@ def verify_recommendations(
     own = (
         F.when(F.col("allowed_numeric_evidence").isNull(), "unsupported")
         .when(
-            (F.size("evidence") < 2)
+            (F.size("evidence") < fixed.LEAST_LINES)
             | (F.size(F.array_except("evidence", "allowed_numeric_evidence")) > 0),
             "evidence",
         )

@@ -31,10 +31,10 @@ def process_coverage(analyses: DataFrame, metrics: DataFrame) -> DataFrame:
             F.count_if(F.col("_audited").isNull()).alias("unexpected"),
         )
     )
-    # A company without any batch is kept: nothing covers its categories. A full
-    # outer join would say this too, but could not split a company with very many
-    # batches.
-    idle = expected.join(analyses.select("company_id").distinct(), "company_id", "left_anti")
+    # A company without any batch is kept: nothing covers its categories. It shows in the batches
+    # already counted, so analyses are read once. A full outer join would say this too, but
+    # could not split a company with very many batches.
+    idle = expected.join(per_batch.select("company_id").distinct(), "company_id", "left_anti")
     zero = F.lit(0).cast("bigint")
     return (
         per_batch.join(expected, "company_id", "left")

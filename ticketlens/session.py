@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Stands in for ``spark.checkpoint.dir`` in sessions that run without it.
+OWN_FOLDER = "spark.ticketlens.sharedFolder"
+
+_WRITTEN: dict[str, SparkSession] = {}
+
 
 def build_session(app_name: str = "ticketlens", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
@@ -24,18 +29,26 @@ def build_session(app_name: str = "ticketlens", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+def use_warehouse(spark: SparkSession) -> None:
+    """Name a folder in the session's warehouse where ``spark.checkpoint.dir`` is unset.
+
+    The warehouse is shared by all executors as the checkpoint folder is.
+    """
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.conf.get(OWN_FOLDER, None):
+        spark.conf.set(OWN_FOLDER, f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path under the folder that all executors can reach.
+    """A fresh path under the folder that all executors can reach; ``release`` deletes it.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Only a local
-    session may fall back on the temporary folder of its one machine.
+    The cluster names the folder in ``spark.checkpoint.dir``.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_FOLDER, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder shared by all executors")
-        base = os.path.join(tempfile.gettempdir(), "ticketlens-shared")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        raise RuntimeError("Set spark.checkpoint.dir to a folder shared by all executors")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
 
 
 def staged(frame: DataFrame, name: str) -> DataFrame:
@@ -47,3 +60,17 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     path = shared_folder(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def release(spark: SparkSession | None = None) -> None:
+    """Delete what was staged, in ``spark`` or in all sessions; results not yet read are lost with it."""
+    for path, owner in list(_WRITTEN.items()):
+        if spark is None or owner is spark:
+            del _WRITTEN[path]
+            # A session that is gone has nothing left to ask; its folder stays.
+            with contextlib.suppress(Exception):
+                folder = owner._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(owner._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+atexit.register(release)

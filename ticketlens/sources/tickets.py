@@ -33,14 +33,15 @@ def _header(spark: SparkSession, path: str, multi_line: bool) -> tuple[str, ...]
 
 
 def read_ticket_files(
-    spark: SparkSession, paths: Mapping[str, str], *, multi_line: bool = True
+    spark: SparkSession, paths: Mapping[str, str], *, multi_line: bool
 ) -> DataFrame:
     """A few companies' ticket files as text columns, one scan per company.
 
     ``paths`` maps company ids to files or folders. Columns are taken by name, so
     files may order them differently or carry more; further columns are dropped.
     A row that does not fit its header has its text in the ``_unreadable`` column.
-    For many companies use one folder and :func:`read_ticket_folder`.
+    For many companies use one folder and :func:`read_ticket_folder`, which also says what
+    ``multi_line`` costs.
     """
     scans = []
     for company_id, path in paths.items():
@@ -60,12 +61,15 @@ def read_ticket_files(
     return reduce(DataFrame.unionByName, scans)
 
 
-def read_ticket_folder(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+def read_ticket_folder(spark: SparkSession, path: str, *, multi_line: bool) -> DataFrame:
     """A folder written by :func:`write_ticket_files`, as text columns in one scan.
 
-    Set ``multi_line`` to false for files without line breaks inside cells: they can
-    then be split, however large.
+    ``multi_line`` allows line breaks inside cells, and then a file is read by one task, however large it is.
+    Without it files are split. A folder whose header lacks a column breaks the contract.
     """
+    missing = missing_columns(_header(spark, path, multi_line))
+    if missing:
+        raise DataContractError(f"Missing required ticket columns: {', '.join(missing)}")
     schema = T.StructType(
         [T.StructField(name, T.StringType()) for name in (*TICKET_COLUMNS, CORRUPT)]
     ).add("company_id", T.StringType())

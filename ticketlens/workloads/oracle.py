@@ -58,7 +58,7 @@ _CTES: dict[str, str] = {
                CASE WHEN event_id % 79 = 0 THEN 'yesterday'
                     ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')
                          || ['Z','+02:00',''][CAST(event_id % 3 + 1 AS INTEGER)] END AS created_at,
-               CASE WHEN event_id % 97 = 0 THEN 'shipping delay' ELSE event_type END AS category,
+               CASE WHEN event_id % 97 = 0 THEN 'parking permits' ELSE event_type END AS category,
                CASE WHEN event_id % 83 = 0 THEN '' WHEN event_id % 89 = 0 THEN 'NA'
                     ELSE props END AS description,
                CASE WHEN event_id % 101 = 0 THEN '-5' WHEN event_id % 109 = 0 THEN 'ten'
@@ -66,8 +66,9 @@ _CTES: dict[str, str] = {
                CASE WHEN event_id % 113 = 0 THEN 'maybe'
                     WHEN escalated THEN ['yes','TRUE','1','on','t'][CAST(event_id % 5 + 1 AS INTEGER)]
                     ELSE ['no','FALSE','0','off','f'][CAST(event_id % 5 + 1 AS INTEGER)] END AS escalated,
-               CASE WHEN event_id % 127 = 0 THEN NULL ELSE channel END AS channel,
-               customer_tier
+               CASE WHEN company_id = 'europe' THEN CAST(event_id % 4 AS VARCHAR)
+                    WHEN event_id % 127 = 0 THEN NULL ELSE channel END AS channel,
+               customer_tier, CASE WHEN event_id % 131 = 0 THEN 'cut off' END AS unreadable
         FROM base_events""",
     "factors": """
         SELECT * FROM (VALUES ('view', 1.00::DOUBLE, 1.00::DOUBLE), ('click', 0.95, 0.95),
@@ -86,6 +87,7 @@ _CTES: dict[str, str] = {
         FROM raw_tickets""",
     "judged_tickets": """
         SELECT *, list_filter([
+            CASE WHEN unreadable IS NOT NULL THEN 'row: unreadable' END,
             CASE WHEN ticket_id IS NULL THEN 'ticket_id: missing' END,
             CASE WHEN description IN ('', 'NA') THEN 'description: missing' END,
             CASE WHEN channel IS NULL THEN 'channel: missing' END,
@@ -165,65 +167,83 @@ _CTES: dict[str, str] = {
         LEFT JOIN (SELECT n_regionkey, count(*) AS support_team_size, min(n_name) AS headquarters
                    FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey) s
              ON n_regionkey = region_key""",
+    # One audit per document: its id is the key of all parts.
+    "docs": """
+        SELECT doc_id AS batch_id, company_id, text, string_split(text, chr(10)) AS l, lang, source
+        FROM documents JOIN region_ids ON doc_id % 5 = region_key""",
     "process_docs": f"""
-        SELECT doc_id AS batch_id, a.company_id, {_STRIP.format(x='''array_to_string(list_transform(
-                   string_split(text, chr(10)), lambda x, i:
+        SELECT batch_id, d.company_id, CASE WHEN batch_id % 59 = 7 THEN '' ELSE {_STRIP.format(x='''array_to_string(list_transform(
+                   l, lambda x, i:
                    CASE (i - 1) % 4
                      WHEN 0 THEN '## ' || ['View','Click','Signup','Purchase','Error'][
-                            CAST((doc_id + (i - 1) // 4) % 5 + 1 AS INTEGER)]
+                            CAST((batch_id + (i - 1) // 4) % 5 + 1 AS INTEGER)]
                             || chr(10) || chr(10) || '- **Manual steps:** ' || x
                      WHEN 1 THEN '- **Systems used:** ' || x
                      WHEN 2 THEN '- **Common exceptions:** ' || x
                      ELSE x END), chr(10))
-               || CASE WHEN doc_id % 17 = 0 THEN chr(10) || 'Shared desk with ' || b.company_id ELSE '' END''')} AS text
-        FROM documents JOIN region_ids a ON doc_id % 5 = a.region_key
-        JOIN region_ids b ON (doc_id + 1) % 5 = b.region_key""",
+               || CASE WHEN batch_id % 17 = 0 THEN chr(10) || 'Shared desk with ' || b.company_id ELSE '' END
+               || CASE WHEN batch_id % 67 = 3 THEN chr(10) || 'Columns are ticket_id and created_at' ELSE '' END
+               || coalesce(chr(10) || 'A ticket says: ' || props, '')''')} END AS text
+        FROM docs d JOIN region_ids b ON (batch_id + 1) % 5 = b.region_key
+        LEFT JOIN (SELECT event_id, props FROM events WHERE event_id % 61 = 5) ON event_id = batch_id""",
     "doc_lines": """
         SELECT batch_id, company_id, unnest(string_split(text, chr(10))) AS raw,
                generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM process_docs""",
     "rec_base": """
-        SELECT doc_id, doc_id // 4 AS batch_id, doc_id % 4 AS pos, company_id, text,
-               CASE (doc_id * doc_id) % 6 WHEN 0 THEN 'view' WHEN 1 THEN 'click'
-                    WHEN 4 THEN 'purchase' ELSE 'shipping delay' END AS category
-        FROM documents JOIN region_ids ON (doc_id // 4) % 5 = region_key""",
+        SELECT 0 AS stage, batch_id, company_id, pos,
+               ['view','click','purchase','parking permits','signup','view'][CAST((batch_id + pos * (batch_id % 3 + 1)) % 6 + 1 AS INTEGER)] AS category,
+               array_to_string(list_filter(l, lambda x, i: (i - 1) % (batch_id % 4 + 1) = pos), ' ') AS flow
+        FROM (SELECT *, unnest(range(batch_id % 4 + 1)) AS pos FROM docs)
+        UNION ALL
+        SELECT 1, batch_id, company_id, pos,
+               ['view','click','purchase','parking permits','signup','view'][CAST((batch_id + 1 + pos * (batch_id % 2)) % 6 + 1 AS INTEGER)],
+               array_to_string(list_filter(l, lambda x, i: (i - 1) % (batch_id % 4 + 1) = pos), ' ')
+        FROM (SELECT *, unnest(range(batch_id % 4 + 1)) AS pos FROM docs WHERE batch_id % 3 = 0)""",
     "rec_drafts": """
         SELECT r.*, lines,
                CASE WHEN lines IS NULL THEN ['Ticket count: 1', 'Automation score: 50.00/100']
-                    WHEN doc_id % 7 = 0 THEN [lines[1], 'Ticket count: 999,999']
-                    WHEN doc_id % 11 = 0 THEN [lines[6]]
+                    WHEN stage = 1 THEN CASE WHEN batch_id % 10 = 0 THEN ['No such line', lines[1]] ELSE [lines[1], lines[6]] END
+                    WHEN batch_id % 7 = 0 THEN [lines[1], 'Automation score: 0.01/100']
+                    WHEN batch_id % 11 = 0 THEN [lines[6]]
                     ELSE [lines[1], lines[6]] END AS evidence,
-               CASE WHEN doc_id % 47 = 0 THEN ''
-                    WHEN doc_id % 13 = 0 THEN 'Guaranteed savings' ELSE 'x' END AS benefits
+               CASE WHEN batch_id % 47 = 0 THEN ''
+                    WHEN batch_id % 13 = 0 THEN 'Guaranteed savings' ELSE 'x' END AS benefits,
+               CASE WHEN batch_id % 53 = 0 THEN '' WHEN stage = 1 THEN 'Refined: assist with ' || category
+                    ELSE 'Assist with ' || category END AS title
         FROM rec_base r LEFT JOIN facts USING (company_id, category)""",
     "rec_own": """
         SELECT *, CASE WHEN lines IS NULL THEN 'unsupported'
                        WHEN len(evidence) < 2 OR len(list_filter(evidence, lambda e: NOT list_contains(lines, e))) > 0
                        THEN 'evidence'
-                       WHEN regexp_matches(text, '[0-9]') THEN 'numeric'
-                       WHEN lower(text) LIKE '%guarantee%' OR lower(benefits) LIKE '%guarantee%' THEN 'guarantee'
+                       WHEN regexp_matches(flow, '[0-9]') THEN 'numeric'
+                       WHEN lower(flow) LIKE '%guarantee%' OR lower(benefits) LIKE '%guarantee%' THEN 'guarantee'
                        ELSE 'accepted' END AS own
         FROM rec_drafts WHERE pos < 3""",
     # One step per position; ``seen`` holds the categories accepted so far.
-    "rec_steps": """
-        SELECT batch_id, company_id, category, CAST(0 AS BIGINT) AS pos, own AS verdict,
+    "rec_all": """
+        SELECT stage, batch_id, company_id, category, title, CAST(0 AS BIGINT) AS pos, own AS verdict,
                CASE WHEN own = 'accepted' THEN [category] ELSE CAST([] AS VARCHAR[]) END AS seen
         FROM rec_own WHERE pos = 0
         UNION ALL
-        SELECT s.batch_id, n.company_id, n.category, n.pos,
+        SELECT s.stage, s.batch_id, n.company_id, n.category, n.title, n.pos,
                CASE WHEN n.own <> 'unsupported' AND list_contains(s.seen, n.category) THEN 'duplicate' ELSE n.own END,
                CASE WHEN n.own = 'accepted' THEN list_append(s.seen, n.category) ELSE s.seen END
-        FROM rec_steps s JOIN rec_own n ON n.batch_id = s.batch_id AND n.pos = s.pos + 1""",
+        FROM rec_all s JOIN rec_own n ON n.stage = s.stage AND n.batch_id = s.batch_id AND n.pos = s.pos + 1""",
+    "rec_steps": "SELECT batch_id, pos, company_id, category, title, verdict FROM rec_all WHERE stage = 0",
+    "rec_refined": "SELECT batch_id, pos, company_id, category, title, verdict FROM rec_all WHERE stage = 1",
     "question_drafts": f"""
-        SELECT doc_id, doc_id // 4 AS batch_id, doc_id % 4 AS pos, company_id,
-               CASE WHEN doc_id % 41 = 0 THEN 'Q 0' ELSE 'q' || CAST((doc_id // 2) % 3 AS VARCHAR) END AS question_id,
-               CASE doc_id % 8 WHEN 0 THEN 'What is the average resolution time of this:'
+        SELECT batch_id, pos, company_id,
+               CASE WHEN batch_id % 41 = 0 THEN 'Q 0' ELSE 'q' || CAST(pos // (1 + batch_id % 2) AS VARCHAR) END AS question_id,
+               concat_ws(' ', CASE (batch_id + pos) % 8 WHEN 0 THEN 'What is the average resolution time of this:'
                     WHEN 1 THEN 'Please PROVIDE more information about this:'
                     WHEN 2 THEN 'Which systems are used for this:'
-                    ELSE 'Who approves this request:' END || ' ' || text AS question,
-               CASE WHEN doc_id % 29 = 0 THEN 'Short' ELSE 'The answer changes the approval path.' END AS rationale,
-               CASE WHEN doc_id % 9 = 0 THEN [{_CATEGORY.format(n="doc_id")}, 'shipping delay']
-                    ELSE [{_CATEGORY.format(n="doc_id")}] END AS related
-        FROM documents JOIN region_ids ON (doc_id // 4) % 5 = region_key""",
+                    ELSE 'Who approves this request:' END,
+                    array_to_string(list_filter(l, lambda x, i: (i - 1) % n = pos), ' ')) AS question,
+               CASE WHEN (batch_id + pos) % 29 = 0 THEN 'Short' ELSE 'The answer changes the approval path.' END AS rationale,
+               CASE WHEN (batch_id + pos) % 9 = 0 THEN [{_CATEGORY.format(n="batch_id + pos")}, 'parking permits']
+                    ELSE [{_CATEGORY.format(n="batch_id + pos")}] END AS related,
+               CASE WHEN pos % 2 = 0 THEN batch_id % 2 = 0 END AS required
+        FROM (SELECT *, batch_id // 2 % 5 AS n, unnest(range(batch_id // 2 % 5)) AS pos FROM docs)""",
     "question_own": r"""
         SELECT *, CASE
             WHEN regexp_matches(lower(question), 'ticket count|how many tickets|category percentage|average resolution|resolution minutes|handling hours|escalation rate|automation score') THEN 'known metric'
@@ -252,12 +272,12 @@ _CTES: dict[str, str] = {
             WHEN 'unsupported' THEN 'Rejected clarification with unsupported category: ' END || question_id AS issue
         FROM question_steps""",
     "answers": rf"""
-        SELECT doc_id // 4 AS batch_id,
-               CASE doc_id % 4 WHEN 1 THEN 'q-none' WHEN 3 THEN 'q-other'
-                    ELSE 'q' || CAST((doc_id // 2) % 3 AS VARCHAR) END AS question_id,
-               {_STRIP.format(x='''CASE WHEN doc_id % 10 = 0 THEN ' ' || chr(9) || ' '
-                    WHEN doc_id % 16 = 6 THEN 'The Ticket Count is 42.' ELSE '  ' || text || chr(10) END''')} AS answer
-        FROM documents""",
+        SELECT batch_id, pos, CASE WHEN n = 3 THEN 'q-other' ELSE 'q' || CAST(n AS VARCHAR) END AS question_id,
+               {_STRIP.format(x='''CASE WHEN (batch_id + pos) % 10 = 0 THEN ' ' || chr(9) || ' '
+                    WHEN batch_id % 16 = 6 AND n = 0 THEN 'Our Handling Hours are 7.'
+                    ELSE '  ' || array_to_string(list_filter(l, lambda x, i: (i - 1) % 4 = pos), ' ') || chr(10) END''')} AS answer
+        FROM (SELECT *, CASE WHEN batch_id % 2 = 0 THEN pos ELSE 3 - pos END AS n
+              FROM (SELECT *, unnest(range(4)) AS pos FROM docs))""",
     "answer_checks": """
         SELECT a.*, q.question, a.answer <> '' AND q.question IS NOT NULL AS kept,
                a.answer <> '' AND q.question IS NOT NULL AND regexp_matches(a.answer, '[0-9]')
@@ -265,17 +285,17 @@ _CTES: dict[str, str] = {
         FROM answers a LEFT JOIN (SELECT * FROM question_verdicts WHERE verdict = 'accepted') q
              USING (batch_id, question_id)""",
     "answer_verdicts": """
-        SELECT batch_id, question_id, answer, question,
+        SELECT batch_id, pos, question_id, answer, question,
                CASE WHEN rejected THEN 'submission rejected' WHEN NOT kept THEN 'dropped' ELSE 'accepted' END AS verdict,
                CASE WHEN rejected THEN 'Stakeholder clarification cannot overwrite canonical audit metrics.' END AS issue,
                CASE WHEN NOT rejected AND kept THEN 'stakeholder-provided clarification' END AS source_label
         FROM (SELECT *, bool_or(contradiction) OVER (PARTITION BY batch_id) AS rejected FROM answer_checks)""",
     "analyses": f"""
-        SELECT doc_id, doc_id // 5 AS batch_id, doc_id % 5 AS pos, company_id, text, source, lang,
-               CASE WHEN doc_id % 31 = 0 THEN 'shipping delay'
-                    WHEN doc_id % 37 = 0 THEN {_CATEGORY.format(n="doc_id + 1")}
-                    ELSE {_CATEGORY.format(n="doc_id")} END AS category
-        FROM documents JOIN region_ids ON (doc_id // 5) % 5 = region_key""",
+        SELECT batch_id, pos, company_id, source, lang, list_filter(l, lambda x, i: (i - 1) % 5 = pos) AS steps,
+               CASE WHEN pos = 0 AND batch_id % 12 = 0 THEN 'parking permits'
+                    WHEN pos = 0 AND batch_id % 12 = 6 THEN {_CATEGORY.format(n="batch_id + 1")}
+                    ELSE {_CATEGORY.format(n="batch_id + pos")} END AS category
+        FROM (SELECT *, unnest(range(CASE WHEN batch_id % 13 = 0 THEN 4 ELSE 5 END)) AS pos FROM docs)""",
     "coverage": """
         SELECT coalesce(b.batch_id, NULL) AS batch_id, coalesce(b.company_id, x.company_id) AS company_id,
                coalesce(expected, 0) AS expected, coalesce(entries, 0) AS entries,
@@ -289,48 +309,98 @@ _CTES: dict[str, str] = {
               FROM analyses a LEFT JOIN shares s USING (company_id, category)
               GROUP BY a.batch_id, a.company_id) b
         FULL JOIN (SELECT company_id, count(*) AS expected FROM shares GROUP BY company_id) x USING (company_id)""",
-    "catalog_parts": """
-        SELECT company_id, 0 AS source, rank AS major, unnest(range(len(l))) AS place, unnest(l) AS line
-        FROM (SELECT company_id, rank,
-                     list_append(lines, 'Deterministic ranking — ' || category || ': ' || explanation) AS l FROM facts)
+    "narratives": """
+        SELECT batch_id, CASE WHEN batch_id % 71 = 0 THEN '' ELSE 'Report: ' || text END AS summary, l AS limits,
+               'Refined: ' || text AS later_summary, list_transform(l, lambda x: 'Limit: ' || x) AS later_limits
+        FROM docs""",
+    "reports": f"""
+        SELECT n.batch_id, r.batch_id IS NOT NULL AS refined,
+               CASE WHEN r.batch_id IS NULL THEN summary ELSE later_summary END AS summary,
+               CASE WHEN r.batch_id IS NULL THEN limits ELSE list_concat(later_limits, coalesce(issues, [])) END AS limits
+        FROM narratives n
+        JOIN (SELECT DISTINCT batch_id FROM rec_steps WHERE verdict = 'accepted') i USING (batch_id)
+        LEFT JOIN (SELECT DISTINCT batch_id FROM rec_refined WHERE verdict = 'accepted'
+                   AND batch_id NOT IN (SELECT batch_id FROM answer_verdicts WHERE verdict = 'submission rejected')) r USING (batch_id)
+        LEFT JOIN (SELECT batch_id, list({_ISSUE_CASE} ORDER BY pos) AS issues
+                   FROM rec_refined WHERE verdict <> 'accepted' GROUP BY batch_id) USING (batch_id)
+        WHERE summary <> ''""",
+    "completeness": r"""
+        SELECT *, CAST((NOT evidence)::INT + (NOT process_analysis)::INT + (NOT report)::INT
+                       + (NOT clarification_questions)::INT AS INTEGER) AS missing_parts,
+               evidence AND process_analysis AND report AND clarification_questions AS ok
+        FROM (SELECT batch_id, batch_id % 59 <> 7 AS evidence,
+                     batch_id IN (SELECT batch_id FROM coverage WHERE ok AND batch_id IS NOT NULL) AS process_analysis,
+                     batch_id IN (SELECT batch_id FROM reports) AS report,
+                     batch_id NOT IN (SELECT batch_id FROM question_drafts GROUP BY batch_id HAVING count(*) > 3
+                         OR bool_or(NOT regexp_full_match(question_id, '[a-z0-9_-]+') OR length(rationale) < 10)) AS clarification_questions
+              FROM docs)""",
+    "active_recommendations": """
+        SELECT x.* FROM rec_steps x JOIN reports p USING (batch_id) WHERE NOT refined AND verdict = 'accepted'
         UNION ALL
-        SELECT company_id, 1, doc_id, unnest(range(len(l))), unnest(l) FROM (
-            SELECT company_id, doc_id, list_concat(
-                list_transform(string_split(text, chr(10)),
-                    lambda s: 'Process documentation — ' || category || ' — repetitive step: ' || s),
+        SELECT x.* FROM rec_refined x JOIN reports p USING (batch_id) WHERE refined AND verdict = 'accepted'""",
+    "result_lines": """
+        SELECT batch_id, 0 AS part, rank AS major, unnest(range(len(f))) AS place, unnest(f) AS line
+        FROM docs JOIN (SELECT company_id, rank,
+                     list_append(lines, 'Deterministic ranking — ' || category || ': ' || explanation) AS f FROM facts) USING (company_id)
+        UNION ALL
+        SELECT batch_id, 1, pos, unnest(range(len(f))), unnest(f) FROM (
+            SELECT batch_id, pos, list_concat(
+                list_transform(steps, lambda s: 'Process documentation — ' || category || ' — repetitive step: ' || s),
                 ['Process documentation — ' || category || ' — system: Desk ' || source,
-                 'Process documentation — ' || category || ' — exception: Language ' || lang]) AS l FROM analyses)
+                 'Process documentation — ' || category || ' — exception: Language ' || lang]) AS f FROM analyses)
         UNION ALL
-        SELECT company_id, 2, batch_id * 4 + pos, unnest([0, 1, 2]), unnest([
-            'Verified recommendation — ' || category || ' — title: '
-                || CASE WHEN (batch_id * 4 + pos) % 53 = 0 THEN '' ELSE 'Assist with ' || category END,
+        SELECT batch_id, 2, pos, unnest([0, 1, 2]), unnest([
+            'Verified recommendation — ' || category || ' — title: ' || title,
             'Verified recommendation — ' || category || ' — risk: Wrong routing in ' || category,
             'Verified recommendation — ' || category || ' — human review: An agent confirms each reply'])
-        FROM rec_steps WHERE verdict = 'accepted'
+        FROM active_recommendations
         UNION ALL
-        SELECT company_id, 3, batch_id,
-               row_number() OVER (PARTITION BY batch_id ORDER BY line_no) - 1,
-               'Process documentation — ' || raw[3:]
+        SELECT batch_id, 3, line_no, 0, 'Process documentation — ' || raw[3:]
         FROM doc_lines WHERE raw LIKE '- **%'""",
     "catalog": """
-        SELECT company_id, line, min(CAST(source AS BIGINT) * 2305843009213693952
-                                     + CAST(major AS BIGINT) * 268435456 + CAST(place AS BIGINT)) AS ordinal
-        FROM catalog_parts GROUP BY company_id, line""",
+        SELECT batch_id, line, row_number() OVER (PARTITION BY batch_id ORDER BY o) - 1 AS line_no
+        FROM (SELECT batch_id, line, min((part, major, place)) AS o FROM result_lines
+              WHERE batch_id IN (SELECT batch_id FROM completeness WHERE ok) GROUP BY batch_id, line)""",
     "chat_answers": f"""
-        SELECT conv_id, turn, company_id, kind, text, coalesce(lines[1], 'No line') AS line,
-               CASE WHEN conv_id % 23 = 5 THEN '' ELSE 'What does the evidence say?' END AS question,
-               text || CASE kind WHEN 0 THEN ' ' || coalesce(lines[1], 'No line')
+        SELECT a.*, coalesce(lines[1], 'No line') AS line,
+               CASE WHEN (batch_id + turn) % 23 = 5 THEN '' ELSE 'What does the evidence say?' END AS question,
+               said || CASE kind WHEN 0 THEN ' ' || coalesce(lines[1], 'No line')
                                  WHEN 4 THEN ' That is 42.5% of all.' ELSE '' END
-                    || CASE WHEN conv_id % 9 = 0 THEN ' Guaranteed.' ELSE '' END AS answer,
-               CASE WHEN kind = 1 THEN ['Invented fact'] WHEN kind IN (0, 4) THEN [coalesce(lines[1], 'No line')]
+                    || CASE WHEN batch_id % 9 = 0 THEN ' Guaranteed.' ELSE '' END AS answer,
+               CASE kind WHEN 1 THEN ['Invented fact']
+                    WHEN 0 THEN [coalesce(lines[1], 'No line')] WHEN 4 THEN [coalesce(lines[1], 'No line')]
+                    WHEN 2 THEN ['Process documentation — **Manual steps:** ' || a.l[1]]
+                    WHEN 5 THEN [coalesce(lines[1], 'No line'), 'Process documentation — **Manual steps:** ' || coalesce(o.l[1], 'none')]
+                    WHEN 6 THEN ['Process documentation — ' || {_CATEGORY.format(n="batch_id")} || ' — repetitive step: ' || a.l[1]]
                     ELSE CAST([] AS VARCHAR[]) END AS cited
-        FROM (SELECT conv_id, turn, text, (conv_id + turn) % 5 AS kind,
-                     {_CATEGORY.format(n="conv_id + turn")} AS category, company_id
-              FROM conversations JOIN region_ids ON conv_id % 5 = region_key WHERE role = 'assistant')
+        FROM (SELECT d.batch_id, d.company_id, d.l, turn, c.text AS said, (conv_id + turn) % 7 AS kind,
+                     {_CATEGORY.format(n="conv_id + turn")} AS category
+              FROM conversations c JOIN docs d ON conv_id = d.batch_id WHERE role = 'assistant') a
+        LEFT JOIN (SELECT batch_id - 5 AS batch_id, l FROM docs) o USING (batch_id)
         LEFT JOIN facts USING (company_id, category)""",
-    "narratives": """
-        SELECT conv_id AS batch_id, text, string_split(text, chr(10)) AS limits, conv_id % 3 = 0 AS refined
-        FROM conversations WHERE turn = 0""",
+    "last_turns": """
+        SELECT conv_id AS batch_id, count(*) AS n, string_agg(text, chr(10) ORDER BY turn) AS t,
+               count(*) FILTER (role = 'assistant' AND turn % 4 = 1) AS detailed
+        FROM (SELECT * FROM conversations WHERE role IN ('user', 'assistant')
+              QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6)
+        GROUP BY conv_id""",
+    "accepted_counts": "SELECT batch_id, count(*) AS n FROM rec_steps WHERE verdict = 'accepted' GROUP BY 1",
+    "context_figures": """
+        SELECT d.batch_id, d.company_id, a.n AS analyses, r.n AS recommendations, md5(r.titles) AS titles_md5,
+               md5(coalesce(q.t, '')) AS answers_md5, coalesce(q.n, 0) AS answers, md5(p.summary) AS summary_md5,
+               md5(array_to_string(p.limits, chr(10))) AS limitations_md5, coalesce(h.n, 0) AS turns,
+               coalesce(h.detailed, 0) AS detailed_turns, md5(coalesce(h.t, '')) AS turns_md5,
+               c.n AS catalog_lines, c.m AS catalog_md5
+        FROM docs d JOIN (SELECT batch_id FROM completeness WHERE ok) USING (batch_id)
+        JOIN reports p USING (batch_id)
+        JOIN (SELECT batch_id, count(*) AS n FROM analyses GROUP BY 1) a USING (batch_id)
+        JOIN (SELECT batch_id, count(*) AS n, string_agg(title, chr(10) ORDER BY pos) AS titles
+              FROM active_recommendations GROUP BY 1) r USING (batch_id)
+        LEFT JOIN (SELECT batch_id, count(*) AS n, string_agg(answer, chr(10) ORDER BY pos) AS t
+                   FROM answer_verdicts WHERE verdict = 'accepted' GROUP BY 1) q USING (batch_id)
+        LEFT JOIN last_turns h USING (batch_id)
+        JOIN (SELECT batch_id, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY line_no)) AS m
+              FROM catalog GROUP BY batch_id) c USING (batch_id)""",
 }
 
 
@@ -353,7 +423,12 @@ _INTEGERS = {
     "parse_drafts": ("entries",),
     "numeric_tokens": ("token_no",),
     "report_limitations": ("line_no",),
-    "chat_context": ("analyses", "recommendations", "answers", "limitations", "turns", "catalog_lines"),
+    "parse_questions": ("entries",),
+    "parse_analyses": ("entries",),
+    "parse_narratives": ("entries",),
+    "evidence_catalog": ("line_no",),
+    "chat_context": ("analyses", "recommendations", "answers", "turns", "detailed_turns", "catalog_lines"),
+    "stage_payloads": ("categories", "analyses", "recommendations", "answers", "catalog_lines"),
 }
 
 
@@ -381,7 +456,7 @@ def _statement(final: str) -> str:
 
 _FINAL = {
     # In delimited text an empty cell is a missing one.
-    "scan_tickets": "SELECT * REPLACE (nullif(description, '') AS description) FROM raw_tickets",
+    "scan_tickets": "SELECT * EXCLUDE (unreadable) REPLACE (nullif(description, '') AS description) FROM raw_tickets",
     "tickets_csv_roundtrip": "SELECT * FROM tickets",
     "ticket_view": """
         SELECT company_id, count(*) AS ticket_count, min(created_at) AS first_ticket,
@@ -422,12 +497,18 @@ _FINAL = {
             SELECT company_id, unnest([1, 2, 3, 4, 5, 6]) AS check_no,
                    unnest(['unreadable', 'empty', 'missing values', 'duplicate ticket_id', 'invalid rows',
                            'numeric text column']) AS "check",
-                   unnest([0, CASE WHEN j.n IS NULL THEN 1 ELSE 0 END, coalesce(j.missing, 0), coalesce(d.n, 0),
-                           coalesce(j.invalid, 0), 0]) AS findings
-            FROM region_ids
+                   unnest([coalesce(j.unreadable, 0), CASE WHEN j.n IS NULL THEN 1 ELSE 0 END, coalesce(j.missing, 0),
+                           coalesce(d.n, 0), coalesce(j.invalid, 0), coalesce(j.numbers, 0)]) AS findings
+            FROM (SELECT company_id FROM region_ids UNION ALL SELECT 'no tickets')
             LEFT JOIN (SELECT company_id, count(*) AS n,
                               count(*) FILTER (len(list_filter(violations, lambda v: v LIKE '%: missing')) > 0) AS missing,
-                              count(*) FILTER (len(list_filter(violations, lambda v: v NOT LIKE '%: missing')) > 0) AS invalid
+                              count(*) FILTER (len(list_filter(violations, lambda v: v NOT LIKE '%: missing' AND v NOT LIKE 'row:%')) > 0) AS invalid,
+                              count(unreadable) AS unreadable,
+                              bool_and(coalesce(regexp_full_match(ticket_id, '[0-9.]+'), FALSE))::BIGINT
+                              + bool_and(coalesce(regexp_full_match(category, '[0-9.]+'), FALSE))::BIGINT
+                              + bool_and(coalesce(regexp_full_match(description, '[0-9.]+'), FALSE))::BIGINT
+                              + bool_and(coalesce(regexp_full_match(channel, '[0-9.]+'), FALSE))::BIGINT
+                              + bool_and(coalesce(regexp_full_match(customer_tier, '[0-9.]+'), FALSE))::BIGINT AS numbers
                        FROM judged_tickets GROUP BY company_id) j USING (company_id)
             LEFT JOIN (SELECT company_id, CAST(sum(occurrences - 1) AS BIGINT) AS n
                        FROM duplicates GROUP BY company_id) d USING (company_id))""",
@@ -536,14 +617,18 @@ _FINAL = {
                array_to_string(lines, '; ') AS allowed_numeric_evidence,
                total_ticket_count, overall.total_handling_hours AS overall_handling_hours, overall_escalation_rate
         FROM ranked JOIN facts USING (company_id, category, rank) JOIN overall USING (company_id)""",
-    "evidence_row_free": "SELECT batch_id, company_id, 0 AS markers_found, TRUE AS row_free FROM process_docs",
+    "evidence_row_free": """
+        SELECT batch_id, company_id, found::INTEGER AS markers_found, found = 0 AS row_free
+        FROM (SELECT batch_id, company_id, contains(text, 'ticket_id')::INT + contains(text, 'created_at')::INT
+                     + contains(text, 'TKT-')::INT
+                     + (SELECT count(*) FROM (SELECT DISTINCT props FROM base_events) p WHERE contains(d.text, p.props)) AS found
+              FROM process_docs d)""",
     "evidence_isolation": """
         SELECT batch_id, d.company_id, r.company_id AS foreign_id
         FROM process_docs d JOIN region_ids r ON r.company_id <> d.company_id AND contains(d.text, r.company_id)""",
     "evidence_checksum": """
-        SELECT batch_id, batch_id IN (SELECT batch_id FROM rec_steps WHERE verdict = 'accepted') AS refined,
-               TRUE AS unchanged
-        FROM process_docs""",
+        SELECT batch_id, refined, batch_id % 37 <> 4 AS unchanged
+        FROM reports JOIN (SELECT batch_id FROM completeness WHERE ok) USING (batch_id)""",
     "process_bullets": """
         SELECT batch_id, company_id, line_no, 'Process documentation — ' || raw[3:] AS line
         FROM doc_lines WHERE raw LIKE '- **%'""",
@@ -556,25 +641,56 @@ _FINAL = {
                      last_value(CASE WHEN raw LIKE '## %' THEN line_no END IGNORE NULLS) OVER w AS head_no
               FROM doc_lines WINDOW w AS (PARTITION BY batch_id ORDER BY line_no))
         WHERE regexp_matches(raw, '^- \*\*(.+?):\*\*\s*(.*)$') AND section IS NOT NULL""",
-    "evidence_catalog": "SELECT * FROM catalog",
+    "evidence_catalog": "SELECT batch_id, line_no, line FROM catalog",
+    "read_documents": "SELECT batch_id, text, text = '' AS is_empty FROM process_docs",
     "parse_drafts": """
-        SELECT batch_id, CASE WHEN batch_id % 19 = 0 OR batch_id % 23 = 0 THEN 'malformed' ELSE 'ok' END AS status,
-               CASE WHEN batch_id % 19 = 0 OR batch_id % 23 = 0 THEN NULL ELSE count(*) END AS entries
-        FROM rec_base GROUP BY batch_id""",
+        SELECT batch_id, CASE WHEN batch_id % 19 = 1 OR batch_id % 23 = 1 OR batch_id % 29 = 1 THEN 'malformed' ELSE 'ok' END AS status,
+               CASE WHEN NOT (batch_id % 19 = 1 OR batch_id % 23 = 1 OR batch_id % 29 = 1) THEN count(*) END AS entries
+        FROM rec_base WHERE stage = 0 GROUP BY batch_id""",
+    "parse_questions": """
+        SELECT batch_id, CASE WHEN bad THEN 'malformed' ELSE 'ok' END AS status, CASE WHEN NOT bad THEN n END AS entries
+        FROM (SELECT batch_id, coalesce(n, 0) AS n,
+                     batch_id % 19 = 1 OR batch_id % 23 = 1 OR (batch_id % 29 = 1 AND n IS NOT NULL) AS bad
+              FROM docs LEFT JOIN (SELECT batch_id, count(*) AS n FROM question_drafts GROUP BY 1) USING (batch_id))""",
+    "parse_analyses": """
+        SELECT batch_id, CASE WHEN batch_id % 19 = 1 OR batch_id % 23 = 1 OR batch_id % 29 = 1 THEN 'malformed' ELSE 'ok' END AS status,
+               CASE WHEN NOT (batch_id % 19 = 1 OR batch_id % 23 = 1 OR batch_id % 29 = 1) THEN count(*) END AS entries
+        FROM analyses GROUP BY batch_id""",
+    "parse_narratives": """
+        SELECT batch_id, CASE WHEN batch_id % 19 = 1 OR batch_id % 23 = 1 OR batch_id % 29 = 1 THEN 'malformed' ELSE 'ok' END AS status,
+               CASE WHEN NOT (batch_id % 19 = 1 OR batch_id % 23 = 1 OR batch_id % 29 = 1) THEN len(limits) END AS entries
+        FROM narratives""",
+    "parse_chat_answers": """
+        SELECT batch_id, turn, CASE WHEN (batch_id + turn) % 11 = 1 OR (batch_id + turn) % 13 = 1
+                                    THEN 'malformed' ELSE 'ok' END AS status FROM chat_answers""",
     "draft_contract": """
         SELECT batch_id, count(*) AS entries,
-               count(*) FILTER (doc_id % 43 = 0 OR doc_id % 47 = 0 OR doc_id % 53 = 0 OR text = '') AS broken_entries,
-               count(*) <= 3 AND count(*) FILTER (doc_id % 43 = 0 OR doc_id % 47 = 0 OR doc_id % 53 = 0 OR text = '') = 0 AS ok
-        FROM rec_base WHERE batch_id % 19 <> 0 AND batch_id % 23 <> 0 GROUP BY batch_id""",
+               count(*) FILTER (batch_id % 43 = 0 OR batch_id % 47 = 0 OR batch_id % 53 = 0 OR flow = '') AS broken_entries,
+               count(*) <= 3 AND count(*) FILTER (batch_id % 43 = 0 OR batch_id % 47 = 0 OR batch_id % 53 = 0 OR flow = '') = 0 AS ok
+        FROM rec_base WHERE stage = 0 AND NOT (batch_id % 19 = 1 OR batch_id % 23 = 1 OR batch_id % 29 = 1) GROUP BY batch_id""",
     "question_contract": """
         SELECT batch_id, count(*) AS entries,
                count(*) FILTER (NOT regexp_full_match(question_id, '[a-z0-9_-]+') OR length(rationale) < 10) AS broken_entries,
-               count(*) <= 4 AND count(*) FILTER (NOT regexp_full_match(question_id, '[a-z0-9_-]+')
+               count(*) <= 3 AND count(*) FILTER (NOT regexp_full_match(question_id, '[a-z0-9_-]+')
                                                   OR length(rationale) < 10) = 0 AS ok
-        FROM question_drafts GROUP BY batch_id""",
+        FROM question_drafts WHERE NOT (batch_id % 19 = 1 OR batch_id % 23 = 1 OR batch_id % 29 = 1) GROUP BY batch_id""",
+    "question_entries": """
+        SELECT batch_id, pos, question_id, coalesce(required, FALSE) AS required
+        FROM question_drafts WHERE NOT (batch_id % 19 = 1 OR batch_id % 23 = 1 OR batch_id % 29 = 1)""",
+    "analysis_contract": """
+        SELECT batch_id, count(*) AS entries, count(*) FILTER ((batch_id + pos) % 47 = 0) AS broken_entries,
+               count(*) FILTER ((batch_id + pos) % 47 = 0) = 0 AS ok
+        FROM analyses WHERE NOT (batch_id % 19 = 1 OR batch_id % 23 = 1 OR batch_id % 29 = 1) GROUP BY batch_id""",
+    "narrative_contract": """
+        SELECT batch_id, CASE WHEN batch_id % 71 = 0 THEN 'executive_summary' ELSE '' END AS broken
+        FROM narratives WHERE NOT (batch_id % 19 = 1 OR batch_id % 23 = 1 OR batch_id % 29 = 1)""",
+    "chat_answer_contract": """
+        SELECT batch_id, turn, CASE WHEN (batch_id + turn) % 17 = 1 THEN 'answer' ELSE '' END AS broken
+        FROM chat_answers WHERE (batch_id + turn) % 11 <> 1 AND (batch_id + turn) % 13 <> 1""",
     "turn_contract": """
         SELECT conv_id, turn, 'role' AS broken FROM conversations WHERE role NOT IN ('user', 'assistant')""",
     "verify_recommendations": "SELECT batch_id, pos, company_id, category, verdict FROM rec_steps",
+    "verify_refined": "SELECT batch_id, pos, company_id, category, verdict FROM rec_refined",
     "recommendation_issues": f"""
         SELECT batch_id, company_id, pos, {_ISSUE_CASE} AS issue FROM rec_steps WHERE verdict <> 'accepted'""",
     "batch_gate": """
@@ -584,7 +700,7 @@ _FINAL = {
     "verify_questions": "SELECT batch_id, pos, company_id, question_id, verdict, issue FROM question_verdicts",
     "clarification_answers": "SELECT * FROM answer_verdicts",
     "verify_chat_answers": r"""
-        SELECT conv_id, turn, company_id, verdict, CASE verdict
+        SELECT batch_id, turn, company_id, verdict, CASE verdict
             WHEN 'blank question' THEN 'Chat question must not be empty'
             WHEN 'outside' THEN 'The chat response referenced evidence outside the verified audit context.'
             WHEN 'neither' THEN 'The chat response supplied neither verified evidence nor an explicit information gap.'
@@ -594,14 +710,14 @@ _FINAL = {
         FROM (SELECT a.*, CASE
                 WHEN question = '' THEN 'blank question'
                 WHEN EXISTS (SELECT 1 FROM (SELECT unnest(a.cited) AS l) WHERE l NOT IN
-                             (SELECT c.line FROM catalog c WHERE c.company_id = a.company_id)) THEN 'outside'
-                WHEN len(cited) = 0 AND kind <> 3 THEN 'neither'
-                WHEN kind = 3 THEN 'unlabelled'
+                             (SELECT c.line FROM catalog c WHERE c.batch_id = a.batch_id)) THEN 'outside'
+                WHEN len(cited) = 0 AND NOT (kind = 3 AND batch_id % 4 < 3) THEN 'neither'
+                WHEN kind = 3 AND batch_id % 2 = 0 THEN 'unlabelled'
                 WHEN len(list_filter(regexp_extract_all(answer, '\d[\d,]*(?:\.\d+)?%?(?:/\d+)?'),
                          lambda t: NOT contains(array_to_string(cited, ' '), t))) > 0 THEN 'number'
                 WHEN contains(lower(answer), 'guarantee') THEN 'guarantee'
                 ELSE 'accepted' END AS verdict
-              FROM chat_answers a)""",
+              FROM chat_answers a JOIN (SELECT batch_id FROM completeness WHERE ok) USING (batch_id))""",
     "numeric_tokens": r"""
         SELECT doc_id, unnest(range(len(t))) AS token_no, unnest(t) AS token
         FROM (SELECT doc_id, regexp_extract_all(text, '\d[\d,]*(?:\.\d+)?%?(?:/\d+)?') AS t FROM documents)""",
@@ -609,50 +725,50 @@ _FINAL = {
         SELECT conv_id, turn, role, text AS content FROM conversations
         QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6""",
     "process_coverage": "SELECT * FROM coverage",
-    "report_limitations": f"""
-        SELECT batch_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (
-            SELECT batch_id, list_concat(limits, coalesce(issues, [])) AS l
-            FROM narratives LEFT JOIN (
-                SELECT batch_id, list({_ISSUE_CASE} ORDER BY pos) AS issues
-                FROM rec_steps WHERE verdict <> 'accepted' GROUP BY batch_id) USING (batch_id))""",
+    "report_limitations": """
+        SELECT batch_id, refined, unnest(range(len(limits))) AS line_no, unnest(limits) AS line
+        FROM reports JOIN (SELECT batch_id FROM completeness WHERE ok) USING (batch_id)""",
     "staged_issues": f"""
         SELECT batch_id, 1 AS stage_no, 'recommendations' AS stage, pos, {_ISSUE_CASE} AS issue
         FROM rec_steps WHERE verdict <> 'accepted'
         UNION ALL
         SELECT batch_id, 2, 'questions', pos, issue FROM question_verdicts WHERE issue IS NOT NULL""",
-    "result_complete": """
-        SELECT *, CAST((NOT process_analysis)::INT + (NOT report)::INT + (NOT clarification_questions)::INT AS INTEGER) AS missing_parts,
-               process_analysis AND report AND clarification_questions AS ok
-        FROM (SELECT batch_id, TRUE AS evidence,
-                     batch_id IN (SELECT batch_id FROM coverage WHERE ok AND batch_id IS NOT NULL) AS process_analysis,
-                     batch_id IN (SELECT batch_id FROM rec_steps WHERE verdict = 'accepted') AS report,
-                     batch_id IN (SELECT batch_id FROM question_verdicts WHERE verdict = 'accepted') AS clarification_questions
-              FROM process_docs)""",
-    "chat_context": """
-        SELECT d.batch_id, d.company_id, coalesce(a.n, 0) AS analyses, coalesce(r.n, 0) AS recommendations,
-               coalesce(q.n, 0) AS answers,
-               CASE WHEN n.refined THEN 1 ELSE len(n.limits) END AS limitations,
-               coalesce(h.n, 0) AS turns, md5(coalesce(h.t, '')) AS turns_md5, c.n AS catalog_lines, c.m AS catalog_md5
-        FROM process_docs d
-        LEFT JOIN (SELECT batch_id, entries AS n FROM coverage WHERE ok) a USING (batch_id)
-        LEFT JOIN (SELECT batch_id, count(*) AS n FROM rec_steps WHERE verdict = 'accepted' GROUP BY 1) r USING (batch_id)
-        LEFT JOIN (SELECT batch_id, count(*) AS n FROM answer_verdicts WHERE verdict = 'accepted' GROUP BY 1) q USING (batch_id)
-        LEFT JOIN narratives n USING (batch_id)
-        LEFT JOIN (SELECT conv_id AS batch_id, count(*) AS n, string_agg(text, chr(10) ORDER BY turn) AS t
-                   FROM (SELECT * FROM conversations WHERE role IN ('user', 'assistant')
-                         QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6)
-                   GROUP BY conv_id) h USING (batch_id)
-        JOIN (SELECT batch_id, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY source, major, place)) AS m
-              FROM (SELECT batch_id, line, min((source, major, place)) AS o, o[1] AS source, o[2] AS major, o[3] AS place
-                    FROM (SELECT d.batch_id, p.* FROM process_docs d JOIN catalog_parts p
-                          ON p.company_id = d.company_id AND CASE p.source
-                             WHEN 0 THEN TRUE
-                             WHEN 1 THEN p.major // 5 = d.batch_id
-                                 AND p.major // 5 IN (SELECT batch_id FROM coverage WHERE ok AND batch_id IS NOT NULL)
-                             WHEN 2 THEN p.major // 4 = d.batch_id
-                             ELSE p.major = d.batch_id END)
-                    GROUP BY batch_id, line)
-              GROUP BY batch_id) c USING (batch_id)""",
+    "result_complete": "SELECT * FROM completeness",
+    "chat_context": "SELECT * FROM context_figures",
+    # Each stage with the batches that reach it, and the figures of the parts in its payload.
+    "stage_payloads": """
+        SELECT batch_id, company_id, stage_no, stage, turn, CASE WHEN stage_no <> 3 THEN 5 END AS categories,
+               CASE WHEN stage_no NOT IN (2, 3) THEN md5(text) END AS documentation_md5,
+               CASE WHEN stage_no NOT IN (1, 3) THEN analyses END AS analyses,
+               CASE WHEN stage_no > 2 THEN recommendations END AS recommendations,
+               CASE WHEN stage_no > 3 THEN md5(summary) END AS summary_md5,
+               CASE WHEN stage_no > 4 THEN answers END AS answers,
+               CASE WHEN stage_no = 6 THEN catalog_lines END AS catalog_lines,
+               CASE WHEN stage_no = 6 THEN question END AS user_question, TRUE AS has_rules
+        FROM (
+            SELECT 1 AS stage_no, 'process analysis' AS stage, NULL::BIGINT AS turn, NULL AS question, batch_id,
+                   NULL AS recommendations, NULL AS summary, NULL AS answers, NULL AS catalog_lines
+            FROM completeness WHERE evidence
+            UNION ALL
+            SELECT 2, 'recommendations', NULL, NULL, batch_id, NULL, NULL, NULL, NULL
+            FROM completeness WHERE evidence AND process_analysis
+            UNION ALL
+            SELECT 3, 'executive report', NULL, NULL, batch_id, n, NULL, NULL, NULL
+            FROM completeness JOIN accepted_counts USING (batch_id) WHERE evidence AND process_analysis
+            UNION ALL
+            SELECT 4, 'clarification questions', NULL, NULL, batch_id, n, n.summary, NULL, NULL
+            FROM completeness JOIN accepted_counts USING (batch_id) JOIN narratives n USING (batch_id)
+            WHERE evidence AND process_analysis AND report
+            UNION ALL
+            SELECT 5, 'refinement', NULL, NULL, batch_id, a.n, n.summary, f.answers, NULL
+            FROM context_figures f JOIN accepted_counts a USING (batch_id) JOIN narratives n USING (batch_id)
+            WHERE f.answers > 0
+            UNION ALL
+            SELECT 6, 'chat', turn, question, batch_id, f.recommendations, p.summary, f.answers, f.catalog_lines
+            FROM context_figures f JOIN reports p USING (batch_id)
+            JOIN (SELECT batch_id, turn, question FROM chat_answers WHERE question <> '') USING (batch_id))
+        JOIN (SELECT batch_id, company_id, text FROM process_docs) USING (batch_id)
+        LEFT JOIN (SELECT batch_id, count(*) AS analyses FROM analyses GROUP BY 1) USING (batch_id)""",
 }
 
 ORACLES: dict[str, str] = {name: _statement(_typed(name, sql)) for name, sql in _FINAL.items()}

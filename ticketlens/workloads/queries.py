@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.fixed_values import CHAT_ROLES
+from ticketlens.fixed_values import CHAT_ROLES, FORBIDDEN_CLAIM
 from ticketlens.operators import catalog as ca
 from ticketlens.operators import chat as ch
 from ticketlens.operators import drafts as dr
@@ -25,8 +26,8 @@ from ticketlens.session import shared_folder, staged
 from ticketlens.sources import companies as co
 from ticketlens.sources import documents as do
 from ticketlens.sources import nested
+from ticketlens.sources import schemas as sm
 from ticketlens.sources import tickets as ti
-from ticketlens.sources.schemas import RECOMMENDATION_BATCH
 from ticketlens.workloads import tables as tb
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,14 +46,14 @@ def query(function: Query) -> Query:
 def scan_tickets(spark, sf):
     path = shared_folder(spark, "raw-tickets")
     ti.write_ticket_files(tb.raw_tickets(spark, sf), path)
-    return ti.read_ticket_folder(spark, path).drop(ti.CORRUPT)
+    return ti.read_ticket_folder(spark, path, multi_line=True).drop(ti.CORRUPT)
 
 
 @query
 def tickets_csv_roundtrip(spark, sf):
     path = shared_folder(spark, "tickets")
     ti.write_ticket_files(tb.tickets(spark, sf), path)
-    checked = qu.with_violations(ti.read_ticket_folder(spark, path), tb.factors(spark))
+    checked = qu.with_violations(ti.read_ticket_folder(spark, path, multi_line=True), tb.factors(spark))
     return qu.normalized(checked)
 
 
@@ -151,7 +152,10 @@ def dq_unknown_category(spark, sf):
 
 @query
 def dq_report(spark, sf):
-    return qu.quality_report(_checked(spark, sf), tb.company_ids(spark, sf))
+    """Findings of all companies, and of one that has no tickets."""
+    ids = tb.company_ids(spark, sf)
+    expected = ids.union(ids.limit(1).select(F.lit("no tickets"))).distinct()
+    return qu.quality_report(_checked(spark, sf), expected)
 
 
 @query
@@ -363,36 +367,50 @@ def _packages(spark, sf, done=None):
 
 @query
 def evidence_row_free(spark, sf):
-    return ev.raw_row_mentions(
-        _packages(spark, sf), ["batch_id"], ("ticket_id", "created_at", "TKT-")
+    """Column names and id prefixes of raw tickets, and texts of tickets, in packages."""
+    named = ev.raw_row_mentions(_packages(spark, sf), ["batch_id"], ("ticket_id", "created_at", "TKT-"))
+    quoted = (
+        ev.quoted_tickets(_documents(spark, sf), ["batch_id"], tb.tickets(spark, sf).select("description"))
+        .groupBy("batch_id")
+        .agg(F.count(F.lit(1)).cast("int").alias("quoted"))
+    )
+    found = F.col("markers_found") + F.coalesce("quoted", F.lit(0))
+    return named.join(quoted, "batch_id", "left").select(
+        "batch_id", "company_id", found.alias("markers_found"), (found == 0).alias("row_free")
     )
 
 
 @query
 def evidence_isolation(spark, sf):
-    return ev.foreign_mentions(_packages(spark, sf), ["batch_id"], tb.company_ids(spark, sf))
+    return ev.foreign_mentions(_documents(spark, sf), ["batch_id"], tb.company_ids(spark, sf))
 
 
 @query
 def evidence_checksum(spark, sf):
-    """Checksums of the packages before and after refinement has been verified.
-
-    Only keys and checksums are shuffled, no document.
-    """
+    """Evidence as first packed, and as the contexts hold it after refinement, some of them tampered with."""
     done = _audit(spark, sf)
-    before = ev.checksums(_packages(spark, sf, done), ["batch_id"])
-    refined = _accepted(spark, sf, done).select("batch_id", F.lit(True).alias("refined")).distinct()
-    after = ev.checksums(_packages(spark, sf, done), ["batch_id"]).withColumnRenamed(
-        "checksum", "after"
+    results = _Results(spark, sf, done)
+    parts = F.to_json(F.struct(*grounded.EVIDENCE), {"ignoreNullFields": "false"}).alias("package")
+    per_company = _company_evidence(spark, sf, done)
+    packed = _documents(spark, sf).join(per_company, "company_id").select(
+        "batch_id",
+        F.col("company.name").alias("company_name"),
+        "audit_summary",
+        F.col("categories").alias("category_evidence"),
+        "scoring_methodology",
+        F.col("text").alias("process_documentation"),
     )
+    before = ev.checksums(packed.select("batch_id", parts), ["batch_id"])
+    altered = F.when(F.col("batch_id") % 37 == 4, F.concat("process_documentation", F.lit("."))).otherwise(
+        F.col("process_documentation")
+    )
+    later = results.contexts().withColumn("process_documentation", altered)
+    after = ev.checksums(later.select("batch_id", parts), ["batch_id"]).withColumnRenamed("checksum", "after")
+    refined = results.reports().select("batch_id", "refined")
     return (
-        before.join(after, "batch_id", "full_outer")
-        .join(refined, "batch_id", "left")
-        .select(
-            "batch_id",
-            F.coalesce("refined", F.lit(False)).alias("refined"),
-            F.col("checksum").eqNullSafe(F.col("after")).alias("unchanged"),
-        )
+        before.join(after, "batch_id")
+        .join(refined, "batch_id")
+        .select("batch_id", "refined", F.col("checksum").eqNullSafe(F.col("after")).alias("unchanged"))
     )
 
 
@@ -406,56 +424,126 @@ def process_sections(spark, sf):
     return do.process_sections(_documents(spark, sf), ["batch_id", "company_id"])
 
 
-def _catalog_parts(spark, sf, done):
-    return ca.catalog_lines(
-        done.opportunities,
-        tb.process_analyses(spark, sf),
-        _accepted(spark, sf, done).withColumn("ordinal", F.col("batch_id") * 4 + F.col("pos")),
-        _documents(spark, sf).withColumn("ordinal", F.col("batch_id")),
-    )
+@query
+def evidence_catalog(spark, sf):
+    """The catalog of every complete audit result, one line a row."""
+    return ca.catalog_lines(_Results(spark, sf).contexts())
 
 
 @query
-def evidence_catalog(spark, sf):
-    return ca.evidence_catalog(_catalog_parts(spark, sf, _audit(spark, sf)))
+def read_documents(spark, sf):
+    """Process documents written as one file each by batch, and read back as whole texts."""
+    path = shared_folder(spark, "documents")
+    tb.process_documents(spark, sf).select("batch_id", "text").write.partitionBy("batch_id").text(path)
+    number = F.regexp_extract("path", "batch_id=(-?[0-9]+)", 1).cast("bigint")
+    read = do.read_documents(spark, path).select(number.alias("batch_id"), "text")
+    return do.stripped_documents(read)
 
 
 # Grounding rules --------------------------------------------------------------
 
 
-def _verified(spark, sf, done=None):
+def _verified(spark, sf, done=None, *, refined=False):
     evidence = (done or _audit(spark, sf)).evidence
-    return rc.verify_recommendations(tb.recommendation_drafts(spark, sf, evidence), evidence)
+    drafts = tb.recommendation_drafts(spark, sf, evidence, refined=refined)
+    return rc.verify_recommendations(drafts, evidence)
+
 
+def _parsed(spark, sf, rows, entries, schema):
+    inner = schema[entries].dataType.elementType
+    documents = tb.as_documents(rows, entries, inner, tb.batches(spark, sf))
+    return dr.parse_documents(documents, schema)
 
-def _accepted(spark, sf, done):
-    return rc.accepted(_verified(spark, sf, done))
 
+def _parsed_recommendations(spark, sf):
+    drafts = tb.recommendation_drafts(spark, sf, _audit(spark, sf).evidence)
+    return _parsed(spark, sf, drafts, "recommendations", sm.RECOMMENDATION_BATCH)
 
-def _parsed(spark, sf):
-    documents = tb.recommendation_documents(spark, sf, _audit(spark, sf).evidence)
-    return dr.parse_documents(documents, RECOMMENDATION_BATCH)
+
+def _parsed_questions(spark, sf):
+    return _parsed(spark, sf, tb.question_drafts(spark, sf), "questions", sm.QUESTION_BATCH)
+
+
+def _parsed_analyses(spark, sf):
+    return _parsed(spark, sf, tb.process_analyses(spark, sf), "analyses", sm.PROCESS_ANALYSIS_BATCH)
+
+
+def _parsed_narratives(spark, sf):
+    return dr.parse_documents(tb.narrative_documents(spark, sf), sm.NARRATIVE)
+
+
+def _parsed_chat_answers(spark, sf):
+    documents = tb.chat_answer_documents(spark, sf, _audit(spark, sf).evidence)
+    return dr.parse_documents(documents, sm.CHAT_ANSWER)
+
+
+def _sizes(parsed, entries):
+    size = F.when(F.col("status") == "ok", F.size(f"parsed.{entries}")).alias("entries")
+    return parsed.select("batch_id", "status", size)
 
 
 @query
 def parse_drafts(spark, sf):
-    return _parsed(spark, sf).select(
-        "batch_id",
-        "status",
-        F.when(F.col("status") == "ok", F.size("parsed.recommendations")).alias("entries"),
-    )
+    return _sizes(_parsed_recommendations(spark, sf), "recommendations")
+
+
+@query
+def parse_questions(spark, sf):
+    return _sizes(_parsed_questions(spark, sf), "questions")
+
+
+@query
+def parse_analyses(spark, sf):
+    return _sizes(_parsed_analyses(spark, sf), "analyses")
+
+
+@query
+def parse_narratives(spark, sf):
+    return _sizes(_parsed_narratives(spark, sf), "limitations")
+
+
+@query
+def parse_chat_answers(spark, sf):
+    return _parsed_chat_answers(spark, sf).select("batch_id", "turn", "status")
 
 
 @query
 def draft_contract(spark, sf):
-    rows = dr.explode_batch(_parsed(spark, sf), ["batch_id"], "recommendations")
+    rows = dr.explode_batch(_parsed_recommendations(spark, sf), ["batch_id"], "recommendations")
     return dr.batch_contract(rows, dr.recommendation_bounds(), ["batch_id"])
 
 
 @query
 def question_contract(spark, sf):
-    rows = tb.question_drafts(spark, sf)
-    return dr.batch_contract(rows, dr.question_bounds(), ["batch_id"], limit=4)
+    rows = dr.explode_batch(_parsed_questions(spark, sf), ["batch_id"], "questions")
+    return dr.batch_contract(rows, dr.question_bounds(), ["batch_id"])
+
+
+@query
+def question_entries(spark, sf):
+    """Questions as parsed; one that doesn't say so isn't required."""
+    rows = dr.explode_batch(_parsed_questions(spark, sf), ["batch_id"], "questions")
+    return rows.select("batch_id", "pos", "question_id", "required")
+
+
+@query
+def analysis_contract(spark, sf):
+    rows = dr.explode_batch(_parsed_analyses(spark, sf), ["batch_id"], "analyses")
+    return dr.batch_contract(rows, dr.analysis_bounds(), ["batch_id"], limit=None)
+
+
+@query
+def narrative_contract(spark, sf):
+    rows = dr.single_entries(_parsed_narratives(spark, sf), ["batch_id"])
+    checked = dr.with_broken_bounds(rows, dr.narrative_bounds())
+    return checked.select("batch_id", F.array_join("broken", "; ").alias("broken"))
+
+
+@query
+def chat_answer_contract(spark, sf):
+    rows = dr.single_entries(_parsed_chat_answers(spark, sf), ["batch_id", "turn"])
+    checked = dr.with_broken_bounds(rows, dr.chat_answer_bounds())
+    return checked.select("batch_id", "turn", F.array_join("broken", "; ").alias("broken"))
 
 
 @query
@@ -474,6 +562,13 @@ def verify_recommendations(spark, sf):
     )
 
 
+@query
+def verify_refined(spark, sf):
+    return _verified(spark, sf, refined=True).select(
+        "batch_id", "pos", "company_id", "category", "verdict"
+    )
+
+
 @query
 def recommendation_issues(spark, sf):
     return rc.issues(_verified(spark, sf))
@@ -497,26 +592,92 @@ def verify_questions(spark, sf):
 
 
 def _answers(spark, sf, done=None):
-    asked = _questions(spark, sf, done).filter(F.col("verdict") == "accepted")
-    return qs.verify_answers(tb.clarification_answers(spark, sf), asked)
+    accepted = _questions(spark, sf, done).filter(F.col("verdict") == "accepted")
+    return qs.verify_answers(tb.clarification_answers(spark, sf), accepted)
 
 
 @query
 def clarification_answers(spark, sf):
     return _answers(spark, sf).select(
-        "batch_id", "question_id", "answer", "question", "source_label", "verdict", "issue"
+        "batch_id", "pos", "question_id", "answer", "question", "source_label", "verdict", "issue"
     )
 
 
+def _coverage(spark, sf, done=None):
+    audited = (done or _audit(spark, sf)).opportunities
+    return rp.process_coverage(tb.process_analyses(spark, sf), audited)
+
+
+class _Results:
+    """Grounded results of all batches; what several parts of a query read is staged once."""
+
+    def __init__(self, spark, sf, done=None):
+        self.spark, self.sf, self.done = spark, sf, done or _audit(spark, sf)
+
+    @cached_property
+    def verified(self):
+        return staged(_verified(self.spark, self.sf, self.done), "verified")
+
+    @cached_property
+    def answers(self):
+        return staged(_answers(self.spark, self.sf, self.done), "answers")
+
+    @cached_property
+    def coverage(self):
+        return staged(_coverage(self.spark, self.sf, self.done), "coverage")
+
+    @cached_property
+    def initial(self):
+        narratives = tb.narratives(self.spark, self.sf)
+        return staged(grounded.initial_reports(rc.accepted(self.verified), narratives), "initial")
+
+    @cached_property
+    def completeness(self):
+        """Parts of each batch: filled document, covered analyses, a report, a question list that stands, be it empty."""
+        batches = tb.batches(self.spark, self.sf)
+        contract = dr.batch_contract(tb.question_drafts(self.spark, self.sf), dr.question_bounds(), ["batch_id"])
+        parts = {
+            "evidence": _documents(self.spark, self.sf).filter(F.length("text") > 0),
+            "process_analysis": self.coverage.filter("ok AND batch_id IS NOT NULL"),
+            "report": self.initial,
+            "clarification_questions": batches.join(contract.filter("NOT ok"), "batch_id", "left_anti"),
+        }
+        return staged(rp.result_completeness(batches, parts), "completeness")
+
+    def rejected(self):
+        return self.answers.filter("verdict = 'submission rejected'").select("batch_id").distinct()
+
+    def reports(self):
+        refined = grounded.refined_reports(
+            _verified(self.spark, self.sf, self.done, refined=True), tb.narratives(self.spark, self.sf), self.rejected()
+        )
+        return grounded.active_reports(self.initial, refined)
+
+    def contexts(self, complete=None, *, initial=False):
+        """Contexts of the complete batches, or of ``complete``; with the report before refinement, if ``initial``."""
+        turns = tb.chat_turns(self.spark, self.sf).filter(F.col("role").isin(*CHAT_ROLES))
+        history = ch.history_lists(ch.bounded_history(turns)).withColumnRenamed("conv_id", "batch_id")
+        return grounded.contexts(
+            self.completeness.filter("ok") if complete is None else complete,
+            _documents(self.spark, self.sf),
+            grounded.analysis_lists(tb.process_analyses(self.spark, self.sf), self.coverage),
+            self.initial if initial else self.reports(),
+            grounded.answer_lists(qs.clarifications(self.answers)),
+            history,
+            _company_evidence(self.spark, self.sf, self.done),
+        )
+
+
 @query
 def verify_chat_answers(spark, sf):
-    done = _audit(spark, sf)
-    answers = tb.chat_answers(spark, sf, done.evidence)
-    cited = staged(ch.cited_lines(answers), "cited")
-    catalog = ch.cited_catalog(_catalog_parts(spark, sf, done), cited)
-    return ch.verify_chat_answers(answers, catalog).select(
-        "conv_id", "turn", "company_id", "verdict", "issue"
-    )
+    """Answers in conversations of complete results against the catalogs of those results."""
+    results = _Results(spark, sf)
+    complete = results.completeness.filter("ok").select("batch_id")
+    answers = tb.chat_answers(spark, sf, results.done.evidence).join(complete, "batch_id", "left_semi")
+    answers = staged(answers, "chat-answers")
+    spoken = complete.join(answers.select("batch_id").distinct(), "batch_id", "left_semi")
+    foreign = ch.foreign_lines(answers, results.contexts(spoken))
+    return ch.verify_chat_answers(answers, foreign).select("batch_id", "turn", "company_id", "verdict", "issue")
 
 
 @query
@@ -526,12 +687,7 @@ def numeric_tokens(spark, sf):
 
 @query
 def bounded_history(spark, sf):
-    return ch.bounded_history(tb.chat_turns(spark, sf))
-
-
-def _coverage(spark, sf, done=None):
-    audited = (done or _audit(spark, sf)).opportunities
-    return rp.process_coverage(tb.process_analyses(spark, sf), audited)
+    return ch.bounded_history(tb.chat_turns(spark, sf)).drop("answer_details")
 
 
 @query
@@ -541,11 +697,10 @@ def process_coverage(spark, sf):
 
 @query
 def report_limitations(spark, sf):
-    initial = tb.narratives(spark, sf).select(
-        "batch_id", F.col("initial_limitations").alias("limitations")
-    )
-    merged = rp.merged_limitations(initial, _verified(spark, sf))
-    return merged.select("batch_id", F.posexplode("limitations").alias("line_no", "line"))
+    """Limitations of the active report of every complete batch."""
+    results = _Results(spark, sf)
+    reports = results.reports().join(results.completeness.filter("ok"), "batch_id", "left_semi")
+    return reports.select("batch_id", "refined", F.posexplode("report_limitations").alias("line_no", "line"))
 
 
 @query
@@ -556,62 +711,86 @@ def staged_issues(spark, sf):
 
 @query
 def result_complete(spark, sf):
-    done = _audit(spark, sf)
-    documents = tb.process_documents(spark, sf)
-    parts = {
-        "evidence": documents,
-        "process_analysis": _coverage(spark, sf, done).filter("ok"),
-        "report": rc.batch_gate(_verified(spark, sf, done)).filter("ok"),
-        "clarification_questions": _questions(spark, sf, done).filter("verdict = 'accepted'"),
-    }
-    return rp.result_completeness(documents, parts)
-
-
-def _contexts(spark, sf, done):
-    history = ch.history_lists(
-        ch.bounded_history(tb.chat_turns(spark, sf).filter(F.col("role").isin(*CHAT_ROLES)))
-    ).withColumnRenamed("conv_id", "batch_id")
-    return grounded.chat_contexts(
-        _company_evidence(spark, sf, done),
-        _documents(spark, sf),
-        grounded.analysis_lists(tb.process_analyses(spark, sf), _coverage(spark, sf, done)),
-        grounded.recommendation_lists(_accepted(spark, sf, done)),
-        tb.narratives(spark, sf),
-        qs.clarifications(_answers(spark, sf, done)),
-        history,
-    )
+    return _Results(spark, sf).completeness
+
+
+def _lines_md5(values):
+    return F.md5(F.array_join(values, "\n"))
 
 
 @query
 def chat_context(spark, sf):
-    """Every batch's context in figures, with a checksum of its ordered catalog."""
+    """Every complete batch's context in figures, with checksums of its texts in their order."""
     turns = F.col("recent_turns")
-    return _contexts(spark, sf, _audit(spark, sf)).select(
+    return _Results(spark, sf).contexts().select(
         "batch_id",
         "company_id",
         F.size("process_analysis").alias("analyses"),
         F.size("recommendations").alias("recommendations"),
+        _lines_md5(F.transform("recommendations", lambda r: r["title"])).alias("titles_md5"),
+        _lines_md5(F.transform("clarification_answers", lambda a: a["answer"])).alias("answers_md5"),
         F.size("clarification_answers").alias("answers"),
-        F.size("report_limitations").alias("limitations"),
+        F.md5("executive_summary").alias("summary_md5"),
+        _lines_md5("report_limitations").alias("limitations_md5"),
         F.size(turns).alias("turns"),
-        F.md5(F.array_join(F.transform(turns, lambda t: t["content"]), "\n")).alias("turns_md5"),
+        F.size(F.filter(turns, lambda t: t["answer_details"].isNotNull())).alias("detailed_turns"),
+        _lines_md5(F.transform(turns, lambda t: t["content"])).alias("turns_md5"),
         F.size("evidence_catalog").alias("catalog_lines"),
-        F.md5(F.array_join("evidence_catalog", "\n")).alias("catalog_md5"),
+        _lines_md5("evidence_catalog").alias("catalog_md5"),
     )
 
 
 @query
 def stage_payloads(spark, sf):
-    done = _audit(spark, sf)
-    answers = tb.chat_answers(spark, sf, done.evidence)
-    asked = answers.groupBy(F.col("conv_id").alias("batch_id")).agg(
-        F.max("question").alias("user_question")
+    """What each stage's payload holds: counts of its lists, checksums of its texts; null where a part isn't in it."""
+    results = _Results(spark, sf)
+    held = results.completeness
+    asked = tb.chat_answers(spark, sf, results.done.evidence).select("batch_id", "turn", "question")
+    per_company = _company_evidence(spark, sf, results.done)
+    packed = (
+        held.filter("evidence").select("batch_id")
+        .join(_documents(spark, sf).withColumnRenamed("text", "process_documentation"), "batch_id")
+        .join(per_company, "company_id")
+        .withColumns({"company_name": F.col("company.name"), "category_evidence": F.col("categories")})
     )
-    return grounded.stage_payloads(_contexts(spark, sf, done), asked).select(
-        "batch_id",
-        "company_id",
-        "stage_no",
-        "stage",
-        F.length("payload").alias("payload_chars"),
-        F.sha2("payload", 256).alias("payload_sha"),
+    analyses = grounded.analysis_lists(tb.process_analyses(spark, sf), results.coverage)
+    covered = packed.join(analyses, "batch_id")
+    reported = covered.join(results.initial, "batch_id")
+    verified = packed.join(held.filter("process_analysis").select("batch_id"), "batch_id", "left_semi").join(
+        grounded.recommendation_lists(rc.accepted(results.verified)), "batch_id"
     )
+    answered = results.contexts(initial=True).join(results.rejected(), "batch_id", "left_anti")
+    reaching = {
+        "process analysis": packed,
+        "recommendations": covered,
+        "executive report": verified,
+        "clarification questions": reported,
+        "refinement": answered.filter(F.size("clarification_answers") > 0),
+        "chat": grounded.asked(results.contexts(), asked),
+    }
+    out = []
+    for stage, frame in reaching.items():
+        rows = grounded.with_payload(grounded.stage_rows(frame, stage), stage)
+
+        def part(name, figure, kind, rows=rows):
+            return (figure(F.col(name)) if name in rows.columns else F.lit(None)).cast(kind)
+
+        out.append(
+            rows.select(
+                "batch_id",
+                "company_id",
+                "stage_no",
+                "stage",
+                "turn",
+                part("category_evidence", F.size, "int").alias("categories"),
+                part("process_documentation", F.md5, "string").alias("documentation_md5"),
+                part("process_analysis", F.size, "int").alias("analyses"),
+                part("recommendations", F.size, "int").alias("recommendations"),
+                part("executive_summary", F.md5, "string").alias("summary_md5"),
+                part("clarification_answers", F.size, "int").alias("answers"),
+                part("evidence_catalog", F.size, "int").alias("catalog_lines"),
+                part("user_question", lambda q: q, "string").alias("user_question"),
+                F.contains(F.col("payload"), F.lit(FORBIDDEN_CLAIM)).alias("has_rules"),
+            )
+        )
+    return reduce(DataFrame.unionByName, out)
