@@ -103,6 +103,27 @@ def test_no_pair_joins(spark, sf_dir, name):
     assert "PythonUDF" not in text and "ArrowEvalPython" not in text
 
 
+@pytest.mark.parametrize(
+    ("name", "table", "most"),
+    [("chat_context", "documents", 4), ("clarification_answers", "documents", 2), ("dq_report", "events", 1)],
+)
+def test_a_table_is_read_few_times(spark, sf_dir, name, table, most):
+    text = plan(registered.QUERIES[name](spark, sf_dir))
+    assert text.count(f"{table}.parquet") <= most
+
+
+def test_cells_are_parsed_once(spark, sf_dir):
+    """A filter on violations stands above the parse, not beside a copy of it."""
+    lines = plan(registered.QUERIES["normalized_tickets"](spark, sf_dir)).splitlines()
+    assert not any("Filter" in line and "rlike" in line.lower() for line in lines)
+
+
+def test_texts_are_joined_before_company_evidence(spark, sf_dir):
+    lines = plan(registered.QUERIES["chat_context"](spark, sf_dir)).splitlines()
+    joins = [line for line in lines if "Join " in line]
+    assert "company_id" in joins[0] and all("company_id" not in line.split("],")[0] for line in joins[1:2])
+
+
 def test_a_company_with_most_rows(spark):
     """Nine tenths of the rows in one company and category."""
     hot = spark.range(90_000).select(F.lit("hot").alias("company_id"), "id")

@@ -74,12 +74,12 @@ def batch_issues(verified: DataFrame) -> DataFrame:
 def merged_limitations(narratives: DataFrame, verified: DataFrame) -> DataFrame:
     """Limitations of a refined report: the narrative's own, then the batch's issues.
 
-    ``narratives`` has (batch_id, limitations).
+    ``narratives`` has (batch_id, limitations); its further columns are kept.
     """
     empty = F.array().cast("array<string>")
-    return narratives.join(batch_issues(verified), "batch_id", "left").select(
-        "batch_id",
-        F.concat(F.coalesce("limitations", empty), F.coalesce("issues", empty)).alias("limitations"),
+    merged = F.concat(F.coalesce("limitations", empty), F.coalesce("issues", empty))
+    return (
+        narratives.join(batch_issues(verified), "batch_id", "left").withColumn("limitations", merged).drop("issues")
     )
 
 

@@ -647,11 +647,14 @@ class _Results:
     def rejected(self):
         return self.answers.filter("verdict = 'submission rejected'").select("batch_id").distinct()
 
+    @cached_property
+    def refined(self):
+        verified = staged(_verified(self.spark, self.sf, self.done, refined=True), "refined")
+        narratives = tb.narratives(self.spark, self.sf)
+        return staged(grounded.refined_reports(verified, narratives, self.rejected()), "refined-reports")
+
     def reports(self):
-        refined = grounded.refined_reports(
-            _verified(self.spark, self.sf, self.done, refined=True), tb.narratives(self.spark, self.sf), self.rejected()
-        )
-        return grounded.active_reports(self.initial, refined)
+        return grounded.active_reports(self.initial, self.refined)
 
     def contexts(self, complete=None, *, initial=False):
         """Contexts of the complete batches, or of ``complete``; with the report before refinement, if ``initial``."""
