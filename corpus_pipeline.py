@@ -20,7 +20,7 @@ MASK = "[secret]"
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """Rows whose ``doc_id`` isn't in the staged table ``dropped``; null ids stay."""
-    return docs.join(by_rows(dropped.withColumnRenamed("doc_id", "_dropped")), F.col("doc_id") == F.col("_dropped"), "left_anti")
+    return docs.join(by_rows(dropped), docs["doc_id"] == dropped["doc_id"], "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +44,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         found.filter("key IS NOT NULL").groupBy(F.col("key").alias("doc_id")).count().filter("count > 1").select("doc_id"),
         "repeated",
     )
-    twice = by_rows(repeated.withColumnRenamed("doc_id", "_repeated"))
     single = _without(docs, staged(dropped.union(repeated).distinct(), "dropped"))
-    several = docs.join(twice, F.col("doc_id") == F.col("_repeated"), "left_semi")
+    several = docs.join(by_rows(repeated), docs["doc_id"] == repeated["doc_id"], "left_semi")
     prints = simhash.fingerprints(several.select(F.struct("*").alias("row"), "text"), key="row").select("key", "fp")
     classes = found.filter("key = component").select(F.col("key").alias("_id"), F.col("fp").alias("_fp"), "root").distinct()
     first = prints.join(classes, (F.col("key.doc_id") == F.col("_id")) & (F.col("fp") == F.col("_fp")))

@@ -48,9 +48,9 @@ def words(text: Column) -> Column:
 def by_rows(narrow: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The table marked for broadcast if its counted rows allow it, else as it is.
 
-    Only for staged tables of a few numbers a row, whose count costs no recomputation.
+    Only for stored tables of a few numbers a row, whose count costs no recomputation.
     """
-    return F.broadcast(narrow) if narrow.limit(limit + 1).count() <= limit else narrow
+    return F.broadcast(narrow) if narrow.count() <= limit else narrow
 
 
 def crc_fold(doc_id: Column, folds: int) -> Column:

@@ -20,7 +20,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import words
+from ticketlens.llm.common import by_rows, words
 from ticketlens.session import staged
 
 LEVELS = ("domain", "lang", "source")
@@ -182,7 +182,7 @@ def mixed(
 
     ``weights`` has a whole-number column for each level, a function of the level's names. Null and empty
     texts cost one token; null languages and sources are leaves of their own; null ids draw
-    like the empty text. Texts are read twice and never shuffled.
+    like the empty text. Texts are read twice, and not shuffled unless the leaves are too many to broadcast.
     """
     rows = docs.select(F.struct("*").alias("row"), domain.alias("domain"), "lang", "source", "doc_id", "text")
     rows = rows.select(
@@ -197,4 +197,4 @@ def mixed(
     leaves = costs.groupBy("names", *(f"weight_{level}" for level in LEVELS)).agg(F.sum("tokens").alias("tokens"))
     plan = staged(budgets(leaves.select("names.*", "*"), total, epochs), "plan")
     cut = cuts(costs.select("key", "leaf", "tokens"), plan, seed)
-    return rows.join(cut, "leaf", "left").select("row", "leaf", "tokens", "budget", copies(F.col("key"), seed).alias("copies"))
+    return rows.join(by_rows(cut), "leaf", "left").select("row", "leaf", "tokens", "budget", copies(F.col("key"), seed).alias("copies"))
