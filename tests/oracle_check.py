@@ -37,9 +37,9 @@ def _plain(value):
     return value
 
 
-def compare(spark, con, sf_dir: str, name: str) -> str | None:
+def compare(spark, con, sf_dir: str, name: str, frame=None) -> str | None:
     """None if both results hold the same rows, else what differs."""
-    frame = queries()[name](spark, sf_dir)
+    frame = queries()[name](spark, sf_dir) if frame is None else frame
     names = sorted(frame.columns)
     got = Counter(
         tuple(map(_plain, row)) for row in frame.select(*(f"`{n}`" for n in names)).collect()

@@ -95,14 +95,6 @@ def _evidence(spark):
     )
 
 
-@pytest.mark.parametrize("name", sorted(registered.QUERIES))
-def test_no_pair_joins(spark, sf_dir, name):
-    text = plan(registered.QUERIES[name](spark, sf_dir))
-    assert "CartesianProduct" not in text
-    assert "BroadcastNestedLoopJoin" not in text
-    assert "PythonUDF" not in text and "ArrowEvalPython" not in text
-
-
 @pytest.mark.parametrize(
     ("name", "table", "most"),
     [("chat_context", "documents", 4), ("clarification_answers", "documents", 2), ("dq_report", "events", 1)],
