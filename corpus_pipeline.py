@@ -55,8 +55,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret found is replaced by ``MASK``; ``n_chars`` follows. No row goes."""
-    found = secrets.spans(F.col("text"))
-    spans = F.sort_array(F.concat(found["base"], found["added"]))
+    spans = secrets.to_mask(F.col("text"))
     rows = docs.select(F.struct("*").alias("row"), F.explode(F.array(spans)).alias("spans"), F.col("text").alias("text"))
     masked = rows.select("row", secrets.masked(F.col("text"), F.col("spans"), MASK).alias("text"))
     out = []

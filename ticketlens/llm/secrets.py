@@ -4,7 +4,8 @@ The patterns are read by built-in regular expressions. Candidate strings of each
 swept by a window of fixed length whose entropy is kept up to date by counts: the character
 that enters and the one that leaves change two counts and one running sum. Windows above the class's
 limit are merged to spans. A span is dropped if its candidate is on the allow-list or if it
-overlaps a span of the patterns, so the method only adds.
+overlaps a span of the patterns, so the method only adds. Masking keeps overlapping spans whole (``to_mask``), so
+that a secret right beside a pattern's match isn't left readable.
 
 Everything is column expressions. Sums of n log2 n are whole numbers (scaled by 2^20), so results
 don't depend on the order of additions.
@@ -188,6 +189,10 @@ def _without_overlap(spans: Column, taken: Column) -> Column:
     return F.filter(spans, lambda s: ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (t["end"] > s["start"])))
 
 
+def _patterns(text: Column) -> Column:
+    return F.concat(_matches(text, ASSIGN, 0, 1, ASSIGN_LEAST), _matches(text, ACCESS, 1), _matches(text, HEX, 2))
+
+
 def spans(text: Column) -> Column:
     """Struct of ``base`` and ``added`` spans ``(start, kind, end)`` in code points, each sorted.
 
@@ -195,12 +200,6 @@ def spans(text: Column) -> Column:
     """
 
     def scan(t: Column) -> Column:
-        base = F.concat(
-            _matches(t, ASSIGN, 0, 1, ASSIGN_LEAST),
-            _matches(t, ACCESS, 1),
-            _matches(t, HEX, 2),
-        )
-
         def with_added(found: Column) -> Column:
             first = let(_entropy_spans(t, CLASSES[0]), lambda e: _without_overlap(e, found))
             for kind in CLASSES[1:]:
@@ -210,7 +209,19 @@ def spans(text: Column) -> Column:
                 )
             return F.struct(found.alias("base"), F.sort_array(first).alias("added"))
 
-        return let(F.sort_array(base), with_added)
+        return let(F.sort_array(_patterns(t)), with_added)
+
+    return let(F.coalesce(text, F.lit("")), scan)
+
+
+def to_mask(text: Column) -> Column:
+    """Sorted spans ``(start, kind, end)`` of all that must not stay readable; they may overlap.
+
+    All of ``spans``, and the entropy spans that ``spans`` drops because they overlap others. Null counts as the empty text.
+    """
+
+    def scan(t: Column) -> Column:
+        return F.sort_array(F.concat(_patterns(t), *(_entropy_spans(t, kind) for kind in CLASSES)))
 
     return let(F.coalesce(text, F.lit("")), scan)
 
