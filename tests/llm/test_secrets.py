@@ -135,3 +135,15 @@ def test_secrets_beside_patterns_are_masked(spark):
     assert all(KEY[i : i + 8] not in t for t in found[:3] for i in range(len(KEY) - 7))
     assert all(t.endswith(" end") for t in found[:3])
     assert found[3:] == texts[3:]
+
+
+def test_keys_of_one_case_and_beside_allowed_parts_are_masked(spark):
+    keys = ["k3v9zq7xw2m8pt5yr4hj6n", "JBSWY3DPEHPK3PXPMZ2W4ZTV", KEY, KEY, KEY, KEY]
+    around = ["a {} end", "a {} end", "at /example/{} end", "a sample_{} end", "a {}0123456789 end", "a {}/samplexample end"]
+    texts = [a.format(k) for a, k in zip(around, keys, strict=True)]
+    found = _masked(spark, texts)
+    for key, text in zip(keys, found, strict=True):
+        assert all(key[i : i + 8] not in text for i in range(len(key) - 7)), text
+    assert found[2] == "at /example[secret] end"
+    kept = ["123E4567-E89B-12D3-A456-426614174000", "antidisestablishmentarianism", "zzzzzzzzzzzzzzzzzzzzzzzzzzzz1", "ABCDEFGHIJ0123456789", "/example/sample/placeholder/Of1/words"]
+    assert _masked(spark, kept) == kept

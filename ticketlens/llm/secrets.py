@@ -64,6 +64,15 @@ ALLOWED = (
     "0123456789|abcdefghij|ABCDEFGHIJ",
 )
 
+# What masking sweeps besides: keys of one letter case with digits.
+ONE_CASE = (
+    CharacterClass("lower", _LOWER + _DIGITS, "[a-z0-9]", 20, 20, 3.5, ("[0-9]", "[a-z]")),
+    CharacterClass("upper", _UPPER + _DIGITS, "[A-Z0-9]", 20, 20, 3.5, ("[0-9]", "[A-Z]")),
+)
+# Allowed as whole candidates, and as parts, which take out only the windows that overlap them.
+_ALLOWED_WHOLE = tuple(x for x in ALLOWED if x.startswith("^"))
+_ALLOWED_PART = "|".join(f"(?:{x})" for x in ALLOWED if not x.startswith("^"))
+
 _SPAN = "struct<start:int,kind:int,end:int>"
 
 
@@ -157,7 +166,30 @@ def _high_windows(candidate: Column, kind: CharacterClass) -> Column:
     return let(F.transform(letters, lambda c: F.instr(F.lit(kind.alphabet), c) - 1), sweep)
 
 
-def _entropy_spans(text: Column, kind: CharacterClass) -> Column:
+def _pieces(candidate: Column) -> Column:
+    """Spans of what lies between the allowed parts of a candidate: windows that overlap none of them lie in one."""
+
+    def between(parts: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(parts, lambda x: x["end"]))
+        ends = F.concat(F.transform(parts, lambda x: x["start"]), F.array(F.length(candidate)))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+
+    return let(_matches(candidate, _ALLOWED_PART, KINDS.index("entropy")), between)
+
+
+def _piecewise_windows(candidate: Column, kind: CharacterClass) -> Column:
+    def of(piece: Column) -> Column:
+        part = F.substring(candidate, piece["start"] + 1, piece["end"] - piece["start"])
+        return F.transform(
+            let(part, lambda p: _high_windows(p, kind)),
+            lambda w: F.struct((piece["start"] + w["start"]).alias("start"), (piece["start"] + w["end"]).alias("end")),
+        )
+
+    return F.flatten(F.transform(_pieces(candidate), of))
+
+
+def _entropy_spans(text: Column, kind: CharacterClass, by_piece: bool = False) -> Column:
+    """``by_piece``: an allowed part of a candidate doesn't suppress the windows beside it."""
     pattern = f"{kind.run}{{{kind.least},}}"
 
     def of(span: Column) -> Column:
@@ -165,13 +197,13 @@ def _entropy_spans(text: Column, kind: CharacterClass) -> Column:
 
         def judged(c: Column) -> Column:
             allowed = F.lit(False)
-            for entry in ALLOWED:
+            for entry in _ALLOWED_WHOLE if by_piece else ALLOWED:
                 allowed = allowed | c.rlike(entry)
             needed = F.lit(True)
             for part in kind.needs:
                 needed = needed & c.rlike(part)
             high = F.transform(
-                _high_windows(c, kind),
+                (_piecewise_windows if by_piece else _high_windows)(c, kind),
                 lambda w: F.struct(
                     (span["start"] + w["start"]).alias("start"),
                     F.lit(KINDS.index("entropy")).alias("kind"),
@@ -217,11 +249,12 @@ def spans(text: Column) -> Column:
 def to_mask(text: Column) -> Column:
     """Sorted spans ``(start, kind, end)`` of all that must not stay readable; they may overlap.
 
-    All of ``spans``, and the entropy spans that ``spans`` drops because they overlap others. Null counts as the empty text.
+    All of ``spans``, the entropy spans that ``spans`` drops because they overlap others, keys of one letter case,
+    and windows beside an allowed part of their candidate. Null counts as the empty text.
     """
 
     def scan(t: Column) -> Column:
-        return F.sort_array(F.concat(_patterns(t), *(_entropy_spans(t, kind) for kind in CLASSES)))
+        return F.sort_array(F.concat(_patterns(t), *(_entropy_spans(t, kind, by_piece=True) for kind in CLASSES + ONE_CASE)))
 
     return let(F.coalesce(text, F.lit("")), scan)
 
