@@ -34,21 +34,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the row with the smallest id stays.
 
-    If the smallest id belongs to several rows of the class, one of them stays. In classes whose rows all have null ids, all stay,
-    as nothing tells them apart.
+    If the smallest id belongs to several rows of the class, one of them stays, and so does one of a class whose rows all have
+    null ids: the least whole row.
     """
     found = staged(simhash.near_classes(docs), "classes")
     dropped = staged(found.filter("key != component").select(F.col("key").alias("doc_id")).distinct(), "dropped")
-    # An id that repeats within its class or across classes: rare, and told apart by the whole row.
+    # An id that repeats within its class or across classes, or is null: rare, and told apart by the whole row.
     repeated = staged(
         found.filter("key IS NOT NULL").groupBy(F.col("key").alias("doc_id")).count().filter("count > 1").select("doc_id"),
         "repeated",
     )
-    single = _without(docs, staged(dropped.union(repeated).distinct(), "dropped"))
-    several = docs.join(by_rows(repeated), docs["doc_id"] == repeated["doc_id"], "left_semi")
+    single = _without(docs.filter("doc_id IS NOT NULL"), staged(dropped.union(repeated).distinct(), "dropped"))
+    nameless = docs.filter("doc_id IS NULL")
+    several = docs.join(by_rows(repeated), docs["doc_id"] == repeated["doc_id"], "left_semi").unionByName(nameless)
     prints = simhash.fingerprints(several.select(F.struct("*").alias("row"), "text"), key="row").select("key", "fp")
-    classes = found.filter("key = component").select(F.col("key").alias("_id"), F.col("fp").alias("_fp"), "root").distinct()
-    first = prints.join(classes, (F.col("key.doc_id") == F.col("_id")) & (F.col("fp") == F.col("_fp")))
+    classes = found.filter("key <=> component").select(F.col("key").alias("_id"), F.col("fp").alias("_fp"), "root").distinct()
+    first = prints.join(classes, F.col("key.doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")))
     kept = first.groupBy("_id", "root").agg(F.min("key").alias("key"))
     return single.unionByName(kept.select("key.*"))
 

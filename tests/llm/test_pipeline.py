@@ -100,3 +100,11 @@ def test_repeated_ids_in_different_classes(spark, sf_dir):
 
 def test_no_secret_pattern_is_left_in_the_mask():
     assert not _all(corpus_pipeline.MASK) and not re.search("=", corpus_pipeline.MASK)
+
+
+def test_null_ids_are_deduplicated(spark, sf_dir):
+    named, nameless, alone = "one two three four five six", "alpha beta gamma delta epsilon zeta", "red green blue white black grey"
+    rows = [(None, named, "en", "s", 0), (None, named, "en", "s", 0), (3, named, "en", "s", 0), (4, named, "en", "s", 0)]
+    rows += [(None, nameless, "en", f"s{i}", 0) for i in range(3)] + [(None, nameless, "en", "s0", 0), (None, alone, "en", "s", 0)]
+    kept = corpus_pipeline.drop_near_copies(spark, clashing(documents(spark, rows)), sf_dir).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(3, named), (0, nameless), (0, alone)])
