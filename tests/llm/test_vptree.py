@@ -81,3 +81,12 @@ def test_query_recall(spark, sf_dir):
     truth = dict(rows)
     for q, v in found.items():
         assert [s for _, s in v] == pytest.approx([np.dot(np.array(truth[q], float), np.array(truth[i], float)) for i, _ in v])
+
+
+def test_repeated_rows_leave_room_for_other_ids(spark):
+    rows = _rows(120, 6, 3)
+    rows += [(1001, rows[7][1])] * 30 + [(1001 + i, rows[7][1]) for i in range(1, 9)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = _found(vptree.nearest(table, F.col("vec_id") % 20 == 7, 5, 1.0, shard_rows=64, sample_rows=8))
+    want = _brute(dict(rows).items(), lambda i: i % 20 == 7, 5)
+    assert {q: [i for i, _ in v] for q, v in found.items()} == {q: [i for i, _ in v] for q, v in want.items()}

@@ -238,8 +238,10 @@ def nearest(
             _place(top, points, np.arange(len(points)), at, [0])
             yield pa.RecordBatch.from_arrays([pa.array(at), *batch.columns], ["leaf", "id", "v"])
 
-    ranked = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    indexed = rows.select("id", "v").withColumn("copy", ranked).filter(F.col("copy") <= k + 1).select("id", "v")
+    # Of equal vectors the k + 1 smallest ids, each once, however often its row repeats.
+    equal = Window.partitionBy("v").orderBy("id")
+    numbered = rows.select("id", "v").withColumn("place", F.dense_rank().over(equal)).withColumn("before", F.lag("id").over(equal))
+    indexed = numbered.filter((F.col("place") <= k + 1) & ~F.col("before").eqNullSafe(F.col("id"))).select("id", "v")
     dealt = staged(indexed.mapInArrow(deal, "leaf int, id long, v array<double>"), "dealt")
     counts = staged(dealt.groupBy("leaf").agg(F.count("*").alias("rows")), "leaves")
     splits = counts.withColumn("splits", F.ceil(F.col("rows") / (2 * shard_rows))).select("leaf", "splits")
