@@ -62,15 +62,20 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def discard(path: str) -> None:
+    """Delete one folder of ``shared_folder`` before the end, as iterations do with the state before last."""
+    owner = _WRITTEN.pop(path)
+    # A session that is gone has nothing left to ask; its folder stays.
+    with contextlib.suppress(Exception):
+        folder = owner._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(owner._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(spark: SparkSession | None = None) -> None:
     """Delete what was staged, in ``spark`` or in all sessions; results not yet read are lost with it."""
     for path, owner in list(_WRITTEN.items()):
         if spark is None or owner is spark:
-            del _WRITTEN[path]
-            # A session that is gone has nothing left to ask; its folder stays.
-            with contextlib.suppress(Exception):
-                folder = owner._jvm.org.apache.hadoop.fs.Path(path)
-                folder.getFileSystem(owner._jsc.hadoopConfiguration()).delete(folder, True)
+            discard(path)
 
 
 atexit.register(release)
