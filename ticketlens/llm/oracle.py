@@ -5,7 +5,7 @@ They follow the definitions, not the jobs: recursion, rows per window, rows per
 
 from __future__ import annotations
 
-from ticketlens.llm import mixing, quality_rules, queries, secrets, sharding
+from ticketlens.llm import centroids, license_scan, mixing, quality_rules, queries, secrets, sharding
 
 _SPACES = "[\\x20\\x09-\\x0D]+"
 _WORD = "[^\\x20\\x09-\\x0D]"
@@ -255,9 +255,98 @@ SELECT doc_id, domain, lang, source, tokens::BIGINT AS tokens, budget AS leaf_bu
 FROM drawn JOIN ids USING (leaf, draw)"""
 
 
+def _centroids() -> str:
+    """Every round computes all distances from scratch."""
+    whole = f"list_transform(embedding, lambda c: CAST(floor({centroids.SCALE} * CAST(c AS DOUBLE)) AS BIGINT))"
+    parts = []
+    for at in range(centroids.ROUNDS + 1):
+        parts.append(f"""near{at} AS MATERIALIZED (
+  SELECT rid, arg_min(c, (distance, c)) AS c, min(distance) AS distance FROM (
+    SELECT v.rid, m.c, sum((v.x - m.x) * (v.x - m.x))::BIGINT AS distance FROM cells v JOIN centres{at} m USING (j) GROUP BY v.rid, m.c
+  ) GROUP BY rid
+)""")
+        if at < centroids.ROUNDS:
+            parts.append(f"""centres{at + 1} AS MATERIALIZED (
+  SELECT c, j, coalesce(f.x, m.x) AS x FROM centres{at} m LEFT JOIN (
+    SELECT n.c, v.j, CAST((sum(v.x) - ((sum(v.x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x
+    FROM near{at} n JOIN cells v USING (rid) GROUP BY n.c, v.j
+  ) f USING (c, j)
+)""")
+    last = centroids.ROUNDS
+    return f"""
+WITH fit AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, {whole} AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), cells AS MATERIALIZED (
+  SELECT rid, unnest(range(1, 65)) AS j, unnest(x) AS x FROM fit
+), chosen AS (
+  SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS c, x FROM fit
+), centres0 AS MATERIALIZED (
+  SELECT c, unnest(range(1, 65)) AS j, unnest(x) AS x FROM chosen WHERE c < {centroids.CLUSTERS}
+), {", ".join(parts)}, names AS (
+  SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM centres{last} GROUP BY c
+)
+SELECT vec_id, c::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM near{last} JOIN fit USING (rid) JOIN names USING (c)"""
+
+
+def _licenses() -> str:
+    def rows(values: list[tuple]) -> str:
+        return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in values)
+
+    cut = "list_filter(regexp_split_to_array(translate({}, '" + license_scan.UPPER + "', '" + license_scan.LOWER + "'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+    run = license_scan.RUN
+    templates = rows([(i, t.label, t.least, t.text) for i, t in enumerate(license_scan.TEMPLATES)])
+    return f"""
+WITH texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, {cut.format("coalesce(text, '')")} AS words FROM documents
+), phrases AS (
+  SELECT label, string_split(phrase, ' ') AS p FROM (VALUES {rows([(v, k) for k, v in license_scan.PHRASES.items()])}) t(label, phrase)
+), places AS (
+  SELECT rid, label, unnest(list_filter(range(0, len(words)), lambda i: words[i + 1:i + len(p)] = p)) AS place FROM texts, phrases
+), base AS (
+  SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+         list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY rid
+), templates AS MATERIALIZED (
+  SELECT tid, label, least, {cut.format("body")} AS words FROM (VALUES {templates}) t(tid, label, least, body)
+), template_runs AS (
+  SELECT tid, unnest(range(0, len(words) - {run - 1})) AS t,
+         unnest(list_transform(range(0, len(words) - {run - 1}), lambda i: array_to_string(words[i + 1:i + {run}], ' '))) AS run FROM templates
+), text_runs AS (
+  SELECT rid, unnest(range(0, len(words) - {run - 1})) AS p,
+         unnest(list_transform(range(0, len(words) - {run - 1}), lambda i: array_to_string(words[i + 1:i + {run}], ' '))) AS run
+  FROM texts WHERE len(words) >= {run}
+), votes AS MATERIALIZED (
+  SELECT rid, tid, t, p - t AS diagonal FROM text_runs JOIN template_runs USING (run)
+), diagonals AS (
+  SELECT *, coalesce(diagonal - lag(diagonal) OVER w > {license_scan.GAP}, FALSE)::INTEGER AS new
+  FROM (SELECT DISTINCT rid, tid, diagonal FROM votes) WINDOW w AS (PARTITION BY rid, tid ORDER BY diagonal)
+), candidates AS (
+  SELECT *, sum(new) OVER (PARTITION BY rid, tid ORDER BY diagonal) AS candidate FROM diagonals
+), covered AS (
+  SELECT rid, tid, candidate, t + k AS t, min(diagonal) AS diagonal
+  FROM votes JOIN candidates USING (rid, tid, diagonal), (SELECT unnest(range(0, {run})) AS k) GROUP BY ALL
+), spans AS (
+  SELECT rid, tid, candidate, count(*) AS n, max(t + diagonal) - min(t + diagonal) + 1 AS long FROM covered GROUP BY ALL
+), stands AS (
+  SELECT rid, label, n::DOUBLE / greatest(len(words), long)::DOUBLE AS similarity
+  FROM spans JOIN templates USING (tid) WHERE n::DOUBLE / greatest(len(words), long)::DOUBLE >= least
+), found AS (
+  SELECT rid, list(label) AS labels, max(similarity) AS similarity FROM stands GROUP BY rid
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(b.labels, ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(similarity, 0.0) END::DOUBLE AS score
+FROM texts LEFT JOIN base b USING (rid) LEFT JOIN found f USING (rid)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": _quality_rules(),
     "op4_secrets": _secrets(),
     "op6_sharding": _sharding(),
     "op8_mixing": _mixing(),
+    "op12_centroids": _centroids(),
+    "op13_licenses": _licenses(),
 }

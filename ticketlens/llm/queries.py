@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ticketlens.llm import (
     bpe,
+    centroids,
+    license_scan,
     mixing,
     quality_rules,
     rule_ensemble,
@@ -18,6 +20,7 @@ from ticketlens.llm import (
     token_counts,
     toxicity,
     vptree,
+    whitening,
 )
 from ticketlens.llm.common import crc_fold, table
 
@@ -156,6 +159,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumnRenamed("key", "vec_id")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.clustered(table(spark, sf_dir, "embeddings"))
+    return centroids.described(found).withColumnRenamed("key", "vec_id")
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    joined = (F.array_join(name, ",").alias(name) for name in ("base_labels", "labels"))
+    return found.select(F.col("key").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -169,5 +187,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_token_counts,
         op10_toxicity,
+        op11_whitening,
+        op12_centroids,
+        op13_licenses,
     )
 }
