@@ -7,7 +7,7 @@ Every stage takes ``(spark, docs, sf_dir)`` and works on all rows of ``docs``. A
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.llm import bpe, mixing, secrets, simhash, toxicity
@@ -24,18 +24,26 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the toxicity models reject go; rows with the same id have the same fate if any is rejected."""
+    """Rows whose text the toxicity models reject go.
+
+    The verdict is the text's: equal texts share it, and ids play no part, so rows with the same or no id are judged one by
+    one. Only digests of texts pass the models; the rejected ones are joined back.
+    """
     models = toxicity.fit(docs, table(spark, sf_dir, "labels"), 5, 0)
-    rows = docs.select(F.struct("*").alias("row"), F.col("text"))
-    found = toxicity.scores(rows, models, key="row")
-    return found.filter(F.col("score") < TOXIC_FROM).select("key.*")
+
+    def digest(frame: DataFrame) -> Column:
+        return F.md5(F.coalesce(frame["text"], F.lit("")).cast("binary"))
+
+    found = toxicity.scores(docs.select(digest(docs).alias("digest"), docs["text"]), models, key="digest")
+    rejected = staged(found.filter(F.col("score") >= TOXIC_FROM).select(F.col("key").alias("rejected")).distinct(), "rejected")
+    return docs.join(by_rows(rejected), digest(docs) == rejected["rejected"], "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the row with the smallest id stays.
 
     If the smallest id belongs to several rows of the class, one of them stays, and so does one of a class whose rows all have
-    null ids: the least whole row.
+    null ids: the one whose JSON comes first.
     """
     found = staged(simhash.near_classes(docs), "classes")
     dropped = staged(found.filter("key != component").select(F.col("key").alias("doc_id")).distinct(), "dropped")
@@ -50,7 +58,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     prints = simhash.fingerprints(several.select(F.struct("*").alias("row"), "text"), key="row").select("key", "fp")
     classes = found.filter("key <=> component").select(F.col("key").alias("_id"), F.col("fp").alias("_fp"), "root").distinct()
     first = prints.join(classes, F.col("key.doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")))
-    kept = first.groupBy("_id", "root").agg(F.min("key").alias("key"))
+    # Rows are told apart by their JSON, as columns of any kind have one.
+    kept = first.groupBy("_id", "root").agg(F.min_by("key", F.to_json("key", {"ignoreNullFields": "false"})).alias("key"))
     return single.unionByName(kept.select("key.*"))
 
 

@@ -108,3 +108,25 @@ def test_null_ids_are_deduplicated(spark, sf_dir):
     rows += [(None, nameless, "en", f"s{i}", 0) for i in range(3)] + [(None, nameless, "en", "s0", 0), (None, alone, "en", "s", 0)]
     kept = corpus_pipeline.drop_near_copies(spark, clashing(documents(spark, rows)), sf_dir).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(3, named), (0, nameless), (0, alone)])
+
+
+def test_extra_columns_of_any_kind(spark, sf_dir):
+    rows = [(1, "one two three four five six", "en", "s", 0)] * 2 + [(None, "one two three four five six", "en", "s", 0), (2, "red green blue white", "en", "s", 0)]
+    docs = documents(spark, rows).selectExpr("*", "map('a', doc_id) AS marks", "'x' AS rejected", "'x' AS digest")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+    assert docs.columns[-3:] == ["marks", "rejected", "digest"]
+    assert {(r["doc_id"], tuple(r["marks"].items())) for r in docs.collect()} == {(1, (("a", 1),)), (2, (("a", 2),))}
+
+
+def test_verdicts_follow_texts_not_ids(spark, sf_dir, monkeypatch):
+    # Stands in for the models: a text with the word is toxic.
+    def scored(docs, models, key):
+        return docs.select(F.col(key).alias("key"), F.contains(F.coalesce("text", F.lit("")), F.lit("vile")).cast("double").alias("score"))
+
+    monkeypatch.setattr(corpus_pipeline.toxicity, "fit", lambda *a: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "scores", scored)
+    rows = [(1, "vile one"), (1, "clean one"), (None, "vile two"), (None, "clean two"), (2, None), (3, ""), (4, "vile one")]
+    docs = clashing(documents(spark, [(i, t, "en", "s", 0) for i, t in rows]))
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_toxic(spark, docs, sf_dir).collect()]
+    assert sorted(map(repr, kept)) == sorted(map(repr, [(1, "clean one"), (None, "clean two"), (2, None), (3, "")]))
