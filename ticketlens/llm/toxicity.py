@@ -40,6 +40,8 @@ SPREAD, PAIR_SPREAD = 5.0, 12.0  # more for pairs, of which far more are tested
 BINS, BIN_WIDTH = 20_000, 2e-4  # of length-normalised differences, for the curve
 TOXIC, ORDINARY = 0, 1
 WORD, STEM = 0, 1
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _BLOCK = 1 << 18  # words of whole texts handled at once
 
 
@@ -79,6 +81,17 @@ def _in_turn(work: Work) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
+def _mapped(frame: DataFrame, work: Work, schema: T.StructType | str) -> DataFrame:
+    """``work`` over the batches of ``frame``, in batches of ``BATCH_BYTES`` unless the session says otherwise.
+
+    The setting stays with the session. Words of long texts would otherwise fill 64 MB a batch, held several times over.
+    """
+    spark = frame.sparkSession
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return frame.mapInArrow(_in_turn(work), schema)
+
+
 def _blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``_BLOCK`` words each; a longer text is a block of its own."""
     low = 0
@@ -136,7 +149,7 @@ def _texts_with(frame: DataFrame) -> DataFrame:
                 yield counted(WORD, word[a:b], stem[a:b], row, toxic)
                 yield counted(STEM, stem[a:b], stem[a:b], row, toxic)
 
-    partial = frame.select("toxic", "tokens").mapInArrow(_in_turn(work), "kind int, hash long, stem long, toxic long, ordinary long")
+    partial = _mapped(frame.select("toxic", "tokens"), work, "kind int, hash long, stem long, toxic long, ordinary long")
     return partial.groupBy("kind", "hash").agg(
         F.min("stem").alias("stem"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")
     )
@@ -190,7 +203,7 @@ def _pairs(frame: DataFrame, vocabulary: np.ndarray) -> DataFrame:
             columns = [(pair // size).astype(np.int32), (pair % size).astype(np.int32), in_toxic, in_ordinary]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["v", "w", "toxic", "ordinary"])
 
-    partial = frame.select("toxic", "tokens").mapInArrow(_in_turn(work), "v int, w int, toxic long, ordinary long")
+    partial = _mapped(frame.select("toxic", "tokens"), work, "v int, w int, toxic long, ordinary long")
     return partial.groupBy("v", "w").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
@@ -342,7 +355,7 @@ def _differences(frame: DataFrame, models: Models, keep: list[str]) -> DataFrame
         found = models.score(*_columns(batch, len(keep)))
         yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found)], [*keep, "difference"])
 
-    return frame.select(*keep, "tokens").mapInArrow(_in_turn(work), schema)
+    return _mapped(frame.select(*keep, "tokens"), work, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> Models:
