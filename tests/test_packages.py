@@ -66,6 +66,37 @@ def test_foreign_mentions(spark, others):
     assert sorted((r.batch_id, r.foreign_id) for r in found.collect()) == expected
 
 
+def test_needles_that_share_their_first_letters(spark):
+    """Ten thousand needles with the same first 20 letters: each is looked up by a run of its own."""
+    needles = [f"this ticket says that {n:05d} is broken" for n in range(10_000)]
+    # All texts hold the shared letters, a few a needle.
+    texts = [f"this ticket says that nothing {i}" for i in range(300)] + [f"so: {needles[i * 7]}!" for i in range(200)]
+    documents = spark.createDataFrame(list(enumerate(texts)), "batch_id int, text string")
+    descriptions = spark.createDataFrame([(n,) for n in needles], "description string")
+    index = ev.rarest_grams(descriptions.withColumnRenamed("description", "needle"), documents, ["batch_id"], "text")
+    shared = index.groupBy("_gram").count().agg(F.max("count")).first()[0]
+    assert index.count() == 10_000 and shared <= 300  # five digits in runs of four: ten needles or more a run
+    found = ev.quoted_tickets(documents, ["batch_id"], descriptions)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert node not in plan
+    got = {(r.batch_id, r.description) for r in found.collect()}
+    assert got == {(300 + i, needles[i * 7]) for i in range(200)}
+
+
+@pytest.mark.parametrize("sampled", [1, 1_000_000])
+def test_sampled_counts_change_no_result(spark, monkeypatch, sampled):
+    monkeypatch.setattr(ev, "SAMPLED", sampled)
+    needles = ["a", "ab", "abc", "abcd", "abcde", "xabcd", "😀é😀é", "é", "bcdbcd", "line\nbreak", "[^.]*"]
+    texts = ["abcd", "xabcde", "", None, "zz 😀é😀é zz", "bcdbcdbcd", "a line\nbreak", "a[^.]*b", "e\u0301", "ab"]
+    documents = spark.createDataFrame(list(enumerate(texts)), "batch_id int, text string")
+    found = ev.mentions(documents, ["batch_id"], "text", spark.createDataFrame([(n,) for n in needles], "n string"))
+    want = sorted((i, n) for i, t in enumerate(texts) for n in needles if t and n in t)
+    assert sorted((r.batch_id, r.needle) for r in found.collect()) == want
+    assert ev.mentions(documents, ["batch_id"], "text", spark.createDataFrame([(None,), ("",)], "n string")).collect() == []
+
+
 def test_quoted_tickets(spark):
     documents = spark.createDataFrame([(1, "He wrote: where is it?"), (2, "none"), (3, "it")], "batch_id int, text string")
     descriptions = spark.createDataFrame([("where is it?",), ("it",), ("",), (None,)], "description string")

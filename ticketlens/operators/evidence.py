@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ticketlens import fixed_values as fv
 from ticketlens.functions.numbers import fixed, percent, thousands
+from ticketlens.session import staged
 
-# First letters of a needle by which it is looked up.
+# Letters of the run by which a needle is looked up, and one in how many texts is asked how frequent such runs are.
 GRAM = 4
+SAMPLED = 64
 
 METRIC_COLUMNS = (
     "category",
@@ -134,28 +136,59 @@ def raw_row_mentions(packages: DataFrame, keys: Sequence[str], markers: Sequence
     )
 
 
+def _grams(text: Column, size: int, letters: str = ".") -> Column:
+    """All runs of ``size`` letters of a text that begin with one of ``letters`` (the inside of a regular expression's class)."""
+    first = letters if letters == "." else f"[{letters}]"
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=({first}.{{{size - 1}}}))"), F.lit(1))
+
+
+def _text_grams(texts: DataFrame, keys: Sequence[str], column: str, letters: Mapping[int, str]) -> DataFrame:
+    """``(*keys, _gram)``: each gram of the given sizes and first letters once per text."""
+    found = [_grams(F.col(column), size, first) for size, first in sorted(letters.items())]
+    # Outer, as a filter on the number of grams would be pushed into the scan and cut each text twice.
+    return texts.select(*keys, F.explode_outer(F.array_distinct(F.concat(*found))).alias("_gram"))
+
+
+def rarest_grams(needles: DataFrame, texts: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """One gram by which each needle is looked up: ``(needle, _gram)``.
+
+    A needle has the runs of ``GRAM`` letters (a shorter one itself). What looking one up costs is the number of texts that hold it,
+    counted over one in ``SAMPLED`` texts, times the number of needles that hold it; the cheapest is taken, of equally cheap
+    ones the first in the needle. The sample steers only the effort: whatever gram is taken, no needle is missed.
+    """
+    size = F.least(F.length("needle"), F.lit(GRAM))
+    parts = needles.select("needle", F.posexplode(_grams(F.col("needle"), GRAM)).alias("_at", "_gram"))
+    short = needles.filter(size < GRAM).select("needle", F.lit(0).alias("_at"), F.col("needle").alias("_gram"))
+    parts = parts.unionByName(short).groupBy("needle", "_gram").agg(F.min("_at").alias("_at"))
+    held = parts.groupBy("_gram").agg(F.count("*").alias("_needles"))
+    sample = texts.filter(F.pmod(F.xxhash64(*keys), F.lit(SAMPLED)) == 0)
+    sizes = {r["size"]: "." for r in needles.select(size.alias("size")).distinct().collect()} or {GRAM: "."}
+    seen = _text_grams(sample, keys, column, sizes).groupBy("_gram").agg(F.count("*").alias("_texts"))
+    cost = (F.coalesce("_texts", F.lit(0)) + 1) * F.col("_needles")
+    priced = parts.join(held, "_gram").join(seen, "_gram", "left")
+    return priced.groupBy("needle").agg(F.min(F.struct(cost.alias("cost"), "_at", "_gram")).alias("best")).select("needle", "best._gram")
+
+
 def mentions(texts: DataFrame, keys: Sequence[str], column: str, needles: DataFrame) -> DataFrame:
     """Which needles occur in which texts, as substrings: ``(*keys, needle)``.
 
-    Needles are looked up by their first ``GRAM`` letters (shorter ones by all of theirs). Each text gives
-    every run of so many letters once, and nothing else is joined; texts come back only to those
-    that share a run with a needle, once each. One way for any number of needles.
+    Each needle is looked up by its rarest gram. Texts give only grams that begin with a letter with which such a gram begins, each once; every
+    match is a candidate, one a row, and texts come back to be searched for their candidates alone. One way for any number
+    of needles; null and empty ones and null texts mention nothing. ``keys`` identify a text.
     """
     known = needles.select(F.col(needles.columns[0]).alias("needle")).filter("needle <> ''").distinct()
-    known = known.withColumn("_gram", F.substring("needle", 1, GRAM))
-    runs = [
-        F.regexp_extract_all(column, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, GRAM + 1)
-    ]
-    grams = texts.select(*keys, F.explode(F.array_distinct(F.concat(*runs))).alias("_gram"))
-    near = (
-        grams.join(known, "_gram")
-        .groupBy(*keys)
-        .agg(F.collect_set("needle").alias("_near"))
-    )
+    index = staged(rarest_grams(staged(known, "needles"), texts, keys, column), "rarest-grams")
+    letters: dict[int, str] = {}
+    for size, first in index.select(F.length("_gram"), F.ascii("_gram")).distinct().orderBy(F.col("length(_gram)"), F.col("ascii(_gram)")).collect():
+        letters[size] = letters.get(size, "") + f"\\x{{{first:x}}}"
+    if not letters:
+        return texts.select(*keys, F.col(column).alias("needle")).limit(0)
+    near = staged(_text_grams(texts, keys, column, letters).join(index, "_gram").select(*keys, "needle"), "candidates")
     return (
         texts.select(*keys, F.col(column).alias("_text"))
         .join(near, list(keys))
-        .select(*keys, F.explode(F.filter("_near", lambda n: F.contains("_text", n))).alias("needle"))
+        .filter(F.contains("_text", F.col("needle")))
+        .select(*keys, "needle")
     )
 
 
