@@ -158,6 +158,24 @@ MESSAGES = {
 }
 
 
+FLAGS = ("_unreadable", "_missing", "_invalid")
+
+
+def flagged(checked: DataFrame) -> DataFrame:
+    """Add what the report counts as flags of each row: ``FLAGS``, and which text columns hold a number."""
+    numeric = {
+        f"_{name}_numeric": F.coalesce(F.col(name).rlike(_PLAIN_NUMBER), F.lit(False)) for name in _TEXT_COLUMNS
+    }
+    return checked.withColumns(
+        {
+            "_unreadable": F.array_contains("violations", "row: unreadable"),
+            "_missing": F.exists("violations", lambda v: v.endswith(": missing")),
+            "_invalid": F.exists("violations", lambda v: ~v.endswith(": missing") & ~v.startswith("row:")),
+            **numeric,
+        }
+    )
+
+
 def quality_report(checked: DataFrame, companies: DataFrame) -> DataFrame:
     """Findings per company and check: ``(company_id, check_no, check, findings)``.
 
@@ -165,20 +183,16 @@ def quality_report(checked: DataFrame, companies: DataFrame) -> DataFrame:
     row is reported as empty; further companies in the rows are reported too. Rows are read and
     shuffled once, after partial counts by ticket id.
     """
-    any_missing = F.exists("violations", lambda v: v.endswith(": missing"))
-    only_numbers = [
-        F.min(F.coalesce(F.col(name).rlike(_PLAIN_NUMBER), F.lit(False))).alias(f"_{name}_numeric")
-        for name in _TEXT_COLUMNS
-    ]
-    unreadable = F.array_contains("violations", "row: unreadable")
-    invalid = F.exists("violations", lambda v: ~v.endswith(": missing") & ~v.startswith("row:"))
+    return report_of(flagged(checked), companies)
+
+
+def report_of(rows: DataFrame, companies: DataFrame) -> DataFrame:
+    """The report from rows that carry their flags, stored ones for instance; of other columns it reads the two ids."""
     # By ticket id first, which finds repeated ids, then by company.
-    per_id = checked.groupBy("company_id", "ticket_id").agg(
+    per_id = rows.groupBy("company_id", "ticket_id").agg(
         F.count(F.lit(1)).alias("_rows"),
-        F.count_if(unreadable).alias("_unreadable"),
-        F.count_if(any_missing).alias("_missing"),
-        F.count_if(invalid).alias("_invalid"),
-        *only_numbers,
+        *(F.count_if(name).alias(name) for name in FLAGS),
+        *(F.min(f"_{name}_numeric").alias(f"_{name}_numeric") for name in _TEXT_COLUMNS),
     )
     repeated = F.when((F.col("_rows") > 1) & ~is_missing(F.col("ticket_id")), F.col("_rows") - 1)
     counts = per_id.groupBy("company_id").agg(

@@ -32,6 +32,15 @@ def _header(spark: SparkSession, path: str, multi_line: bool) -> tuple[str, ...]
     return tuple(columns)
 
 
+def tickets_of(spark: SparkSession, path: str, companies: DataFrame) -> DataFrame:
+    """Tickets, stored as Parquet by ``company_id``, of the companies in ``companies`` (``company_id``, each once or more).
+
+    A filter on any column of the registry prunes the files read, once the registry is known at run time.
+    """
+    store = spark.read.parquet(path)
+    return store.join(companies.select("company_id"), "company_id", "left_semi")
+
+
 def read_ticket_files(
     spark: SparkSession, paths: Mapping[str, str], *, multi_line: bool
 ) -> DataFrame:

@@ -540,6 +540,8 @@ _FINAL = {
                avg(CAST(escalated AS INTEGER)) AS escalation_rate
         FROM tickets
         GROUP BY GROUPING SETS ((company_id), (company_id, category), (company_id, channel), (company_id, customer_tier))""",
+    "registry_audit": "SELECT * FROM overall WHERE company_id IN (SELECT company_id FROM region_ids WHERE region_key % 2 = 0)",
+    "score_in_sql": "SELECT company_id, category, automation_score, explanation FROM ranked",
     "factor_join": """
         SELECT company_id, category, count(*) AS ticket_count, any_value(repetitiveness) AS repetitiveness,
                any_value(process_consistency) AS process_consistency,
@@ -771,4 +773,7 @@ _FINAL = {
         LEFT JOIN (SELECT batch_id, count(*) AS analyses FROM analyses GROUP BY 1) USING (batch_id)""",
 }
 
+# The maintained audit ends where the audit of all tickets at once does.
+_FINAL["maintained_audit"] = _FINAL["support_summary"]
+
 ORACLES: dict[str, str] = {name: _statement(_typed(name, sql)) for name, sql in _FINAL.items()}

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.fixed_values import CHAT_ROLES, FORBIDDEN_CLAIM
+from ticketlens.functions.sql import ARGUMENTS as SQL_ARGUMENTS
+from ticketlens.functions.sql import register as register_functions
 from ticketlens.operators import catalog as ca
 from ticketlens.operators import chat as ch
 from ticketlens.operators import drafts as dr
@@ -21,7 +23,7 @@ from ticketlens.operators import questions as qs
 from ticketlens.operators import recommendations as rc
 from ticketlens.operators import report as rp
 from ticketlens.operators import scoring as sc
-from ticketlens.plans import audit, grounded
+from ticketlens.plans import audit, grounded, maintained
 from ticketlens.session import shared_folder, staged
 from ticketlens.sources import companies as co
 from ticketlens.sources import documents as do
@@ -206,6 +208,27 @@ def support_summary(spark, sf):
     return me.support_summary(tb.cube(spark, sf, *me.DIMENSIONS))
 
 
+@query
+def maintained_audit(spark, sf):
+    """The summary from a state to which half of the tickets was added after the other, file by file."""
+    folder, state = shared_folder(spark, "stored-tickets"), shared_folder(spark, "audit-state")
+    tickets = tb.tickets(spark, sf)
+    early = F.crc32(F.col("ticket_id").cast("binary")) % 2 == 0
+    for half in (tickets.filter(early), tickets.filter(~early)):
+        half.write.mode("append").partitionBy("company_id").parquet(folder)
+        maintained.refresh(spark, state, folder)
+    return me.support_summary(maintained.cube(spark, state, folder))
+
+
+@query
+def registry_audit(spark, sf):
+    """Totals of the companies that the registry lists under every other number; only their stored files are read."""
+    folder = shared_folder(spark, "stored-tickets")
+    tb.tickets(spark, sf).write.partitionBy("company_id").parquet(folder)
+    asked = tb.regions(spark, sf).filter("region_key % 2 = 0")
+    return me.overall_metrics(me.ticket_cube(ti.tickets_of(spark, folder, asked), ()))
+
+
 # Scoring, ranking, presentation -----------------------------------------------
 
 
@@ -231,6 +254,19 @@ def automation_score(spark, sf):
     return _scored(spark, sf).select("company_id", "category", "automation_score")
 
 
+@query
+def score_in_sql(spark, sf):
+    """Score and explanation by functions of SQL."""
+    register_functions(spark)
+    joined = sc.with_factors(me.category_metrics(tb.cube(spark, sf, "category")), tb.factors(spark))
+    joined.createOrReplaceTempView("category_metrics")
+    arguments = ", ".join(a.split(" ")[0] for a in SQL_ARGUMENTS.split(", "))
+    return spark.sql(
+        f"SELECT company_id, category, automation_score({arguments}) AS automation_score, "
+        f"automation_explanation({arguments}) AS explanation FROM category_metrics"
+    )
+
+
 @query
 def opportunity_ranking(spark, sf):
     return _ranked(spark, sf).select(
