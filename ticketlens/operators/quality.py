@@ -158,7 +158,8 @@ MESSAGES = {
 }
 
 
-FLAGS = ("_unreadable", "_missing", "_invalid")
+# Flags of a row, named apart from the column of unreadable text.
+FLAGS = ("_row_unreadable", "_row_missing", "_row_invalid")
 
 
 def flagged(checked: DataFrame) -> DataFrame:
@@ -168,9 +169,9 @@ def flagged(checked: DataFrame) -> DataFrame:
     }
     return checked.withColumns(
         {
-            "_unreadable": F.array_contains("violations", "row: unreadable"),
-            "_missing": F.exists("violations", lambda v: v.endswith(": missing")),
-            "_invalid": F.exists("violations", lambda v: ~v.endswith(": missing") & ~v.startswith("row:")),
+            "_row_unreadable": F.array_contains("violations", "row: unreadable"),
+            "_row_missing": F.exists("violations", lambda v: v.endswith(": missing")),
+            "_row_invalid": F.exists("violations", lambda v: ~v.endswith(": missing") & ~v.startswith("row:")),
             **numeric,
         }
     )
@@ -197,7 +198,7 @@ def report_of(rows: DataFrame, companies: DataFrame) -> DataFrame:
     repeated = F.when((F.col("_rows") > 1) & ~is_missing(F.col("ticket_id")), F.col("_rows") - 1)
     counts = per_id.groupBy("company_id").agg(
         F.sum(repeated).alias("_duplicates"),
-        *(F.sum(name).alias(name) for name in ("_rows", "_unreadable", "_missing", "_invalid")),
+        *(F.sum(name).alias(name) for name in ("_rows", *FLAGS)),
         *(F.min(f"_{name}_numeric").alias(f"_{name}_numeric") for name in _TEXT_COLUMNS),
     )
     joined = companies.select("company_id").join(counts, "company_id", "full_outer")
@@ -206,11 +207,11 @@ def report_of(rows: DataFrame, companies: DataFrame) -> DataFrame:
         F.lit(0),
     ).cast("bigint")
     values = {
-        "unreadable": F.col("_unreadable"),
+        "unreadable": F.col("_row_unreadable"),
         "empty": F.when(F.col("_rows").isNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint"),
-        "missing values": F.col("_missing"),
+        "missing values": F.col("_row_missing"),
         "duplicate ticket_id": F.col("_duplicates"),
-        "invalid rows": F.col("_invalid"),
+        "invalid rows": F.col("_row_invalid"),
         "numeric text column": numeric,
     }
     entries = [

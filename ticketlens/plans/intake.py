@@ -38,7 +38,7 @@ def take_in(raw: DataFrame, categories: DataFrame, companies: DataFrame, path: s
         seen,
         F.count(F.lit(1)).alias("rows"),
         F.count_if(broken).alias("set_aside"),
-        *(F.count_if(name).alias(name.lstrip("_")) for name in qu.FLAGS),
+        *(F.count_if(name).alias(name.removeprefix("_row_")) for name in qu.FLAGS),
     )
     observed.write.partitionBy("kept").parquet(path)
     schema = observed.schema

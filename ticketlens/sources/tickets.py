@@ -13,7 +13,7 @@ from ticketlens.errors import DataContractError
 from ticketlens.fixed_values import TICKET_COLUMNS
 
 CORRUPT = "_unreadable"
-_DIALECT = {"header": True, "quote": '"', "escape": '"'}
+DIALECT = {"header": True, "quote": '"', "escape": '"'}
 # A multi-line file is read by one task, so the writer keeps files moderate.
 ROWS_PER_FILE = 1_000_000
 
@@ -24,7 +24,7 @@ def missing_columns(columns) -> list[str]:
 
 def _header(spark: SparkSession, path: str, multi_line: bool) -> tuple[str, ...]:
     try:
-        columns = spark.read.options(**_DIALECT, multiLine=multi_line).csv(path).columns
+        columns = spark.read.options(**DIALECT, multiLine=multi_line).csv(path).columns
     except Exception as error:
         raise DataContractError(f"Unable to load support tickets: {path}") from error
     if not columns:
@@ -61,7 +61,7 @@ def read_ticket_files(
         schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, CORRUPT)])
         scans.append(
             spark.read.options(
-                **_DIALECT, multiLine=multi_line, columnNameOfCorruptRecord=CORRUPT
+                **DIALECT, multiLine=multi_line, columnNameOfCorruptRecord=CORRUPT
             )
             .schema(schema)
             .csv(path)
@@ -70,9 +70,11 @@ def read_ticket_files(
     return reduce(DataFrame.unionByName, scans)
 
 
-def read_ticket_folder(spark: SparkSession, path: str, *, multi_line: bool) -> DataFrame:
+def read_ticket_folder(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
     """A folder written by :func:`write_ticket_files`, as text columns in one scan.
 
+    For files that may differ or be broken see :func:`ticketlens.sources.folders.read_folder_apart`.
+
     ``multi_line`` allows line breaks inside cells, and then a file is read by one task, however large it is.
     Without it files are split. A folder whose header lacks a column breaks the contract.
     """
@@ -84,7 +86,7 @@ def read_ticket_folder(spark: SparkSession, path: str, *, multi_line: bool) -> D
     ).add("company_id", T.StringType())
     return (
         spark.read.options(
-            **_DIALECT,
+            **DIALECT,
             multiLine=multi_line,
             columnNameOfCorruptRecord=CORRUPT,
             enforceSchema=False,

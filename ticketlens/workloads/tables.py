@@ -121,6 +121,23 @@ def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ticket_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The raw tickets as one file a company, some in another column order or without a column, and broken files beside them.
+
+    By region: 1 has its columns in another order, 2 lacks one, 3 has a further file that ends within a row, 4 one without a byte.
+    """
+    raw = raw_tickets(spark, sf_dir).join(regions(spark, sf_dir), "company_id").drop(CORRUPT).repartition("company_id")
+    options = {"header": True, "quote": '"', "escape": '"', "emptyValue": ""}
+    columns = [c for c in raw.columns if c not in ("company_id", "region_key")]
+    for at, names in (("region_key NOT IN (1, 2)", columns), ("region_key = 1", columns[::-1]), ("region_key = 2", [c for c in columns if c != "channel"])):
+        raw.filter(at).select("company_id", *names).write.mode("append").partitionBy("company_id").options(**options).csv(folder)
+    by_number = {r["region_key"]: r["company_id"] for r in regions(spark, sf_dir).collect()}
+    cut = spark.createDataFrame([(",".join(columns) + "\nTKT-1,2025-01-01T00:00",)], "value string")
+    cut.coalesce(1).write.mode("append").text(f"{folder}/company_id={by_number[3]}")
+    empty = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/company_id={by_number[4]}/part-empty.csv")
+    empty.getFileSystem(spark._jsc.hadoopConfiguration()).create(empty).close()
+
+
 def company_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions(spark, sf_dir).select("company_id")
 
