@@ -103,17 +103,23 @@ def _secrets() -> str:
             _placed("hex", "[0-9a-f]+", 0, 24),
         )
     )
-    steps, taken = [], "base"
+    steps = []
     for i, c in enumerate(secrets.CLASSES):
         run = f"{c.run}{{{c.least},}}"
         needs = " AND ".join(f"regexp_matches(candidate, '{n}')" for n in c.needs)
-        allowed = " OR ".join(f"regexp_matches(candidate, '{a}')" for a in secrets.ALLOWED)
+        allowed = " OR ".join(f"regexp_matches(candidate, '{a}')" for a in secrets.ALLOWED_WHOLE)
         steps.append(f"""candidates{i} AS (
   SELECT rid, start, substr(text, start + 1, stop - start) AS candidate FROM ({_placed("entropy", run, 0, c.least)})
   JOIN texts USING (rid)
-), windows{i} AS (
-  SELECT rid, start, candidate, unnest(range(0, length(candidate) - {c.window} + 1)) AS pos
+), cut{i} AS (
+  SELECT rid, start, regexp_split_to_array(candidate, '{secrets.ALLOWED_PART}') AS parts,
+         regexp_extract_all(candidate, '{secrets.ALLOWED_PART}') AS between
   FROM candidates{i} WHERE ({needs}) AND NOT ({allowed})
+), pieces{i} AS (
+  SELECT rid, start + length(array_to_string(parts[1:k - 1], '')) + length(array_to_string(between[1:k - 1], '')) AS start, parts[k] AS candidate
+  FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM cut{i})
+), windows{i} AS (
+  SELECT rid, start, candidate, unnest(range(0, length(candidate) - {c.window} + 1)) AS pos FROM pieces{i}
 ), sums{i} AS (
   SELECT rid, start, pos, sum(CAST(round({secrets.SCALE} * n * log2(n)) AS BIGINT)) AS total FROM (
     SELECT rid, start, pos, letter, count(*) AS n FROM (
@@ -127,12 +133,13 @@ def _secrets() -> str:
       FROM sums{i} WHERE total <= {c.most()}
     )
   ) GROUP BY rid, start, island
-), upto{i} AS (
-  SELECT * FROM {taken} UNION ALL
-  SELECT m.* FROM merged{i} m WHERE NOT EXISTS (
-    SELECT 1 FROM {taken} b WHERE b.rid = m.rid AND b.start < m.stop AND b.stop > m.start)
 )""")
-        taken = f"upto{i}"
+    swept = " UNION ".join(f"SELECT * FROM merged{i}" for i in range(len(secrets.CLASSES)))
+    steps.append(f"""found AS (
+  SELECT * FROM base UNION ALL
+  SELECT m.* FROM ({swept}) m WHERE NOT EXISTS (
+    SELECT 1 FROM base b WHERE b.rid = m.rid AND b.start <= m.start AND b.stop >= m.stop)
+)""")
     order = "start, list_position(['assign', 'access', 'hex', 'entropy'], kind), stop"
     named = "kind || ':' || start || ':' || stop"
     return f"""
@@ -143,7 +150,7 @@ base AS ({base}),
          count(*) FILTER (kind = 'hex') AS n_hex,
          string_agg({named}, ',' ORDER BY {order}) FILTER (kind <> 'entropy') AS base,
          string_agg({named}, ',' ORDER BY {order}) AS spans
-  FROM {taken} GROUP BY rid
+  FROM found GROUP BY rid
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans

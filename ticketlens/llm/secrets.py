@@ -3,9 +3,9 @@
 The patterns are read by built-in regular expressions. Candidate strings of each character class are then
 swept by a window of fixed length whose entropy is kept up to date by counts: the character
 that enters and the one that leaves change two counts and one running sum. Windows above the class's
-limit are merged to spans. A span is dropped if its candidate is on the allow-list or if it
-overlaps a span of the patterns, so the method only adds. Masking keeps overlapping spans whole (``to_mask``), so
-that a secret right beside a pattern's match isn't left readable.
+limit are merged to spans. A window that overlaps an allow-listed part of its candidate is suppressed, and so are
+candidates that are allowed as a whole. Spans may overlap those of the patterns, as a key right beside a pattern's match does; one that lies
+within a pattern's span is left out, as nothing of it is new.
 
 Everything is column expressions. Sums of n log2 n are whole numbers (scaled by 2^20), so results
 don't depend on the order of additions.
@@ -56,6 +56,9 @@ _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHI
 CLASSES = (
     CharacterClass("base64", _UPPER + _LOWER + _DIGITS + "+/_=-", "[A-Za-z0-9+/_=-]", 20, 20, 3.8, ("[0-9]", "[a-z]", "[A-Z]")),
     CharacterClass("hexadecimal", _DIGITS + "ABCDEF", "[0-9A-F]", 32, 32, 3.2, ("[0-9]", "[A-F]")),
+    # Keys of one letter case with digits.
+    CharacterClass("lower", _LOWER + _DIGITS, "[a-z0-9]", 20, 20, 3.5, ("[0-9]", "[a-z]")),
+    CharacterClass("upper", _UPPER + _DIGITS, "[A-Z0-9]", 20, 20, 3.5, ("[0-9]", "[A-Z]")),
 )
 # Candidates that are no secrets: identifiers in the usual form of five groups, and strings that say that they are examples.
 ALLOWED = (
@@ -64,14 +67,9 @@ ALLOWED = (
     "0123456789|abcdefghij|ABCDEFGHIJ",
 )
 
-# What masking sweeps besides: keys of one letter case with digits.
-ONE_CASE = (
-    CharacterClass("lower", _LOWER + _DIGITS, "[a-z0-9]", 20, 20, 3.5, ("[0-9]", "[a-z]")),
-    CharacterClass("upper", _UPPER + _DIGITS, "[A-Z0-9]", 20, 20, 3.5, ("[0-9]", "[A-Z]")),
-)
 # Allowed as whole candidates, and as parts, which take out only the windows that overlap them.
-_ALLOWED_WHOLE = tuple(x for x in ALLOWED if x.startswith("^"))
-_ALLOWED_PART = "|".join(f"(?:{x})" for x in ALLOWED if not x.startswith("^"))
+ALLOWED_WHOLE = tuple(x for x in ALLOWED if x.startswith("^"))
+ALLOWED_PART = "|".join(f"(?:{x})" for x in ALLOWED if not x.startswith("^"))
 
 _SPAN = "struct<start:int,kind:int,end:int>"
 
@@ -174,7 +172,7 @@ def _pieces(candidate: Column) -> Column:
         ends = F.concat(F.transform(parts, lambda x: x["start"]), F.array(F.length(candidate)))
         return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
 
-    return let(_matches(candidate, _ALLOWED_PART, KINDS.index("entropy")), between)
+    return let(_matches(candidate, ALLOWED_PART, KINDS.index("entropy")), between)
 
 
 def _piecewise_windows(candidate: Column, kind: CharacterClass) -> Column:
@@ -188,8 +186,7 @@ def _piecewise_windows(candidate: Column, kind: CharacterClass) -> Column:
     return F.flatten(F.transform(_pieces(candidate), of))
 
 
-def _entropy_spans(text: Column, kind: CharacterClass, by_piece: bool = False) -> Column:
-    """``by_piece``: an allowed part of a candidate doesn't suppress the windows beside it."""
+def _entropy_spans(text: Column, kind: CharacterClass) -> Column:
     pattern = f"{kind.run}{{{kind.least},}}"
 
     def of(span: Column) -> Column:
@@ -197,13 +194,13 @@ def _entropy_spans(text: Column, kind: CharacterClass, by_piece: bool = False) -
 
         def judged(c: Column) -> Column:
             allowed = F.lit(False)
-            for entry in _ALLOWED_WHOLE if by_piece else ALLOWED:
+            for entry in ALLOWED_WHOLE:
                 allowed = allowed | c.rlike(entry)
             needed = F.lit(True)
             for part in kind.needs:
                 needed = needed & c.rlike(part)
             high = F.transform(
-                (_piecewise_windows if by_piece else _high_windows)(c, kind),
+                _piecewise_windows(c, kind),
                 lambda w: F.struct(
                     (span["start"] + w["start"]).alias("start"),
                     F.lit(KINDS.index("entropy")).alias("kind"),
@@ -217,10 +214,6 @@ def _entropy_spans(text: Column, kind: CharacterClass, by_piece: bool = False) -
     return F.flatten(F.transform(_matches(text, pattern, KINDS.index("entropy")), of))
 
 
-def _without_overlap(spans: Column, taken: Column) -> Column:
-    return F.filter(spans, lambda s: ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (t["end"] > s["start"])))
-
-
 def _patterns(text: Column) -> Column:
     return F.concat(_matches(text, ASSIGN, 0, 1, ASSIGN_LEAST), _matches(text, ACCESS, 1), _matches(text, HEX, 2))
 
@@ -228,18 +221,15 @@ def _patterns(text: Column) -> Column:
 def spans(text: Column) -> Column:
     """Struct of ``base`` and ``added`` spans ``(start, kind, end)`` in code points, each sorted.
 
-    ``kind`` is a position in ``KINDS``. Null counts as the empty text.
+    ``kind`` is a position in ``KINDS``. Added spans may overlap base ones and, if of different classes, each other; equal ones are listed
+    once. Null counts as the empty text.
     """
 
     def scan(t: Column) -> Column:
         def with_added(found: Column) -> Column:
-            first = let(_entropy_spans(t, CLASSES[0]), lambda e: _without_overlap(e, found))
-            for kind in CLASSES[1:]:
-                first = let(
-                    F.struct(first.alias("now"), _entropy_spans(t, kind).alias("more")),
-                    lambda x: F.concat(x["now"], _without_overlap(x["more"], F.concat(found, x["now"]))),
-                )
-            return F.struct(found.alias("base"), F.sort_array(first).alias("added"))
+            swept = F.array_distinct(F.concat(*(_entropy_spans(t, kind) for kind in CLASSES)))
+            within = lambda s: F.exists(found, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
+            return F.struct(found.alias("base"), F.sort_array(F.filter(swept, lambda s: ~within(s))).alias("added"))
 
         return let(F.sort_array(_patterns(t)), with_added)
 
@@ -249,12 +239,11 @@ def spans(text: Column) -> Column:
 def to_mask(text: Column) -> Column:
     """Sorted spans ``(start, kind, end)`` of all that must not stay readable; they may overlap.
 
-    All of ``spans``, the entropy spans that ``spans`` drops because they overlap others, keys of one letter case,
-    and windows beside an allowed part of their candidate. Null counts as the empty text.
+    They cover what ``spans`` lists. Null counts as the empty text.
     """
 
     def scan(t: Column) -> Column:
-        return F.sort_array(F.concat(_patterns(t), *(_entropy_spans(t, kind, by_piece=True) for kind in CLASSES + ONE_CASE)))
+        return F.sort_array(F.concat(_patterns(t), *(_entropy_spans(t, kind) for kind in CLASSES)))
 
     return let(F.coalesce(text, F.lit("")), scan)
 
@@ -289,5 +278,5 @@ def masked(text: Column, found: Column, mask: str = "[secret]") -> Column:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, base, added)`` for every row: sorted arrays of spans."""
+    """``(key, base, added)`` for every row: sorted arrays of spans, empty for null and empty texts. Keys may repeat or be null."""
     return docs.select(F.col(key).alias("key"), spans(F.col(text)).alias("found")).select("key", "found.base", "found.added")
