@@ -792,6 +792,11 @@ _FINAL["ticket_intake"] = f"""
                    count(*) FILTER (len(list_filter(violations, lambda v: v LIKE '%: missing')) > 0),
                    count(*) FILTER (len(list_filter(violations, lambda v: v NOT LIKE '%: missing' AND v NOT LIKE 'row:%')) > 0)])
     FROM judged_tickets"""
+_FINAL["evidence_changes"] = """
+    SELECT batch_id, 'process_documentation' AS part, 'line ' || len(string_split(text, chr(10))) AS name, 'added' AS change
+    FROM process_docs WHERE batch_id % 37 = 4
+    UNION ALL SELECT batch_id, 'process_documentation', 'line 0', 'changed' FROM process_docs WHERE batch_id % 41 = 3
+    UNION ALL SELECT batch_id, 'categories', 'view', 'changed' FROM process_docs WHERE company_id = 'asia'"""
 # The maintained audit ends where the audit of all tickets at once does.
 _FINAL["maintained_audit"] = _FINAL["support_summary"]
 

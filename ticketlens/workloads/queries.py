@@ -16,6 +16,7 @@ from ticketlens.operators import catalog as ca
 from ticketlens.operators import chat as ch
 from ticketlens.operators import drafts as dr
 from ticketlens.operators import evidence as ev
+from ticketlens.operators import hashtree as ht
 from ticketlens.operators import metrics as me
 from ticketlens.operators import presentation as pr
 from ticketlens.operators import quality as qu
@@ -479,6 +480,31 @@ def evidence_checksum(spark, sf):
     )
 
 
+@query
+def evidence_changes(spark, sf):
+    """Which parts of the evidence differ from a later state, in which some were tampered with.
+
+    Later, one document in 37 has a further line, one in 41 another first line, and one company's score of one category is higher. The
+    companies' parts are hashed once per company, not per document.
+    """
+    evidence = staged(_audit(spark, sf).evidence, "evidence")
+    documents = _documents(spark, sf)
+
+    def states(evidence, documents):
+        entry = ht.leaf(F.col("category"), F.to_json(F.struct(*ev.METRIC_COLUMNS, "deterministic_explanation", "allowed_numeric_evidence")))
+        categories = evidence.groupBy("company_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+        of_company = staged(categories.select("company_id", ht.parts({"categories": F.col("entries")}).alias("own")), "company-parts")
+        of_document = documents.select("batch_id", "company_id", ht.parts({"process_documentation": ht.lines(F.col("text"))}).alias("parts"))
+        both = of_document.join(of_company, "company_id").withColumn("parts", F.concat("own", "parts"))
+        return both.select("batch_id", ht.root(F.col("parts")).alias("root"), "parts")
+
+    higher = (F.col("company_id") == "asia") & (F.col("category") == "view")
+    tampered = evidence.withColumn("automation_score", F.when(higher, F.col("automation_score") + 1).otherwise(F.col("automation_score")))
+    text = F.when(F.col("batch_id") % 41 == 3, F.concat(F.lit("Note: "), "text")).otherwise(F.col("text"))
+    text = F.when(F.col("batch_id") % 37 == 4, F.concat(text, F.lit("\ntampered"))).otherwise(text)
+    return ht.changes(states(evidence, documents), states(tampered, documents.withColumn("text", text)), ["batch_id"])
+
+
 @query
 def process_bullets(spark, sf):
     return do.process_bullets(_documents(spark, sf), ["batch_id", "company_id"])
