@@ -22,8 +22,10 @@ def _quality_rules() -> str:
         f"SELECT rid, lang, source, base_failed, '{r.name}' AS rule, CAST({r.value.replace(' DIV ', ' // ')} AS BIGINT) AS value FROM counted"
         for r in rules
     )
-    slack = " ".join(f"WHEN '{r.name}' THEN {r.slack}" for r in rules)
+    tail = "CASE rule " + " ".join(f"WHEN '{r.name}' THEN {r.tail}" for r in rules) + " END"
+    reach = "CASE rule " + " ".join(f"WHEN '{r.name}' THEN {r.reach}" for r in rules) + " END"
     low = ", ".join(f"'{r.name}'" for r in rules if r.low)
+    prior = quality_rules.PRIOR * quality_rules.UNIT
     return f"""
 WITH texts AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents
@@ -55,25 +57,39 @@ WITH texts AS (
 ), binned AS (
   SELECT *, (value >> greatest(length(bin(value)) - 7, 0)::BIGINT) << greatest(length(bin(value)) - 7, 0)::BIGINT AS bucket
   FROM measured WHERE NOT base_failed
-), deep AS (
-  SELECT 2 AS depth, lang, source, rule, bucket FROM binned
-  UNION ALL SELECT 1, lang, NULL, rule, bucket FROM binned
-  UNION ALL SELECT 0, NULL, NULL, rule, bucket FROM binned
-), quartiles AS (
-  SELECT depth, lang, source, rule, count(*) AS total,
-         list_sort(list(bucket))[((count(*) + 3) // 4)::BIGINT] AS q1,
-         list_sort(list(bucket))[((3 * count(*) + 3) // 4)::BIGINT] AS q3
-  FROM deep GROUP BY depth, lang, source, rule
+), own AS (
+  SELECT lang, source, rule, bucket, count(*) AS n FROM binned GROUP BY ALL
+), by_lang AS (
+  SELECT lang, rule, bucket, {prior} * n // sum(n) OVER (PARTITION BY lang, rule) AS weight
+  FROM (SELECT lang, rule, bucket, sum(n) AS n FROM own GROUP BY ALL)
+), by_rule AS (
+  SELECT rule, bucket, {prior} * n // sum(n) OVER (PARTITION BY rule) AS weight
+  FROM (SELECT rule, bucket, sum(n) AS n FROM own GROUP BY ALL)
+), names AS (
+  SELECT DISTINCT lang, source, rule FROM own
+), blended AS (
+  SELECT lang, source, rule, bucket, sum(weight) AS weight FROM (
+    SELECT lang, source, rule, bucket, {quality_rules.UNIT} * n AS weight FROM own
+    UNION ALL SELECT n.lang, n.source, n.rule, bucket, weight FROM names n JOIN by_lang b ON n.lang IS NOT DISTINCT FROM b.lang AND n.rule = b.rule
+    UNION ALL SELECT lang, source, n.rule, bucket, weight FROM names n JOIN by_rule b ON n.rule = b.rule
+  ) GROUP BY ALL
+), ranked AS (
+  SELECT *, {tail} AS tail, sum(weight) OVER (PARTITION BY lang, source, rule ORDER BY bucket) AS upto,
+         sum(weight) OVER (PARTITION BY lang, source, rule) AS total
+  FROM blended
+), quantiles AS (
+  SELECT lang, source, rule, {reach} AS reach,
+         min(bucket) FILTER (upto * 1000 >= total * (1000 - tail)) AS bottom,
+         min(bucket) FILTER (upto * 2 >= total) AS middle,
+         min(bucket) FILTER (upto * 1000 >= total * tail) AS top
+  FROM ranked GROUP BY lang, source, rule
 ), fences AS (
-  SELECT *, CASE WHEN rule IN ({low}) THEN q1 - reach ELSE 0 END AS low, q3 + reach AS high
-  FROM (SELECT *, greatest(3 * (q3 - q1), CASE rule {slack} END) AS reach FROM quartiles)
-  WHERE total >= {quality_rules.LEAST_ROWS} OR depth = 0
+  SELECT lang, source, rule, CASE WHEN rule IN ({low}) THEN bottom - reach * (middle - bottom) - {quality_rules.SLACK} ELSE 0 END AS low,
+         top + reach * (top - middle) + {quality_rules.SLACK} AS high
+  FROM quantiles
 ), judged AS (
-  SELECT m.rid, m.rule, arg_max(m.value < f.low OR m.value > f.high, f.depth) AS broken
-  FROM measured m JOIN fences f ON m.rule = f.rule AND (
-    (f.depth = 2 AND m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source)
-    OR (f.depth = 1 AND m.lang IS NOT DISTINCT FROM f.lang) OR f.depth = 0)
-  GROUP BY m.rid, m.rule
+  SELECT m.rid, m.value < f.low OR m.value > f.high AS broken
+  FROM measured m JOIN fences f ON m.rule = f.rule AND m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
 ), verdicts AS (SELECT rid, bool_or(broken) AS broken FROM judged GROUP BY rid)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed,

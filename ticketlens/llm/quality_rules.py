@@ -5,13 +5,15 @@ which the group's fences are read; the fences are joined back and filter the row
 
 The sketch is a histogram over fixed buckets whose width is at most 1/64 of their value (whole numbers up
 to 128 have buckets of their own). Sketches of two groups, or of two days, merge by adding counts,
-in any order, with the same result; groups with few rows are judged by the merged sketch of their language, or by
-that of all rows. A sketch has at most some 3,700 buckets, however many rows it stands for.
+in any order, with the same result. To every group's sketch, those of its language and of all rows are added with the
+weight of ``PRIOR`` rows each, at every size: a group of few rows is judged nearly by them, a large one by its own. A
+sketch has at most some 3,700 buckets, however many rows it stands for.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,28 +24,35 @@ from ticketlens.session import staged
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30  # the base rule: words, and percent of words in repeated windows
-LEAST_ROWS = 200  # of a group that is judged by its own sketch
-REACH = 3  # interquartile ranges beyond the quartiles where the fences stand
+PRIOR = 20  # rows of a group that its language, and that all rows weigh as much as
+UNIT = 1000  # weight of a row
+SLACK = 5  # distance of a fence that is granted to groups of equal values
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A whole-number measure; ``slack`` is the least distance of a fence from its quartile."""
+    """A whole-number measure and where its fence stands.
+
+    ``tail`` is the quantile per mille where the upper tail begins; the fence lies ``reach`` distances from the median to
+    it, and ``SLACK``, beyond. ``low`` sets a fence below, too, from the mirrored quantile.
+    """
 
     name: str
     value: str
-    slack: int
-    low: bool = False  # whether low values are bad, too
+    tail: int = 900
+    reach: int = 3
+    low: bool = False
 
 
+# Repetition is none for most ordinary texts, so its spread says nothing: its fences stand at the quantile itself.
 RULES = (
-    Rule("symbols", "1000 * n_symbols DIV greatest(n_words, 1)", 200),
-    Rule("capitals", "1000 * n_capitals DIV greatest(word_chars, 1)", 200),
-    Rule("marks", "1000 * n_marks DIV greatest(n_words, 1)", 250),
-    Rule("dup_lines", "1000 * n_dup_lines DIV greatest(n_lines, 1)", 300),
-    Rule("repeated", "1000 * n_repeat_words DIV greatest(n_words, 1)", 300),
-    Rule("word_length", "100 * word_chars DIV greatest(n_words, 1)", 200, low=True),
+    Rule("symbols", "1000 * n_symbols DIV greatest(n_words, 1)"),
+    Rule("capitals", "1000 * n_capitals DIV greatest(word_chars, 1)"),
+    Rule("marks", "1000 * n_marks DIV greatest(n_words, 1)"),
+    Rule("dup_lines", "1000 * n_dup_lines DIV greatest(n_lines, 1)", tail=990, reach=0),
+    Rule("repeated", "1000 * n_repeat_words DIV greatest(n_words, 1)", tail=990, reach=0),
+    Rule("word_length", "100 * word_chars DIV greatest(n_words, 1)", low=True),
 )
 
 
@@ -119,48 +128,64 @@ def sketch(measured: DataFrame) -> DataFrame:
     )
 
 
-def fences(sketches: DataFrame) -> DataFrame:
-    """``lang, source, limits``: a struct of ``low`` and ``high`` for each rule.
+def blended(sketches: DataFrame) -> DataFrame:
+    """``lang, source, rule, bucket, weight``: each group's sketch with its language's and that of all rows added.
 
-    Quartiles are the least buckets that reach a quarter and three quarters of the rows. A fence stands
-    ``REACH`` interquartile ranges, or the rule's slack if that is more, beyond its quartile.
+    A row of the group weighs ``UNIT``, the others together ``PRIOR * UNIT`` each, rounded down by bucket.
     """
-    names = sketches.select("lang", "source").distinct()
-
-    def at_each_depth(frame: DataFrame) -> DataFrame:
-        """Every row under its own group, its language (depth 1) and all rows (depth 0)."""
-        return (
-            frame.withColumn("depth", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-            .withColumn("at_lang", F.when(F.col("depth") > 0, F.col("lang")))
-            .withColumn("at_source", F.when(F.col("depth") > 1, F.col("source")))
+    names = sketches.select("lang", "source", "rule").distinct()
+
+    def prior(*of: str) -> DataFrame:
+        merged = sketches.groupBy(*of, "rule", "bucket").agg(F.sum("rows").alias("rows"))
+        total = sketches.groupBy(*of, "rule").agg(F.sum("rows").alias("total"))
+        keys = [*of, "rule"]
+        there = total.select(*(F.col(k).alias(f"t_{k}") for k in keys), "total")
+        weighed = (
+            merged.join(there, _same(keys, "t_"))
+            .withColumn("weight", F.expr(f"{PRIOR * UNIT} * rows DIV total"))
+            .select(*(F.col(k).alias(f"p_{k}") for k in keys), "bucket", "weight")
         )
+        return names.join(weighed, _same(keys, "p_")).select("lang", "source", "rule", "bucket", "weight")
+
+    own = sketches.select("lang", "source", "rule", "bucket", (UNIT * F.col("rows")).alias("weight"))
+    parts = own.union(prior("lang")).union(prior())
+    return parts.groupBy("lang", "source", "rule", "bucket").agg(F.sum("weight").alias("weight"))
+
+
+def _same(keys: list[str], prefix: str) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys))
+
 
-    place = ["depth", "at_lang", "at_source"]
-    whole = at_each_depth(sketches)
-    merged = whole.groupBy(*place, "rule", "bucket").agg(F.sum("rows").alias("rows"))
-    group = Window.partitionBy(*place, "rule")
-    ranked = merged.withColumn("upto", F.sum("rows").over(group.orderBy("bucket"))).withColumn(
-        "total", F.sum("rows").over(group)
+def fences(sketches: DataFrame) -> DataFrame:
+    """``lang, source, limits``: a struct of ``low`` and ``high`` for each rule.
+
+    A quantile is the least bucket that reaches its share of the blended sketch's weight.
+    """
+    group = Window.partitionBy("lang", "source", "rule")
+    ranked = (
+        blended(sketches)
+        .withColumn("upto", F.sum("weight").over(group.orderBy("bucket")))
+        .withColumn("total", F.sum("weight").over(group))
     )
-    quartiles = ranked.groupBy(*place, "rule").agg(
-        F.max("total").alias("total"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("q3"),
+
+    def quantile(per_mille: Column) -> Column:
+        # Whole parts first: the weight times a thousand could leave the range of long numbers.
+        reached = F.col("upto") >= F.expr("total DIV 1000") * per_mille + F.ceil(F.col("total") % 1000 * per_mille / 1000)
+        return F.min(F.when(reached, F.col("bucket")))
+
+    tail = reduce(lambda c, r: c.when(F.col("rule") == r.name, r.tail), RULES, F.when(F.lit(False), 0))
+    found = ranked.groupBy("lang", "source", "rule").agg(
+        quantile(1000 - tail).alias("bottom"), quantile(F.lit(500)).alias("middle"), quantile(tail).alias("top")
     )
     limits = []
     for r in RULES:
         own = F.col("rule") == r.name
-        reach = F.greatest(REACH * (F.col("q3") - F.col("q1")), F.lit(r.slack))
-        low = F.col("q1") - reach if r.low else F.lit(0)
+        low = F.col("bottom") - r.reach * (F.col("middle") - F.col("bottom")) - SLACK if r.low else F.lit(0)
+        high = F.col("top") + r.reach * (F.col("top") - F.col("middle")) + SLACK
         limits.append(F.max(F.when(own, low)).cast("long").alias(f"low_{r.name}"))
-        limits.append(F.max(F.when(own, F.col("q3") + reach)).cast("long").alias(f"high_{r.name}"))
-    by_group = quartiles.groupBy(*place).agg(F.max("total").alias("total"), *limits)
-    columns = [c for c in by_group.columns if c.startswith(("low_", "high_"))]
-    usable = by_group.filter((F.col("total") >= LEAST_ROWS) | (F.col("depth") == 0)).select(
-        F.col("depth").alias("d"), F.col("at_lang").alias("l"), F.col("at_source").alias("s"), F.struct(*columns).alias("limits")
-    )
-    same = (F.col("depth") == F.col("d")) & F.col("at_lang").eqNullSafe(F.col("l")) & F.col("at_source").eqNullSafe(F.col("s"))
-    return at_each_depth(names).join(usable, same).groupBy("lang", "source").agg(F.max_by("limits", "depth").alias("limits"))
+        limits.append(F.max(F.when(own, high)).cast("long").alias(f"high_{r.name}"))
+    wide = found.groupBy("lang", "source").agg(*limits)
+    return wide.select("lang", "source", F.struct(*(c for c in wide.columns if c.startswith(("low_", "high_")))).alias("limits"))
 
 
 def judged(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -172,7 +197,8 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """
     narrow = docs.select(F.col(key).alias("key"), "lang", "source", measures(F.col(text)).alias("m"))
     measured = staged(narrow.select("key", "lang", "source", "m.*"), "measures")
-    # Fences hold for texts that the base rule lets pass; their groups are what they are compared with.
+    # Fences judge texts that the base rule lets pass, and are read from all of those. Failed ones have their verdict; with
+    # them, one text in ten or so would put the fence of repetition near a thousand per mille.
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     measured = measured.withColumn("base_failed", failed)
     sketches = staged(sketch(measured.filter(~F.col("base_failed"))), "sketch")
