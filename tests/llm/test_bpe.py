@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -36,6 +37,23 @@ def test_odd_texts(library, own):
     _same(library, own, texts)
 
 
+def test_long_words(library, own):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("etaoinshrdlu", k=n)) for n in (bpe.LONG_WORD - 1, bpe.LONG_WORD, bpe.LONG_WORD + 1, 5_000)]
+    words += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzé語", k=80_000)), "x" * 30_001, "ab" * 9_000, "the" * 7_000, "語" * 4_000, "!?" * 3_000]
+    started = time.process_time()
+    _same(library, own, [*words, " ".join(words)])
+    assert time.process_time() - started < 60  # in rounds alone, the longest takes half a minute each time
+
+
+def test_heap_and_rounds_agree(own, monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("aabst'é", k=rng.randint(1, 40))) for _ in range(3_000)]
+    rounds = own.encode_words(words)
+    monkeypatch.setattr(bpe, "LONG_WORD", 0)
+    assert [x.tolist() for x in own.encode_words(words)] == [x.tolist() for x in rounds]
+
+
 def test_all_assigned_and_unassigned_letters(library, own):
     step = 7
     _same(library, own, [f"a{chr(c)}b{chr(c)}" for c in range(1, 0x30000, step) if not 0xD800 <= c <= 0xDFFF])
@@ -47,7 +65,9 @@ def test_memo_starts_anew(library, own, monkeypatch):
     _same(library, own, [f"word{i} again word{i % 7} the end" for i in range(200)])
 
 
-def test_another_vocabulary():
+@pytest.mark.parametrize("longest", [100, 0])
+def test_another_vocabulary(monkeypatch, longest):
+    monkeypatch.setattr(bpe, "LONG_WORD", longest)
     codes = {c: i for i, c in enumerate("abc")} | {"aa": 3, "ab": 4, "aab": 5, "bc": 6}
     merges = [("a", "a"), ("b", "c"), ("a", "b"), ("aa", "b")]
     table = bpe.Merges.of(codes, merges)

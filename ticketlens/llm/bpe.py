@@ -5,16 +5,22 @@ looked up by binary search in the sorted keys of the merge table; each word then
 rank, left to right. Words without a known pair leave the batch. What comes out is what merging one pair at a
 time gives: a merge makes no pair of lower rank than its own before all pairs of that rank are merged, other than
 by symbols that it has made, which the next round sees.
+
+A round reads every symbol that is left, so a very long word would take a time that grows with the square of its
+length. Words of more than ``LONG_WORD`` symbols are merged one pair at a time from a heap, with the same result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +34,7 @@ from ticketlens.llm.common import once
 
 MEMO_WORDS = 300_000  # different words whose codes a worker keeps; then it starts anew
 BATCH_WORDS = 20_000  # words merged at once
+LONG_WORD = 100  # symbols of a word that rounds still merge
 
 
 @dataclass
@@ -50,9 +57,10 @@ class Merges:
 
     def merged(self, symbols: Sequence[Sequence[int]]) -> list[np.ndarray]:
         """The codes of each word, given its first symbols."""
-        lengths = np.array([len(s) for s in symbols], np.int64)
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(symbols)
-        flat = np.fromiter((x for s in symbols for x in s), np.int64, int(lengths.sum()))
+        out = [self._one_by_one(s) if len(s) > LONG_WORD else np.zeros(0, np.int64) for s in symbols]
+        short = [() if len(s) > LONG_WORD else s for s in symbols]
+        lengths = np.array([len(s) for s in short], np.int64)
+        flat = np.fromiter((x for s in short for x in s), np.int64, int(lengths.sum()))
         word = np.repeat(np.arange(len(symbols)), lengths)
         none = np.iinfo(np.int64).max
         while len(flat):
@@ -82,6 +90,41 @@ class Merges:
             flat, word = flat[going], word[going]
         return out
 
+    @cached_property
+    def _listed(self) -> tuple[list[int], list[int], list[int]]:
+        return self.keys.tolist(), self.rank.tolist(), self.made.tolist()
+
+    def _one_by_one(self, symbols: Sequence[int]) -> np.ndarray:
+        """The codes of one word: always the leftmost pair of the lowest rank, in n log n steps."""
+        keys, ranks, made = self._listed
+        codes, n, bits = list(symbols), len(symbols), len(symbols).bit_length()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def known(place: int) -> int:
+            """Where the pair that starts at a place stands in the table, or -1."""
+            if after[place] == n:
+                return -1
+            key = codes[place] * self.size + codes[after[place]]
+            at = bisect_left(keys, key)
+            return at if at < len(keys) and keys[at] == key else -1
+
+        # A waiting pair is one number, its rank before its place; those that have changed since are passed over.
+        waiting = [ranks[at] << bits | place for place in range(n) if (at := known(place)) >= 0]
+        heapq.heapify(waiting)
+        while waiting:
+            rank, place = divmod(heapq.heappop(waiting), 1 << bits)
+            if codes[place] < 0 or (at := known(place)) < 0 or ranks[at] != rank:
+                continue
+            gone = after[place]
+            codes[place], codes[gone] = made[at], -1
+            after[place] = after[gone]
+            if after[gone] < n:
+                before[after[gone]] = place
+            for start in (before[place], place):
+                if start >= 0 and (at := known(start)) >= 0:
+                    heapq.heappush(waiting, ranks[at] << bits | start)
+        return np.array([c for c in codes if c >= 0], np.int64)
+
 
 def _bytes_as_letters() -> dict[int, str]:
     """The letter that stands for each byte: itself if it is printable, else the next free one from 256 on."""
