@@ -370,6 +370,40 @@ def test_parsing_and_bounds(spark):
     assert [r.batch_id for r in dr.standing_batches(rows, contract, ["batch_id"]).collect()] == [1]
 
 
+def test_findings_name_the_place(spark):
+    good = (
+        '{"questions":[{"question_id":"a","question":"q","rationale":"r","related_categories":["c"],"required":true},'
+        '{"question_id":"b","related_categories":[]}]}'
+    )
+    texts = {
+        1: (good, []),
+        2: (good[:40], [("$", "OBJECT", None)]),
+        3: (None, [("$", "OBJECT", None)]),
+        4: ("[1]", [("$", "OBJECT", "ARRAY")]),
+        5: ("{}", [("questions", "ARRAY", None)]),
+        6: ('{"questions":null}', [("questions", "ARRAY", "VOID")]),
+        7: ('{"questions":{"question_id":"a"}}', [("questions", "ARRAY", "OBJECT")]),
+        8: (good.replace('"b"', "7"), [("questions[1].question_id", "STRING", "BIGINT")]),
+        9: (good.replace('["c"]', '["c",null,{"x":1},[]]'), [(f"questions[0].related_categories[{i}]", "STRING", k) for i, k in ((2, "OBJECT"), (3, "ARRAY"))]),
+        10: (good.replace("true", '"yes"').replace("[]", '"c"'), [("questions[0].required", "BOOLEAN", "STRING"), ("questions[1].related_categories", "ARRAY", "STRING")]),
+        11: ('{"questions":["a",null]}', [("questions[0]", "OBJECT", "STRING")]),
+        # Of what isn't declared nothing is expected, whatever its name.
+        12: (good.replace('"question":"q"', '"question":"q","more":{"question_id":5}'), []),
+        13: ('{"questions":[]}', []),
+    }
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "batch_id bigint, document string")
+    parsed = dr.parse_documents(frame, schemas.QUESTION_BATCH)
+    found = {r.batch_id: [tuple(f) for f in r.findings] for r in parsed.collect()}
+    assert found == {k: want for k, (_, want) in texts.items()}
+    assert {r.batch_id: r.status for r in parsed.collect()} == {k: "malformed" if want else "ok" for k, (_, want) in texts.items()}
+    rows = dr.document_findings(parsed, ["batch_id"]).filter("batch_id = 9").collect()
+    assert [r.path for r in rows] == ["questions[0].related_categories[2]", "questions[0].related_categories[3]"]
+    first = parsed.filter("batch_id = 1").head().parsed.questions
+    assert [(q.question_id, q.question, q.related_categories, q.required) for q in first] == [("a", "q", ["c"], True), ("b", None, [], None)]
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" not in plan and "Python" not in plan
+
+
 def test_question_bounds(spark):
     rows = [("ok_1-a", "Long enough?", "Long enough", ["c"]), ("Bad Id", "short", "Long enough", [])]
     frame = spark.createDataFrame(rows, "question_id string, question string, rationale string, related_categories array<string>")

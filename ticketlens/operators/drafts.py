@@ -7,7 +7,6 @@ inside its row. The flat form has one row per entry with its place ``pos``.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,57 +20,81 @@ from ticketlens.fixed_values import (
     QUESTION_ID_PATTERN,
 )
 
-_CORRUPT = "_corrupt"
+_FINDING = "array<struct<path: string, expected: string, found: string>>"
+_KINDS = {T.StringType(): "STRING", T.BooleanType(): "BOOLEAN"}
 
 
-def _wrong_types(schema: T.DataType, found: Column) -> list[Column]:
-    """Tests on a document's own schema text: does a declared field hold something else?
+def _finding(path: Column, expected: str, found: Column) -> Column:
+    held = F.struct(path.alias("path"), F.lit(expected).alias("expected"), found.cast("string").alias("found"))
+    return F.array(held).cast(_FINDING)
 
-    Parsing alone would take any value for a text.
+
+def type_findings(kind: T.DataType, value: Column, path: Column, *, required: bool = False) -> Column:
+    """What of a VARIANT value isn't as declared: path, expected and found kind, one entry per place.
+
+    Nulls and absent fields are findings only where ``required``, the others are left to the bounds. Fields that
+    aren't declared are no findings. Nothing is converted: a number isn't a text.
     """
-    if isinstance(schema, T.ArrayType):
-        return _wrong_types(schema.elementType, found)
-    if not isinstance(schema, T.StructType):
-        return []
-    tests = []
-    for field in schema.fields:
-        kind = field.dataType.simpleString()
-        allowed = {"string": "STRING", "boolean": "BOOLEAN", "array<string>": "ARRAY<(?:STRING|VOID)>"}.get(kind)
-        if allowed:
-            tests.append(found.rlike(rf"(?<![A-Za-z_]){field.name}: (?!{allowed}|VOID)"))
-        else:
-            tests += _wrong_types(field.dataType, found)
-    return tests
+    found = F.schema_of_variant(value)
+    none = F.array().cast(_FINDING)
+    if isinstance(kind, T.StructType):
+        expected, fits = "OBJECT", found.startswith("OBJECT")
+        inner = F.concat(
+            *(
+                type_findings(f.dataType, F.try_variant_get(value, f"$.{f.name}", "variant"), F.concat(path, F.lit(f".{f.name}")))
+                for f in kind.fields
+            )
+        )
+    elif isinstance(kind, T.ArrayType):
+        expected, fits = "ARRAY", found.startswith("ARRAY")
+        entries = F.try_variant_get(value, "$", "array<variant>")
+        inner = F.flatten(
+            F.transform(
+                entries,
+                lambda e, i: type_findings(kind.elementType, e, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))),
+            )
+        )
+    else:
+        expected, inner = _KINDS[kind], none
+        fits = found == expected
+    absent = found.isNull() | (found == "VOID")
+    return (
+        F.when(absent, _finding(path, expected, found) if required else none)
+        .when(fits, F.coalesce(inner, none))
+        .otherwise(_finding(path, expected, F.regexp_extract(found, "^[A-Z]+", 0)))
+    )
 
 
 def parse_documents(drafts: DataFrame, schema: T.StructType, column: str = "document") -> DataFrame:
-    """Add ``parsed`` and ``status`` (``ok``, ``malformed``); unreadable texts keep their row."""
-    extended = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
-    parsed = F.from_json(
-        column, extended, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    )
-    missing = F.lit(False)
-    for field in schema.fields:
-        missing = missing | F.col(f"_parsed.{field.name}").isNull()
-    wrong = reduce(lambda a, b: a | b, _wrong_types(schema, F.col("_found")), F.lit(False))
-    malformed = (
-        F.col("_parsed").isNull()
-        | F.col(f"_parsed.{_CORRUPT}").isNotNull()
-        | missing
-        | F.coalesce(wrong, F.lit(True))
+    """Add ``parsed``, ``findings`` and ``status`` (``ok``, ``malformed``); unreadable texts keep their row.
+
+    A text is read once, into a VARIANT; a document is malformed if there is any finding. The finding of a text
+    that is null or no JSON has the path ``$``.
+    """
+    whole = F.col("_variant")
+    held = F.concat(
+        *(
+            type_findings(f.dataType, F.try_variant_get(whole, f"$.{f.name}", "variant"), F.lit(f.name), required=True)
+            for f in schema.fields
+        )
     )
+    readable = F.schema_of_variant(whole).startswith("OBJECT")
+    unreadable = _finding(F.lit("$"), "OBJECT", F.regexp_extract(F.schema_of_variant(whole), "^[A-Z]+", 0))
+    fields = F.try_variant_get(whole, "$", schema.simpleString())
     return (
-        drafts.withColumn("_parsed", parsed)
-        .withColumn("_found", F.schema_of_variant(F.try_parse_json(column)))
-        .withColumn("status", F.when(malformed, "malformed").otherwise("ok"))
-        .withColumn(
-            "parsed",
-            F.when(F.col("status") == "ok", F.struct(*(f"_parsed.{n}" for n in schema.fieldNames()))),
-        )
-        .drop("_parsed", "_found")
+        drafts.withColumn("_variant", F.try_parse_json(column))
+        .withColumn("findings", F.when(readable, held).otherwise(unreadable))
+        .withColumn("status", F.when(F.size("findings") > 0, "malformed").otherwise("ok"))
+        .withColumn("parsed", F.when(F.col("status") == "ok", fields))
+        .drop("_variant")
     )
 
 
+def document_findings(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row ``(*keys, path, expected, found)`` for each place of a document that isn't as declared."""
+    return parsed.select(*keys, F.explode("findings").alias("_finding")).select(*keys, "_finding.*")
+
+
 def explode_batch(parsed: DataFrame, keys: Sequence[str], entries: str) -> DataFrame:
     """Entries of the readable batches as flat rows ``(*keys, pos, fields…)``.
 

@@ -74,6 +74,11 @@ _CTES: dict[str, str] = {
         SELECT * FROM (VALUES ('view', 1.00::DOUBLE, 1.00::DOUBLE), ('click', 0.95, 0.95),
             ('signup', 0.65, 0.65), ('purchase', 0.50, 0.50), ('error', 0.18, 0.18))
             AS f(category, repetitiveness, process_consistency)""",
+    "draft_lists": """
+        SELECT 'recommendations' AS kind, batch_id, count(*) AS n, 'category' AS first_field FROM rec_base WHERE stage = 0 GROUP BY batch_id
+        UNION ALL SELECT 'analyses', batch_id, count(*), 'category' FROM analyses GROUP BY batch_id
+        UNION ALL SELECT 'questions', batch_id, coalesce(n, 0), 'question_id'
+                  FROM docs LEFT JOIN (SELECT batch_id, count(*) AS n FROM question_drafts GROUP BY 1) USING (batch_id)""",
     "parsed_tickets": r"""
         SELECT *,
                CASE WHEN regexp_matches(created_at, '^\d{4}-\d{2}-\d{2}T')
@@ -665,6 +670,21 @@ _FINAL = {
     "parse_chat_answers": """
         SELECT batch_id, turn, CASE WHEN (batch_id + turn) % 11 = 1 OR (batch_id + turn) % 13 = 1
                                     THEN 'malformed' ELSE 'ok' END AS status FROM chat_answers""",
+    "parse_findings": """
+        SELECT kind, batch_id, CAST(NULL AS BIGINT) AS turn, '$' AS path, 'OBJECT' AS expected, CAST(NULL AS VARCHAR) AS found
+        FROM (SELECT kind, batch_id FROM draft_lists UNION ALL SELECT 'narrative', batch_id FROM narratives) WHERE batch_id % 19 = 1
+        UNION ALL SELECT kind, batch_id, NULL, kind, 'ARRAY', NULL FROM draft_lists WHERE batch_id % 23 = 1 AND batch_id % 19 <> 1
+        UNION ALL SELECT 'narrative', batch_id, NULL, unnest(['executive_summary', 'limitations']), unnest(['STRING', 'ARRAY']), NULL
+                  FROM narratives WHERE batch_id % 23 = 1 AND batch_id % 19 <> 1
+        UNION ALL SELECT kind, batch_id, NULL, kind || '[' || i || '].' || first_field, 'STRING', 'ARRAY'
+                  FROM (SELECT *, unnest(range(n)) AS i FROM draft_lists) WHERE batch_id % 29 = 1 AND batch_id % 23 <> 1 AND batch_id % 19 <> 1
+        UNION ALL SELECT 'narrative', batch_id, NULL, 'executive_summary', 'STRING', 'ARRAY'
+                  FROM narratives WHERE batch_id % 29 = 1 AND batch_id % 23 <> 1 AND batch_id % 19 <> 1
+        UNION ALL SELECT 'chat answer', batch_id, turn, 'assumptions', 'ARRAY', NULL FROM chat_answers WHERE (batch_id + turn) % 11 = 1
+        -- A comma before the end of a list that was empty: no JSON at all.
+        UNION ALL SELECT 'chat answer', batch_id, turn, CASE WHEN cited = [] THEN '$' ELSE 'evidence_used[0]' END,
+                         CASE WHEN cited = [] THEN 'OBJECT' ELSE 'STRING' END, CASE WHEN cited <> [] THEN 'ARRAY' END
+                  FROM chat_answers WHERE (batch_id + turn) % 13 = 1 AND (batch_id + turn) % 11 <> 1""",
     "draft_contract": """
         SELECT batch_id, count(*) AS entries,
                count(*) FILTER (batch_id % 43 = 0 OR batch_id % 47 = 0 OR batch_id % 53 = 0 OR flow = '') AS broken_entries,

@@ -598,6 +598,23 @@ def parse_chat_answers(spark, sf):
     return _parsed_chat_answers(spark, sf).select("batch_id", "turn", "status")
 
 
+@query
+def parse_findings(spark, sf):
+    """Where each machine-written document departs from its declared form."""
+    kinds = {
+        "recommendations": _parsed_recommendations(spark, sf),
+        "questions": _parsed_questions(spark, sf),
+        "analyses": _parsed_analyses(spark, sf),
+        "narrative": _parsed_narratives(spark, sf),
+        "chat answer": _parsed_chat_answers(spark, sf),
+    }
+    found = [
+        dr.document_findings(parsed, [c for c in ("batch_id", "turn") if c in parsed.columns]).withColumn("kind", F.lit(kind))
+        for kind, parsed in kinds.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+
+
 @query
 def draft_contract(spark, sf):
     rows = dr.explode_batch(_parsed_recommendations(spark, sf), ["batch_id"], "recommendations")
