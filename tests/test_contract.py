@@ -140,6 +140,8 @@ def test_csv_round_trip_keeps_quotes_breaks_and_spaces(spark, factors, tmp_path)
     back = ti.read_ticket_folder(spark, path, multi_line=True)
     assert sorted(map(tuple, back.drop(ti.CORRUPT).collect())) == sorted(map(tuple, frame.collect()))
     assert {r[ti.CORRUPT] for r in back.collect()} == {None}
+    default = ti.read_ticket_folder(spark, path)
+    assert sorted(map(str, default.collect())) == sorted(map(str, back.collect()))
     split = ti.read_ticket_folder(spark, path, multi_line=False).collect()
     assert any(r[ti.CORRUPT] for r in split)  # a break inside a cell needs multi_line
     single = ti.read_ticket_files(spark, {"one": f"{path}/company_id=one"}, multi_line=True)
@@ -243,3 +245,31 @@ def test_documents(spark, tmp_path):
     (tmp_path / "two.md").write_text(" \n\t ")
     with pytest.raises(DataContractError, match="is empty"):
         do.require_documents(do.read_documents(spark, str(tmp_path)))
+
+
+def test_only_files_with_line_breaks_are_read_whole(spark, tmp_path):
+    path = str(tmp_path / "tickets")
+    columns = [f"concat('{c}-', id) AS {c}" for c in TICKET_COLUMNS if c != "description"]
+    frame = spark.range(6_000).selectExpr(
+        "concat('c', id % 2) AS company_id",
+        *columns,
+        "CASE WHEN id % 1000 = 7 THEN concat('first', chr(10), 'second ', id) WHEN id % 1000 = 8 THEN concat('a', chr(13), id) "
+        "ELSE concat('plain ', id) END AS description",
+    ).coalesce(1)
+    ti.write_ticket_files(frame, path)
+    names = ["company_id", *TICKET_COLUMNS]
+    back = ti.read_ticket_folder(spark, path)
+    assert sorted(map(str, back.select(names).collect())) == sorted(map(str, frame.select(names).collect()))
+    assert {r[ti.CORRUPT] for r in back.collect()} == {None}
+    bytes_per_part = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        split = back.select("ticket_id").withColumn("part", F.spark_partition_id()).select("part").distinct().count()
+        whole = ti.read_ticket_folder(spark, path, multi_line=True).select("ticket_id", F.spark_partition_id().alias("part"))
+        assert split > 6 and whole.select("part").distinct().count() <= 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_per_part)
+    # One company's rows still come from its files alone, and an explicit choice holds.
+    plan = back.filter("company_id = 'c1'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "company_id" in plan.split("PartitionFilters", 1)[1][:120]
+    assert len(ti.read_ticket_folder(spark, path, multi_line=False).collect()) > 6_000

@@ -14,6 +14,8 @@ from ticketlens.fixed_values import TICKET_COLUMNS
 
 CORRUPT = "_unreadable"
 DIALECT = {"header": True, "quote": '"', "escape": '"'}
+# The writer's partition column that says whether a file's cells may hold line breaks.
+LINE_BREAKS = "ticket_line_breaks"
 # A multi-line file is read by one task, so the writer keeps files moderate.
 ROWS_PER_FILE = 1_000_000
 
@@ -70,35 +72,42 @@ def read_ticket_files(
     return reduce(DataFrame.unionByName, scans)
 
 
-def read_ticket_folder(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
-    """A folder written by :func:`write_ticket_files`, as text columns in one scan.
+def read_ticket_folder(spark: SparkSession, path: str, *, multi_line: bool | None = None) -> DataFrame:
+    """A folder written by :func:`write_ticket_files`, as text columns.
 
     For files that may differ or be broken see :func:`ticketlens.sources.folders.read_folder_apart`.
 
-    ``multi_line`` allows line breaks inside cells, and then a file is read by one task, however large it is.
-    Without it files are split. A folder whose header lacks a column breaks the contract.
+    ``multi_line`` allows line breaks inside cells, and then a file is read by one task, however large it is; without it
+    files are split. By default that follows the folder: files that the writer recorded as free of breaks are split, all
+    others are read whole. A folder whose header lacks a column breaks the contract.
     """
-    missing = missing_columns(_header(spark, path, multi_line))
+    header = _header(spark, path, multi_line is not False)
+    missing = missing_columns(header)
     if missing:
         raise DataContractError(f"Missing required ticket columns: {', '.join(missing)}")
-    schema = T.StructType(
-        [T.StructField(name, T.StringType()) for name in (*TICKET_COLUMNS, CORRUPT)]
-    ).add("company_id", T.StringType())
-    return (
-        spark.read.options(
-            **DIALECT,
-            multiLine=multi_line,
-            columnNameOfCorruptRecord=CORRUPT,
-            enforceSchema=False,
-        )
-        .schema(schema)
-        .csv(path)
-        .select("company_id", *TICKET_COLUMNS, CORRUPT)
-    )
+    recorded = LINE_BREAKS in header
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in (*TICKET_COLUMNS, CORRUPT)])
+    for partition in ("company_id", *([LINE_BREAKS] if recorded else [])):
+        schema = schema.add(partition, T.StringType())
+
+    def scan(whole_files: bool) -> DataFrame:
+        options = {**DIALECT, "multiLine": whole_files, "columnNameOfCorruptRecord": CORRUPT, "enforceSchema": False}
+        return spark.read.options(**options).schema(schema).csv(path)
+
+    if multi_line is None and recorded:
+        # Filters on a partition column: each scan lists the folder and reads its own files only.
+        free = F.col(LINE_BREAKS).eqNullSafe("false")
+        rows = scan(False).filter(free).unionByName(scan(True).filter(~free))
+    else:
+        rows = scan(multi_line is not False)
+    return rows.select("company_id", *TICKET_COLUMNS, CORRUPT)
 
 
 def write_ticket_files(tickets: DataFrame, path: str) -> None:
-    """Write one folder per company with a header and a stable column order."""
+    """Write one folder per company with a header and a stable column order.
+
+    Within it, rows with a line break in a cell have files of their own, so that the others can be split when read.
+    """
     written = tickets.select(
         "company_id",
         *(
@@ -111,9 +120,11 @@ def write_ticket_files(tickets: DataFrame, path: str) -> None:
             for name in TICKET_COLUMNS
         ),
     )
+    broken = reduce(lambda a, b: a | b, (F.coalesce(F.col(c).cast("string").rlike("[\r\n]"), F.lit(False)) for c in TICKET_COLUMNS))
     (
-        written.write.mode("overwrite")
-        .partitionBy("company_id")
+        written.withColumn(LINE_BREAKS, broken)
+        .write.mode("overwrite")
+        .partitionBy("company_id", LINE_BREAKS)
         .options(
             header=True,
             quote='"',
