@@ -90,3 +90,40 @@ def test_repeated_rows_leave_room_for_other_ids(spark):
     found = _found(vptree.nearest(table, F.col("vec_id") % 20 == 7, 5, 1.0, shard_rows=64, sample_rows=8))
     want = _brute(dict(rows).items(), lambda i: i % 20 == 7, 5)
     assert {q: [i for i, _ in v] for q, v in found.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
+@pytest.mark.parametrize(("spread", "norm"), [(1e-9, 1.0), (1e-9, 1000.0), (1e-7, 1.0), (1e-3, 1.0)])
+def test_factor_one_is_exact_for_nearly_equal_vectors(spread, norm):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(8, 16))
+    x = centres[rng.integers(0, 8, 3_000)]
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) + spread * rng.normal(size=x.shape)
+    x = norm * x / np.linalg.norm(x, axis=1, keepdims=True)
+    ids, k = np.arange(len(x)), 20
+    space = vptree.Space(float(np.sqrt((x**2).sum(axis=1).max())))
+    tree = vptree.build(space.lifted(x), ids, 64, np.random.default_rng(1))
+    queries = x[::50]
+    best = vptree.Nearest.none(len(queries), k)
+    vptree.search(tree, space, x, ids, queries, ids[::50], best, np.full(len(queries), np.inf), 1.0)
+    for q, (own, found) in enumerate(zip(ids[::50], best.ids, strict=True)):
+        score = vptree.products(queries, x, np.full(len(x), q), ids)
+        score[own] = -np.inf
+        assert found.tolist() == np.lexsort((ids, -score))[:k].tolist()
+
+
+@pytest.mark.parametrize("factor", [1.0, 4.0, 50.0])
+def test_no_query_has_fewer_than_it_can(spark, factor):
+    rows = _rows(900, 6, 4)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = _found(vptree.nearest(table, F.col("vec_id") % 20 == 0, 20, factor, shard_rows=64, sample_rows=200))
+    assert len(found) == 45 and {len(v) for v in found.values()} == {20}
+
+
+def test_a_common_vector_is_cut_before_the_shuffle(spark):
+    table = spark.createDataFrame([(i, [1.0, 2.0] if i % 3 else [float(i + 1), 1.0]) for i in range(600)], "vec_id long, embedding array<double>")
+    rows = table.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).distinct()
+    numbered = rows.withColumn("place", F.row_number().over(vptree.Window.partitionBy("v").orderBy("id"))).filter("place <= 21")
+    assert "WindowGroupLimit" in numbered._jdf.queryExecution().executedPlan().toString()
+    found = _found(vptree.nearest(table, F.col("vec_id") % 50 == 0, 20, 1.0, shard_rows=64, sample_rows=100))
+    want = _brute(((r["vec_id"], r["embedding"]) for r in table.collect()), lambda i: i % 50 == 0, 20)
+    assert {q: [i for i, _ in v] for q, v in found.items()} == {q: [i for i, _ in v] for q, v in want.items()}

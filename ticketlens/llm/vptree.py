@@ -6,7 +6,11 @@ deals the vectors to shards, one leaf each (large leaves are split by hash), and
 own. A query visits the shards, and in a shard the nodes, that the triangle inequality doesn't rule out: a node
 whose least possible distance, times ``factor``, exceeds the distance of the query's k-th nearest so
 far. Factor one restores exact search. The sample's own k-th nearest bounds the distance from the
-start, so that shards are ruled out before rows are sent to them.
+start, so that shards are ruled out before rows are sent to them; these neighbours count as found.
+
+Within a leaf, a matrix product rules out what can't reach a query's k-th score by more than its rounding error; the
+others are scored exactly. Distances from scores are bounds that include the rounding of their squares, so that factor
+one is exact for vectors that differ by little.
 
 Of equal vectors only the k + 1 with the smallest ids are indexed: no more can be among k nearest.
 Scores are sums of products in double precision, added in the same order for every pair.
@@ -29,7 +33,11 @@ SHARD_ROWS = 16_384  # vectors in a shard, about
 LEAF_ROWS = 256
 FACTOR = 1.5
 QUERY_BLOCK = 512
-_SLACK = 1e-9  # of distances, for rounding
+
+
+def _rounding(components: int) -> float:
+    """Bound on the relative error of sums of so many products, with room for the terms beside them."""
+    return 8 * (components + 8) * float(np.finfo(np.float64).eps)
 
 
 @dataclass
@@ -83,24 +91,31 @@ class Nearest:
     def none(cls, queries: int, k: int) -> Nearest:
         return cls(np.full((queries, k), -np.inf), np.full((queries, k), np.iinfo(np.int64).max))
 
-    def offer(self, at: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        """Scores (queries at ``at``, candidates) of the candidates ``ids``."""
+    def offer(self, at: np.ndarray, queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
+        """Candidates ``ids`` with their ``vectors`` for the queries at ``at``, whose own ids are left out."""
         k = self.score.shape[1]
-        step = max(1, (1 << 20) // max(1, score.shape[1] + k))
-        for low in range(0, len(at), step):
-            part = at[low : low + step]
-            all_scores = np.concatenate([self.score[part], score[low : low + step]], axis=1)
-            all_ids = np.concatenate([self.ids[part], np.broadcast_to(ids, (len(part), len(ids)))], axis=1)
-            order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
-            self.score[part] = np.take_along_axis(all_scores, order, axis=1)
-            self.ids[part] = np.take_along_axis(all_ids, order, axis=1)
-
-
-def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products, each summed in order of the components, whatever stands beside it."""
-    out = np.zeros((len(queries), len(vectors)))
+        about = queries @ vectors.T
+        error = _rounding(vectors.shape[1]) * np.sqrt((queries**2).sum(axis=1) * (vectors**2).sum(axis=1).max(initial=0.0))
+        which, candidate = np.nonzero((about >= (self.score[at, -1] - error)[:, None]) & (own[:, None] != ids[None]))
+        if not len(which):
+            return
+        score = products(queries, vectors, which, candidate)
+        # The touched queries' k so far and their new candidates, ordered by query.
+        touched = np.unique(which)
+        row = np.concatenate([np.repeat(touched, k), which])
+        all_scores = np.concatenate([self.score[at[touched]].ravel(), score])
+        all_ids = np.concatenate([self.ids[at[touched]].ravel(), ids[candidate]])
+        order = np.lexsort((all_ids, -all_scores, row))
+        starts = np.searchsorted(row[order], touched)
+        best = order[starts[:, None] + np.arange(k)]
+        self.score[at[touched]], self.ids[at[touched]] = all_scores[best], all_ids[best]
+
+
+def products(queries: np.ndarray, vectors: np.ndarray, which: np.ndarray, candidate: np.ndarray) -> np.ndarray:
+    """Inner products of pairs of rows, each summed in order of the components, whatever stands beside it."""
+    out = np.zeros(len(which))
     for d in range(queries.shape[1]):
-        out += queries[:, d, None] * vectors[None, :, d]
+        out += queries[which, d] * vectors[candidate, d]
     return out
 
 
@@ -119,9 +134,15 @@ class Space:
         return np.concatenate([vectors, np.zeros((len(vectors), 1))], axis=1)
 
     def reach(self, queries: np.ndarray, score: np.ndarray) -> np.ndarray:
-        """Distance at which a lifted vector has a score with a query; infinite for no score."""
-        square = (queries**2).sum(axis=1) + self.norm**2 - 2 * score
-        return np.where(np.isfinite(score), np.sqrt(np.maximum(square, 0)), np.inf)
+        """Most that a lifted vector with at least this score is away from its query; infinite for no score.
+
+        The square of the distance is known up to a share of the squared norms, so its root is off by
+        far more where it is small.
+        """
+        total = (queries**2).sum(axis=1) + self.norm**2
+        error = _rounding(queries.shape[1])
+        square = np.where(np.isfinite(score), np.maximum(total - 2 * score, 0), np.inf)
+        return np.sqrt(square + error * total) + error * np.sqrt(total)
 
 
 def _bounds(node: Node, queries: np.ndarray, least: np.ndarray, out: list[np.ndarray]) -> None:
@@ -165,16 +186,14 @@ def search(
         if not len(at):
             return
         if node.rows is not None:
-            score = products(queries[at], vectors[node.rows])
-            score[own[at, None] == ids[None, node.rows]] = -np.inf
-            best.offer(at, score, ids[node.rows])
+            best.offer(at, queries[at], own[at], vectors[node.rows], ids[node.rows])
             return
         d = _distance(lifted[at], node.point)
         near_inside = d <= node.radius
         for first, side, other in ((near_inside, node.inside, node.outside), (~near_inside, node.outside, node.inside)):
             visit(side, at[first])
             late = at[first]
-            limit = np.minimum(reach[late], space.reach(queries[late], best.score[late, -1])) + _SLACK
+            limit = np.minimum(reach[late], space.reach(queries[late], best.score[late, -1]))
             visit(other, late[np.abs(d[first] - node.radius) * factor <= limit])
 
     visit(node, np.arange(len(queries)))
@@ -238,35 +257,49 @@ def nearest(
             _place(top, points, np.arange(len(points)), at, [0])
             yield pa.RecordBatch.from_arrays([pa.array(at), *batch.columns], ["leaf", "id", "v"])
 
-    # Of equal vectors the k + 1 smallest ids, each once, however often its row repeats.
+    # Of equal vectors the k + 1 smallest ids, each once, however often its row repeats. Rows are made distinct by id and vector
+    # first; of a common vector, each task then sends on k + 1 rows only.
     equal = Window.partitionBy("v").orderBy("id")
-    numbered = rows.select("id", "v").withColumn("place", F.dense_rank().over(equal)).withColumn("before", F.lag("id").over(equal))
-    indexed = numbered.filter((F.col("place") <= k + 1) & ~F.col("before").eqNullSafe(F.col("id"))).select("id", "v")
+    numbered = rows.select("id", "v").distinct().withColumn("place", F.row_number().over(equal))
+    indexed = numbered.filter(F.col("place") <= k + 1).select("id", "v")
     dealt = staged(indexed.mapInArrow(deal, "leaf int, id long, v array<double>"), "dealt")
     counts = staged(dealt.groupBy("leaf").agg(F.count("*").alias("rows")), "leaves")
     splits = counts.withColumn("splits", F.ceil(F.col("rows") / (2 * shard_rows))).select("leaf", "splits")
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(part: np.ndarray, own: np.ndarray) -> Nearest:
+        best = Nearest.none(len(part), k)
+        best.offer(np.arange(len(part)), part, own, sample_vectors[few], sample_ids[few])
+        return best
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             asked = _matrix(batch.column(1)) if len(ids) else np.zeros((0, common["size"]))
             for low in range(0, len(ids), QUERY_BLOCK):
-                part, own = asked[low : low + QUERY_BLOCK], ids[low : low + QUERY_BLOCK]
-                best = Nearest.none(len(part), k)
-                score = products(part, sample_vectors[few])
-                score[own[:, None] == sample_ids[None, few]] = -np.inf
-                best.offer(np.arange(len(part)), score, sample_ids[few])
-                reach = space.reach(part, best.score[:, -1])
-                bounds: list[np.ndarray] = []
-                _bounds(top, space.query(part), np.zeros(len(part)), bounds)
-                goes = np.stack(bounds) * factor <= reach + _SLACK
-                leaf, at = np.nonzero(goes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf.astype(np.int32)), pa.array(own[at]), pa.array(list(part[at]), pa.list_(pa.float64())), pa.array(reach[at])],
-                    ["leaf", "id", "v", "reach"],
-                )
-
-    asked = rows.filter("asks").select("id", "v").mapInArrow(ask, "leaf int, id long, v array<double>, reach double")
+                yield asked[low : low + QUERY_BLOCK], ids[low : low + QUERY_BLOCK]
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, own in blocks(batches):
+            yield listed(own, first(part, own))
+
+    def listed(own: np.ndarray, best: Nearest) -> pa.RecordBatch:
+        which, place = np.nonzero(np.isfinite(best.score))
+        columns = [pa.array(own[which]), pa.array(best.ids[which, place]), pa.array(best.score[which, place])]
+        return pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, own in blocks(batches):
+            reach = space.reach(part, first(part, own).score[:, -1])
+            bounds: list[np.ndarray] = []
+            _bounds(top, space.query(part), np.zeros(len(part)), bounds)
+            leaf, at = np.nonzero(np.stack(bounds) * factor <= reach)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(leaf.astype(np.int32)), pa.array(own[at]), pa.array(list(part[at]), pa.list_(pa.float64())), pa.array(reach[at])],
+                ["leaf", "id", "v", "reach"],
+            )
+
+    queried = rows.filter("asks").select("id", "v")
+    asked = queried.mapInArrow(ask, "leaf int, id long, v array<double>, reach double")
     asked = asked.join(splits, "leaf").select("leaf", F.explode(F.expr("sequence(0L, splits - 1)")).alias("part"), F.lit(1).alias("kind"), "id", "v", "reach")
     held = dealt.join(splits, "leaf").select("leaf", F.pmod(F.xxhash64("id"), "splits").alias("part"), F.lit(0).alias("kind"), "id", "v", F.lit(0.0).alias("reach"))
 
@@ -297,11 +330,7 @@ def nearest(
                     block = slice(at, at + QUERY_BLOCK)
                     best = Nearest.none(len(own[block]), k)
                     search(tree, space, vectors, ids, asked_for[block], own[block], best, reach[block], factor)
-                    which, place = np.nonzero(np.isfinite(best.score))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(own[block][which]), pa.array(best.ids[which, place]), pa.array(best.score[which, place])],
-                        ["query_id", "vec_id", "score"],
-                    )
+                    yield listed(own[block], best)
 
     found = (
         held.unionByName(asked)
@@ -309,6 +338,7 @@ def nearest(
         .sortWithinPartitions("leaf", "part", "kind", "id")
         .mapInArrow(answer, "query_id long, vec_id long, score double")
     )
+    found = found.unionByName(queried.mapInArrow(begin, found.schema))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (
         found.distinct()
