@@ -182,7 +182,7 @@ def mixed(
 
     ``weights`` has a whole-number column for each level, a function of the level's names. Null and empty
     texts cost one token; null languages and sources are leaves of their own; null ids draw
-    like the empty text. Texts are read twice, and not shuffled unless the leaves are too many to broadcast.
+    like the empty text. Texts are read twice, and not shuffled unless the leaves are too many to broadcast. An empty table gives an empty one.
     """
     rows = docs.select(F.struct("*").alias("row"), domain.alias("domain"), "lang", "source", "doc_id", "text")
     rows = rows.select(

@@ -86,7 +86,7 @@ def sharded(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text
     among one more.
 
     Slots come from a range sort of narrow rows and the row counts of its partitions. A tie-breaker that
-    differs for each row lets the sort split a key that repeats very often.
+    differs for each row lets the sort split a key that repeats very often. An empty table gives an empty one.
     """
     narrow = docs.select(
         F.col(key).alias("key"),

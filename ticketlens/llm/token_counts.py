@@ -206,7 +206,10 @@ def edited(
     ``edits`` is a column of type ``EDITS``, applied in order; places are in code points of the text as the earlier
     edits left it, null fields count as 0 or the empty text, a null array as none. ``n_tokens`` and
     ``n_edited`` are the counts before and after, ``n_pieces`` the pre-tokens before, ``n_encoded``
-    those encoded because of edits. Null texts count as empty.
+    those encoded because of edits. Null texts count as empty, an empty table gives none.
+
+    A ``pattern`` of one's own must cover the whole text and must not look further than ``LOOK_AHEAD`` characters behind the
+    end of a piece, nor before its start; with others the counts after edits may be wrong. This isn't checked.
     """
     with open(path or default_path(), "rb") as file:
         shipped = docs.sparkSession.sparkContext.broadcast((file.read(), pattern or default_pattern()))
