@@ -25,7 +25,7 @@ from ticketlens.operators import recommendations as rc
 from ticketlens.operators import report as rp
 from ticketlens.operators import scoring as sc
 from ticketlens.plans import audit, grounded, intake, maintained
-from ticketlens.session import shared_folder, staged
+from ticketlens.session import at_once, shared_folder, staged
 from ticketlens.sources import companies as co
 from ticketlens.sources import documents as do
 from ticketlens.sources import folders as fo
@@ -455,10 +455,9 @@ def evidence_isolation(spark, sf):
 def evidence_checksum(spark, sf):
     """Evidence as first packed, and as the contexts hold it after refinement, some of them tampered with."""
     done = _audit(spark, sf)
-    results = _Results(spark, sf, done)
+    results = _Results(spark, sf, done).ready()
     parts = F.to_json(F.struct(*grounded.EVIDENCE), {"ignoreNullFields": "false"}).alias("package")
-    per_company = _company_evidence(spark, sf, done)
-    packed = _documents(spark, sf).join(per_company, "company_id").select(
+    packed = _documents(spark, sf).join(results.per_company, "company_id").select(
         "batch_id",
         F.col("company.name").alias("company_name"),
         "audit_summary",
@@ -518,7 +517,7 @@ def process_sections(spark, sf):
 @query
 def evidence_catalog(spark, sf):
     """The catalog of every complete audit result, one line a row."""
-    return ca.catalog_lines(_Results(spark, sf).contexts())
+    return ca.catalog_lines(_Results(spark, sf).ready().contexts())
 
 
 @query
@@ -722,6 +721,31 @@ class _Results:
     def __init__(self, spark, sf, done=None):
         self.spark, self.sf, self.done = spark, sf, done or _audit(spark, sf)
 
+    def stage(self, *names):
+        """Stage these parts at the same time; none of them may need another one that isn't there yet."""
+        at_once(self.spark, *(lambda name=name: getattr(self, name) for name in names))
+
+    def ready(self):
+        """All parts of a context, in two rounds by what they need."""
+        self.stage("verified", "redone", "answers", "coverage", "per_company", "history")
+        self.stage("completeness", "refined", "analyses")
+        return self
+
+    @cached_property
+    def per_company(self):
+        return _company_evidence(self.spark, self.sf, self.done)
+
+    @cached_property
+    def analyses(self):
+        lists = grounded.analysis_lists(tb.process_analyses(self.spark, self.sf), self.coverage)
+        return staged(lists, "analyses")
+
+    @cached_property
+    def history(self):
+        turns = tb.chat_turns(self.spark, self.sf).filter(F.col("role").isin(*CHAT_ROLES))
+        lists = ch.history_lists(ch.bounded_history(turns)).withColumnRenamed("conv_id", "batch_id")
+        return staged(lists, "history")
+
     @cached_property
     def verified(self):
         return staged(_verified(self.spark, self.sf, self.done), "verified")
@@ -755,34 +779,36 @@ class _Results:
     def rejected(self):
         return self.answers.filter("verdict = 'submission rejected'").select("batch_id").distinct()
 
+    @cached_property
+    def redone(self):
+        """Verdicts on the drafts after refinement."""
+        return staged(_verified(self.spark, self.sf, self.done, refined=True), "refined")
+
     @cached_property
     def refined(self):
-        verified = staged(_verified(self.spark, self.sf, self.done, refined=True), "refined")
         narratives = tb.narratives(self.spark, self.sf)
-        return staged(grounded.refined_reports(verified, narratives, self.rejected()), "refined-reports")
+        return staged(grounded.refined_reports(self.redone, narratives, self.rejected()), "refined-reports")
 
     def reports(self):
         return grounded.active_reports(self.initial, self.refined)
 
     def contexts(self, complete=None, *, initial=False):
         """Contexts of the complete batches, or of ``complete``; with the report before refinement, if ``initial``."""
-        turns = tb.chat_turns(self.spark, self.sf).filter(F.col("role").isin(*CHAT_ROLES))
-        history = ch.history_lists(ch.bounded_history(turns)).withColumnRenamed("conv_id", "batch_id")
         return grounded.contexts(
             self.completeness.filter("ok") if complete is None else complete,
             _documents(self.spark, self.sf),
-            grounded.analysis_lists(tb.process_analyses(self.spark, self.sf), self.coverage),
+            self.analyses,
             self.initial if initial else self.reports(),
             grounded.answer_lists(qs.clarifications(self.answers)),
-            history,
-            _company_evidence(self.spark, self.sf, self.done),
+            self.history,
+            self.per_company,
         )
 
 
 @query
 def verify_chat_answers(spark, sf):
     """Answers in conversations of complete results against the catalogs of those results."""
-    results = _Results(spark, sf)
+    results = _Results(spark, sf).ready()
     complete = results.completeness.filter("ok").select("batch_id")
     answers = tb.chat_answers(spark, sf, results.done.evidence).join(complete, "batch_id", "left_semi")
     answers = staged(answers, "chat-answers")
@@ -810,6 +836,8 @@ def process_coverage(spark, sf):
 def report_limitations(spark, sf):
     """Limitations of the active report of every complete batch."""
     results = _Results(spark, sf)
+    results.stage("verified", "redone", "answers", "coverage")
+    results.stage("completeness", "refined")
     reports = results.reports().join(results.completeness.filter("ok"), "batch_id", "left_semi")
     return reports.select("batch_id", "refined", F.posexplode("report_limitations").alias("line_no", "line"))
 
@@ -822,7 +850,9 @@ def staged_issues(spark, sf):
 
 @query
 def result_complete(spark, sf):
-    return _Results(spark, sf).completeness
+    results = _Results(spark, sf)
+    results.stage("verified", "coverage")
+    return results.completeness
 
 
 def _lines_md5(values):
@@ -833,7 +863,7 @@ def _lines_md5(values):
 def chat_context(spark, sf):
     """Every complete batch's context in figures, with checksums of its texts in their order."""
     turns = F.col("recent_turns")
-    return _Results(spark, sf).contexts().select(
+    return _Results(spark, sf).ready().contexts().select(
         "batch_id",
         "company_id",
         F.size("process_analysis").alias("analyses"),
@@ -854,18 +884,16 @@ def chat_context(spark, sf):
 @query
 def stage_payloads(spark, sf):
     """What each stage's payload holds: counts of its lists, checksums of its texts; null where a part isn't in it."""
-    results = _Results(spark, sf)
+    results = _Results(spark, sf).ready()
     held = results.completeness
     asked = tb.chat_answers(spark, sf, results.done.evidence).select("batch_id", "turn", "question")
-    per_company = _company_evidence(spark, sf, results.done)
     packed = (
         held.filter("evidence").select("batch_id")
         .join(_documents(spark, sf).withColumnRenamed("text", "process_documentation"), "batch_id")
-        .join(per_company, "company_id")
+        .join(results.per_company, "company_id")
         .withColumns({"company_name": F.col("company.name"), "category_evidence": F.col("categories")})
     )
-    analyses = grounded.analysis_lists(tb.process_analyses(spark, sf), results.coverage)
-    covered = packed.join(analyses, "batch_id")
+    covered = packed.join(results.analyses, "batch_id")
     reported = covered.join(results.initial, "batch_id")
     verified = packed.join(held.filter("process_analysis").select("batch_id"), "batch_id", "left_semi").join(
         grounded.recommendation_lists(rc.accepted(results.verified)), "batch_id"
