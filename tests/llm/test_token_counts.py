@@ -51,6 +51,22 @@ def test_only_the_surroundings_are_encoded(counting):
     assert counter.encoded < 10
 
 
+def test_a_kept_tree_is_the_tree(counting):
+    pattern, count, whole = counting
+    built = token_counts.Counter("some words of a long text. " * 2_000, pattern, count)
+    leaves = ([n for block in side for n in block] for side in (built.tree.lengths, built.tree.counts))
+    kept = token_counts.Tree.kept(*leaves, [len(b) for b in built.tree.counts], built.tree.sums())
+    assert (kept.lengths, kept.counts, kept.levels) == (built.tree.lengths, built.tree.counts, built.tree.levels)
+
+    def encoded(piece):
+        assert piece in (" of", " xy", " a", "xy", " xya")
+        return count(piece)
+
+    again = token_counts.Counter(built.text, pattern, encoded, kept)
+    again.edit(27_014, 0, "xy")
+    assert again.total() == whole(again.text) and again.encoded < 4
+
+
 def test_awkward_rows(awkward, nothing, counting):
     whole = counting[2]
     texts = [r["text"] or "" for r in awkward.collect()]
@@ -59,12 +75,51 @@ def test_awkward_rows(awkward, nothing, counting):
         F.lit(None).cast("struct<start:int,length:int,text:string>"),
         F.struct(F.lit(None).cast("int").alias("start"), F.lit(10**9).alias("length"), F.lit(None).cast("string").alias("text")),
     )
-    rows = token_counts.edited(awkward, edits).collect()
-    assert sorted(r["n_tokens"] for r in rows) == sorted(map(whole, texts))
-    assert {(r["n_edited"], r["text_edited"]) for r in rows} == {(0, "")}
-    untouched = token_counts.edited(awkward, F.lit(None).cast(token_counts.EDITS)).collect()
-    assert all(r["n_tokens"] == r["n_edited"] and r["n_encoded"] == 0 for r in untouched)
-    assert token_counts.edited(nothing, edits).collect() == []
+    kept = token_counts.trees(awkward)
+    rows = token_counts.edited(kept, edits).collect()
+    assert sorted(r["n_before"] for r in rows) == sorted(map(whole, texts))
+    assert {(r["n_tokens"], r["n_pieces"], r["text"]) for r in rows} == {(0, 0, "")}
+    untouched = token_counts.edited(kept, F.lit(None).cast(token_counts.EDITS)).collect()
+    assert sorted(r["n_tokens"] for r in untouched) == sorted(map(whole, texts))
+    assert all(r["n_tokens"] == r["n_before"] and r["n_encoded"] == 0 for r in untouched)
+    assert token_counts.edited(token_counts.trees(nothing), edits).collect() == []
+
+
+def test_updates_of_a_folder(spark, counting, tmp_path):
+    whole = counting[2]
+    folder = f"file://{tmp_path}/trees"
+    texts = {i: f"Document {i} " + "some words, 12 of them. " * (i * 40) for i in range(30)} | {None: "no id", 99: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    token_counts.save(token_counts.trees(docs), folder)
+    for at, asked in enumerate(({3: (100, 8, "new"), None: (0, 2, "an"), 7: (0, 0, "x" * 500), 1000: (0, 0, "y")}, {3: (5, 1, "\n\n"), 8: (10**6, 0, " end")}, {})):
+        rows = [(k, [{"start": s, "length": n, "text": t}]) for k, (s, n, t) in asked.items()]
+        files = set(tmp_path.rglob("*.parquet"))
+        found = token_counts.update(spark, folder, spark.createDataFrame(rows, f"key long, edits {token_counts.EDITS}")).collect()
+        assert files <= set(tmp_path.rglob("*.parquet"))
+        for key, (start, length, new) in asked.items():
+            if key in texts:
+                start = min(start, len(texts[key]))
+                texts[key] = texts[key][:start] + new + texts[key][start + length :]
+        assert {r["key"]: r["n_tokens"] for r in found} == {k: whole(texts[k]) for k in asked if k in texts}
+        assert all(0 < r["n_encoded"] < 12 for r in found)
+        held = token_counts.current(spark, folder).collect()
+        assert len(held) == len(texts)
+        assert {r["key"]: (r["text"], r["n_tokens"]) for r in held} == {k: (t, whole(t)) for k, t in texts.items()}
+    twice = spark.createDataFrame([(1, []), (1, [])], f"key long, edits {token_counts.EDITS}")
+    with pytest.raises(ValueError, match="one row"):
+        token_counts.update(spark, folder, twice)
+
+
+def test_patterns_of_ones_own(spark, counting):
+    docs = spark.createDataFrame([(1, "aab ba, abab")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="look_ahead"):
+        token_counts.trees(docs, pattern="[a-z]+|[^a-z]+")
+    kept = token_counts.trees(docs, pattern="[a-z]+|[^a-z]+", look_ahead=1)
+    step = F.array(F.struct(F.lit(3).alias("start"), F.lit(1).alias("length"), F.lit("").alias("text")))
+    row = token_counts.edited(kept, step, pattern="[a-z]+|[^a-z]+", look_ahead=1).first()
+    assert (row["text"], row["lengths"], row["n_pieces_before"]) == ("aabba, abab", [5, 2, 4], 5)
+    with pytest.raises(Exception, match="leaves characters out"):
+        token_counts.trees(docs, pattern="[a-z]+", look_ahead=0).collect()
 
 
 def test_query_against_encoding_anew(spark, sf_dir, counting):

@@ -23,6 +23,7 @@ from ticketlens.llm import (
     whitening,
 )
 from ticketlens.llm.common import crc_fold, table
+from ticketlens.session import staged
 
 SHARDS = 8
 TOXIC_FROM, GOOD_FROM = 0.5, 0.7
@@ -136,15 +137,16 @@ def edits_of(doc_id: Column, text: Column) -> Column:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = token_counts.edited(docs, edits_of(F.col("doc_id"), F.col("text")))
+    """Trees are built and kept; then edits are applied to the kept ones."""
+    kept = staged(token_counts.trees(table(spark, sf_dir, "documents")), "trees")
+    found = token_counts.edited(kept, edits_of(F.col("key"), F.col("text")))
     return found.select(
         F.col("key").alias("doc_id"),
-        "n_tokens",
-        "n_edited",
-        "n_pieces",
+        F.col("n_before").alias("n_tokens"),
+        F.col("n_tokens").alias("n_edited"),
+        F.col("n_pieces_before").alias("n_pieces"),
         "n_encoded",
-        F.sha2(F.col("text_edited").cast("binary"), 256).alias("edited_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("edited_sha256"),
     )
 
 

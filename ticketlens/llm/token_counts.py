@@ -1,31 +1,38 @@
 """Token counts that follow edits without encoding a text anew.
 
 A text is cut into pre-tokens, each of which has a number of tokens. The numbers are the leaves of a segment
-tree, whose root is the text's count. An edit replaces a range of characters. Where a piece ends depends on the
+tree, whose root is the text's count. ``trees`` builds one per document, a row that is kept with the text.
+An edit replaces a range of characters. Where a piece ends depends on the
 characters from its start on, and on at most ``LOOK_AHEAD`` characters beyond its end; so pieces that end
 further before the edit stay. From there the text is cut anew until a cut falls on an old one behind the edit;
 from that on all is as it was. Only the new pieces are encoded, and only sums above changed
-leaves are computed.
+leaves are computed. ``edited`` reads kept trees and gives them in the same form, to be kept again;
+``save``, ``update`` and ``current`` keep them in a folder, where an update writes edited documents alone.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketlens.llm.common import once
+from ticketlens.llm.common import by_rows, once
 
 LOOK_AHEAD = 3  # the longest alternative after an apostrophe has two letters; one more for white space before a word
 BLOCK = 64  # leaves below a node of the lowest level; also the fan-out above
 MEMO_PIECES = 200_000
+FLUSH_PIECES = 1 << 20  # of finished rows, after which a batch is handed on
 EDITS = "array<struct<start:int,length:int,text:string>>"
+_INTS, _SUMS = pa.list_(pa.int32()), pa.list_(pa.struct([("chars", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))]))
+# A kept tree: its leaves, the number of leaves in each block, and the sums of each level from the blocks up.
+TREE = "lengths array<int>, counts array<int>, sizes array<int>, sums array<struct<chars:array<bigint>,tokens:array<bigint>>>"
 
 
 class Tree:
@@ -37,6 +44,21 @@ class Tree:
         self.levels: list[list[tuple[int, int]]] = []
         self._sum_from(0)
 
+    @classmethod
+    def kept(cls, lengths: Sequence[int], counts: Sequence[int], sizes: Sequence[int], sums: Iterable[dict]) -> Tree:
+        """The tree with these leaves, blocks and sums; nothing is added up."""
+        tree = cls.__new__(cls)
+        tree.lengths, tree.counts, at = [], [], 0
+        for size in sizes:
+            tree.lengths.append(lengths[at : at + size])
+            tree.counts.append(counts[at : at + size])
+            at += size
+        tree.levels = [list(zip(level["chars"], level["tokens"], strict=True)) for level in sums]
+        return tree
+
+    def sums(self) -> list[dict]:
+        return [{"chars": [x[0] for x in level], "tokens": [x[1] for x in level]} for level in self.levels]
+
     def _sum_from(self, block: int) -> None:
         """Sums of the nodes above the blocks from ``block`` on, whose number may have changed."""
         old = self.levels
@@ -111,13 +133,24 @@ class Tree:
 
 
 class Counter:
-    """A text with its tree; ``count(piece)`` tells the tokens of a piece."""
-
-    def __init__(self, text: str, pattern: regex.Pattern, count: Callable[[str], int]):
-        self.text, self.pattern, self.count = text, pattern, count
-        pieces = pattern.findall(text)
-        self.tree = Tree([len(p) for p in pieces], [count(p) for p in pieces])
-        self.encoded = 0  # pieces encoded again because of edits
+    """A text with its tree, kept or built; ``count(piece)`` tells the tokens of a piece."""
+
+    def __init__(
+        self,
+        text: str,
+        pattern: regex.Pattern,
+        count: Callable[[str], int],
+        tree: Tree | None = None,
+        look_ahead: int = LOOK_AHEAD,
+    ):
+        self.text, self.pattern, self.count, self.look_ahead = text, pattern, count, look_ahead
+        if tree is None:
+            pieces = [found.group() for found in pattern.finditer(text)]
+            tree = Tree([len(p) for p in pieces], [count(p) for p in pieces])
+            if tree.size() != len(text):
+                raise ValueError("The pattern leaves characters out")
+        self.tree = tree
+        self.encoded = 0  # pieces encoded because of edits
 
     def total(self) -> int:
         return self.tree.total()
@@ -128,7 +161,7 @@ class Counter:
         end = min(start + max(length, 0), len(self.text))
         shift = len(new) - (end - start)
         self.text = self.text[:start] + new + self.text[end:]
-        a, i, begin = self.tree.find(max(0, start - LOOK_AHEAD))
+        a, i, begin = self.tree.find(max(0, start - self.look_ahead))
         lengths: list[int] = []
         counts: list[int] = []
         place = begin
@@ -193,47 +226,147 @@ def _piece_counter(ranks: bytes, pattern: str) -> tuple[regex.Pattern, Callable[
     return regex.compile(pattern), count
 
 
-def edited(
+def _shipped(spark: SparkSession, path: str | None, pattern: str | None, look_ahead: int | None):
+    if pattern is not None and look_ahead is None:
+        raise ValueError("A pattern of one's own needs its look_ahead")
+    with open(path or default_path(), "rb") as file:
+        ranks = file.read()
+    given = LOOK_AHEAD if look_ahead is None else look_ahead
+    return spark.sparkContext.broadcast((ranks, default_pattern() if pattern is None else pattern, given))
+
+
+class _Rows:
+    """Finished rows, handed on as one batch."""
+
+    def __init__(self, schema: pa.Schema):
+        self.schema, self.rows, self.pieces = schema, [], 0
+
+    def add(self, at: int, counter: Counter, *figures: int) -> None:
+        tree = counter.tree
+        counts = np.fromiter((n for block in tree.counts for n in block), np.int32)
+        lengths = np.fromiter((n for block in tree.lengths for n in block), np.int32)
+        sizes = np.fromiter((len(block) for block in tree.counts), np.int32)
+        self.rows.append((at, counter.text, counter.total(), len(counts), *figures, lengths, counts, sizes, tree.sums()))
+        self.pieces += len(counts)
+
+    def batch(self, keys: pa.Array) -> pa.RecordBatch:
+        columns = list(zip(*self.rows, strict=True))
+        taken = keys.take(pa.array(columns[0], pa.int64()))
+        out = [taken, *(pa.array(c, f.type) for c, f in zip(columns[1:], list(self.schema)[1:], strict=True))]
+        self.rows, self.pieces = [], 0
+        return pa.RecordBatch.from_arrays(out, [f.name for f in self.schema])
+
+
+def _mapped(
+    narrow: DataFrame, figures: list[str], work: Callable[[pa.RecordBatch, int, _Rows], None]
+) -> DataFrame:
+    """Rows with trees: ``work`` adds the row at a place of a batch; ``figures`` are whole numbers beside those of a tree."""
+    names = ["n_tokens", "n_pieces", *figures]
+    schema = T.StructType(
+        [
+            narrow.schema["key"],
+            T.StructField("text", T.StringType()),
+            *(T.StructField(n, T.LongType()) for n in names),
+            *T.StructType.fromDDL(TREE),
+        ]
+    )
+    kinds = [("text", pa.string()), *((n, pa.int64()) for n in names)]
+    kinds += [("lengths", _INTS), ("counts", _INTS), ("sizes", _INTS), ("sums", _SUMS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _Rows(pa.schema([("key", batch.column(0).type), *kinds]))
+            for at in range(batch.num_rows):
+                work(batch, at, rows)
+                if rows.pieces >= FLUSH_PIECES:
+                    yield rows.batch(batch.column(0))
+            if rows.rows:
+                yield rows.batch(batch.column(0))
+
+    return narrow.mapInArrow(run, schema)
+
+
+def trees(
     docs: DataFrame,
-    edits: Column,
     key: str = "doc_id",
     text: str = "text",
     path: str | None = None,
     pattern: str | None = None,
+    look_ahead: int | None = None,
 ) -> DataFrame:
-    """``key, n_tokens, n_edited, n_pieces, n_encoded, text_edited`` for every row.
+    """``key, text, n_tokens, n_pieces`` and the columns of ``TREE`` for every row, to be kept.
+
+    Null texts count as empty; rows with equal keys have a tree each; an empty table gives none. A ``pattern`` of one's own needs
+    ``look_ahead``: the greatest number of characters behind the end of a piece that it may look at. It must not look before
+    the start of a piece. One that leaves characters out is an error of the job.
+    """
+    shipped = _shipped(docs.sparkSession, path, pattern, look_ahead)
+
+    def work(batch: pa.RecordBatch, at: int, rows: _Rows) -> None:
+        ranks, pieces, ahead = shipped.value
+        rows.add(at, Counter(batch.column(1)[at].as_py(), *piece_counter(ranks, pieces), look_ahead=ahead))
+
+    narrow = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return _mapped(narrow, [], work)
 
-    ``edits`` is a column of type ``EDITS``, applied in order; places are in code points of the text as the earlier
-    edits left it, null fields count as 0 or the empty text, a null array as none. ``n_tokens`` and
-    ``n_edited`` are the counts before and after, ``n_pieces`` the pre-tokens before, ``n_encoded``
-    those encoded because of edits. Null texts count as empty, an empty table gives none.
 
-    A ``pattern`` of one's own must cover the whole text and must not look further than ``LOOK_AHEAD`` characters behind the
-    end of a piece, nor before its start; with others the counts after edits may be wrong. This isn't checked.
+def edited(
+    kept: DataFrame, edits: Column, path: str | None = None, pattern: str | None = None, look_ahead: int | None = None
+) -> DataFrame:
+    """The trees after ``edits``, in the form of ``trees``, with ``n_before``, ``n_pieces_before`` (tokens, pieces) and ``n_encoded``.
+
+    ``edits`` is a column of type ``EDITS`` over ``kept``, applied in order; places are in code points of the text as the earlier
+    edits left it, null fields count as 0 or the empty text, a null array or edit as none. What lies outside the text is left
+    out. ``n_encoded`` are the pieces encoded because of edits; no other piece is cut or encoded. The other arguments must
+    be those of ``trees``.
     """
-    with open(path or default_path(), "rb") as file:
-        shipped = docs.sparkSession.sparkContext.broadcast((file.read(), pattern or default_pattern()))
-    narrow = docs.select(
-        F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), edits.cast(EDITS).alias("edits")
-    )
-    names = ["n_tokens", "n_edited", "n_pieces", "n_encoded"]
-    schema = T.StructType(
-        [narrow.schema["key"], *(T.StructField(n, T.LongType()) for n in names), T.StructField("text_edited", T.StringType())]
-    )
+    shipped = _shipped(kept.sparkSession, path, pattern, look_ahead)
+    leaves = ("lengths", "counts", "sizes")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, count = piece_counter(*shipped.value)
-        for batch in batches:
-            rows = []
-            for one, steps in zip(batch.column(1), batch.column(2), strict=True):
-                counter = Counter(one.as_py(), pieces, count)
-                before, n_pieces = counter.total(), sum(map(len, counter.tree.counts))
-                for step in steps.as_py() or ():
-                    if step is not None:
-                        counter.edit(step["start"] or 0, step["length"] or 0, step["text"] or "")
-                rows.append((before, counter.total(), n_pieces, counter.encoded, counter.text))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            arrays = [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(columns[4], pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["key", *names, "text_edited"])
+    def work(batch: pa.RecordBatch, at: int, rows: _Rows) -> None:
+        ranks, pieces, ahead = shipped.value
+        found = [batch.column(2 + i)[at].values.to_numpy().tolist() for i in range(len(leaves))]
+        tree = Tree.kept(*found, batch.column(5)[at].as_py())
+        counter = Counter(batch.column(1)[at].as_py(), *piece_counter(ranks, pieces), tree, ahead)
+        before = counter.total(), len(found[1])
+        for step in batch.column(6)[at].as_py() or ():
+            if step is not None:
+                counter.edit(step["start"] or 0, step["length"] or 0, step["text"] or "")
+        rows.add(at, counter, *before, counter.encoded)
 
-    return narrow.mapInArrow(run, schema)
+    narrow = kept.select("key", "text", *leaves, "sums", edits.cast(EDITS).alias("edits"))
+    return _mapped(narrow, ["n_before", "n_pieces_before", "n_encoded"], work)
+
+
+KEPT = ("key", "text", "n_tokens", "n_pieces", "lengths", "counts", "sizes", "sums")
+
+
+def save(found: DataFrame, folder: str, version: int = 0) -> None:
+    """Keep trees in a folder all executors can reach, as one version of it."""
+    found.select(*KEPT).write.parquet(f"{folder}/version={version}")
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame:
+    """The trees of a folder as its updates left them: of every key the rows of its newest version."""
+    rows = spark.read.parquet(folder)
+    newer = rows.filter("version > 0").groupBy(F.col("key").alias("_key")).agg(F.max("version").alias("_version"))
+    replaced = F.col("key").eqNullSafe(F.col("_key")) & (F.col("version") < F.col("_version"))
+    return rows.join(by_rows(newer), replaced, "left_anti").select(*KEPT)
+
+
+def update(spark: SparkSession, folder: str, edits: DataFrame, **tokenizer) -> DataFrame:
+    """Apply ``(key, edits)`` to the trees of a folder, and give ``key, n_before, n_tokens, n_encoded`` of the edited rows.
+
+    Only trees of documents with edits are read by tasks and written, as the folder's next version; files of earlier ones stay.
+    A null key means the rows without one; keys that the folder lacks have no effect. Two rows with the same key are an error.
+    """
+    asked = edits.select(F.col("key").alias("_key"), F.col("edits").cast(EDITS).alias("_edits"))
+    if not asked.groupBy("_key").count().filter("count > 1").isEmpty():
+        raise ValueError("Edits of a document must be in one row")
+    version = spark.read.parquet(folder).agg(F.max("version")).first()[0]
+    rows = current(spark, folder).join(asked, F.col("key").eqNullSafe(F.col("_key")))
+    path = f"{folder}/version={version + 1}"
+    after = edited(rows, F.col("_edits"), **tokenizer)
+    # n_before and n_encoded are of this version alone, so a reader of all versions doesn't see them.
+    after.select(*KEPT, "n_before", "n_encoded").write.parquet(path)
+    return spark.read.parquet(path).select("key", "n_before", "n_tokens", "n_encoded")
