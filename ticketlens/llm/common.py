@@ -45,6 +45,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES, -1), "")
 
 
+def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Bound batches that go to Python workers by bytes, unless the session does; the setting stays with the session."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting, None) is None:
+        spark.conf.set(setting, str(limit))
+
+
 def by_rows(narrow: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The table marked for broadcast if its counted rows allow it, else as it is.
 

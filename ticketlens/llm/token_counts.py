@@ -23,12 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketlens.llm.common import by_rows, once
+from ticketlens.llm.common import by_rows, once, small_batches
 
 LOOK_AHEAD = 3  # the longest alternative after an apostrophe has two letters; one more for white space before a word
 BLOCK = 64  # leaves below a node of the lowest level; also the fan-out above
 MEMO_PIECES = 200_000
-FLUSH_PIECES = 1 << 20  # of finished rows, after which a batch is handed on
+FLUSH_PIECES = 1 << 17  # of finished rows, after which a batch is handed on
 EDITS = "array<struct<start:int,length:int,text:string>>"
 _INTS, _SUMS = pa.list_(pa.int32()), pa.list_(pa.struct([("chars", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))]))
 # A kept tree: its leaves, the number of leaves in each block, and the sums of each level from the blocks up.
@@ -283,6 +283,7 @@ def _mapped(
             if rows.rows:
                 yield rows.batch(batch.column(0))
 
+    small_batches(narrow.sparkSession)
     return narrow.mapInArrow(run, schema)
 
 
