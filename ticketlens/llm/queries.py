@@ -23,7 +23,7 @@ from ticketlens.llm import (
     whitening,
 )
 from ticketlens.llm.common import crc_fold, table
-from ticketlens.session import staged
+from ticketlens.session import shared_folder
 
 SHARDS = 8
 TOXIC_FROM, GOOD_FROM = 0.5, 0.7
@@ -138,8 +138,9 @@ def edits_of(doc_id: Column, text: Column) -> Column:
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees are built and kept; then edits are applied to the kept ones."""
-    kept = staged(token_counts.trees(table(spark, sf_dir, "documents")), "trees")
-    found = token_counts.edited(kept, edits_of(F.col("key"), F.col("text")))
+    folder = shared_folder(spark, "trees")
+    token_counts.save(token_counts.trees(table(spark, sf_dir, "documents")), folder)
+    found = token_counts.edited(token_counts.current(spark, folder), edits_of(F.col("key"), F.col("text")))
     return found.select(
         F.col("key").alias("doc_id"),
         F.col("n_before").alias("n_tokens"),

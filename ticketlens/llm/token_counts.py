@@ -344,7 +344,7 @@ KEPT = ("key", "text", "n_tokens", "n_pieces", "lengths", "counts", "sizes", "su
 
 def save(found: DataFrame, folder: str, version: int = 0) -> None:
     """Keep trees in a folder all executors can reach, as one version of it."""
-    found.select(*KEPT).write.parquet(f"{folder}/version={version}")
+    found.select(*KEPT).write.option("compression", "zstd").parquet(f"{folder}/version={version}")
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
@@ -369,5 +369,5 @@ def update(spark: SparkSession, folder: str, edits: DataFrame, **tokenizer) -> D
     path = f"{folder}/version={version + 1}"
     after = edited(rows, F.col("_edits"), **tokenizer)
     # n_before and n_encoded are of this version alone, so a reader of all versions doesn't see them.
-    after.select(*KEPT, "n_before", "n_encoded").write.parquet(path)
+    after.select(*KEPT, "n_before", "n_encoded").write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path).select("key", "n_before", "n_tokens", "n_encoded")
