@@ -14,11 +14,13 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,7 +147,8 @@ class Counter:
     ):
         self.text, self.pattern, self.count, self.look_ahead = text, pattern, count, look_ahead
         if tree is None:
-            pieces = [found.group() for found in pattern.finditer(text)]
+            # Without groups findall gives whole matches, faster.
+            pieces = [found.group() for found in pattern.finditer(text)] if pattern.groups else pattern.findall(text)
             tree = Tree([len(p) for p in pieces], [count(p) for p in pieces])
             if tree.size() != len(text):
                 raise ValueError("The pattern leaves characters out")
@@ -236,15 +239,16 @@ def _shipped(spark: SparkSession, path: str | None, pattern: str | None, look_ah
 
 
 class _Rows:
-    """Finished rows, handed on as one batch."""
+    """Finished rows, handed on as one batch, and what they are counted with."""
 
-    def __init__(self, schema: pa.Schema):
+    def __init__(self, schema: pa.Schema, ranks: bytes, pattern: str, ahead: int):
         self.schema, self.rows, self.pieces = schema, [], 0
+        self.counting, self.ahead = piece_counter(ranks, pattern), ahead
 
     def add(self, at: int, counter: Counter, *figures: int) -> None:
         tree = counter.tree
-        counts = np.fromiter((n for block in tree.counts for n in block), np.int32)
-        lengths = np.fromiter((n for block in tree.lengths for n in block), np.int32)
+        counts = np.fromiter(chain.from_iterable(tree.counts), np.int32)
+        lengths = np.fromiter(chain.from_iterable(tree.lengths), np.int32)
         sizes = np.fromiter((len(block) for block in tree.counts), np.int32)
         self.rows.append((at, counter.text, counter.total(), len(counts), *figures, lengths, counts, sizes, tree.sums()))
         self.pieces += len(counts)
@@ -258,7 +262,7 @@ class _Rows:
 
 
 def _mapped(
-    narrow: DataFrame, figures: list[str], work: Callable[[pa.RecordBatch, int, _Rows], None]
+    narrow: DataFrame, shipped: Broadcast, figures: list[str], work: Callable[[pa.RecordBatch, int, _Rows], None]
 ) -> DataFrame:
     """Rows with trees: ``work`` adds the row at a place of a batch; ``figures`` are whole numbers beside those of a tree."""
     names = ["n_tokens", "n_pieces", *figures]
@@ -275,7 +279,7 @@ def _mapped(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = _Rows(pa.schema([("key", batch.column(0).type), *kinds]))
+            rows = _Rows(pa.schema([("key", batch.column(0).type), *kinds]), *shipped.value)
             for at in range(batch.num_rows):
                 work(batch, at, rows)
                 if rows.pieces >= FLUSH_PIECES:
@@ -304,11 +308,10 @@ def trees(
     shipped = _shipped(docs.sparkSession, path, pattern, look_ahead)
 
     def work(batch: pa.RecordBatch, at: int, rows: _Rows) -> None:
-        ranks, pieces, ahead = shipped.value
-        rows.add(at, Counter(batch.column(1)[at].as_py(), *piece_counter(ranks, pieces), look_ahead=ahead))
+        rows.add(at, Counter(batch.column(1)[at].as_py(), *rows.counting, look_ahead=rows.ahead))
 
     narrow = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return _mapped(narrow, [], work)
+    return _mapped(narrow, shipped, [], work)
 
 
 def edited(
@@ -325,10 +328,9 @@ def edited(
     leaves = ("lengths", "counts", "sizes")
 
     def work(batch: pa.RecordBatch, at: int, rows: _Rows) -> None:
-        ranks, pieces, ahead = shipped.value
         found = [batch.column(2 + i)[at].values.to_numpy().tolist() for i in range(len(leaves))]
         tree = Tree.kept(*found, batch.column(5)[at].as_py())
-        counter = Counter(batch.column(1)[at].as_py(), *piece_counter(ranks, pieces), tree, ahead)
+        counter = Counter(batch.column(1)[at].as_py(), *rows.counting, tree, rows.ahead)
         before = counter.total(), len(found[1])
         for step in batch.column(6)[at].as_py() or ():
             if step is not None:
@@ -336,7 +338,7 @@ def edited(
         rows.add(at, counter, *before, counter.encoded)
 
     narrow = kept.select("key", "text", *leaves, "sums", edits.cast(EDITS).alias("edits"))
-    return _mapped(narrow, ["n_before", "n_pieces_before", "n_encoded"], work)
+    return _mapped(narrow, shipped, ["n_before", "n_pieces_before", "n_encoded"], work)
 
 
 KEPT = ("key", "text", "n_tokens", "n_pieces", "lengths", "counts", "sizes", "sums")
