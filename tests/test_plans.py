@@ -7,8 +7,9 @@ from helpers import golden
 from ticketlens.operators import chat as ch
 from ticketlens.operators import metrics as me
 from ticketlens.operators import quality as qu
+from ticketlens.operators import questions as qs
 from ticketlens.operators import recommendations as rc
-from ticketlens.plans import audit
+from ticketlens.plans import audit, grounded
 from ticketlens.sources.dimensions import factor_table
 from ticketlens.workloads import queries as registered
 from ticketlens.workloads import tables as tb
@@ -88,6 +89,56 @@ def test_draft_texts_are_not_shuffled_for_verdicts(spark, tmp_path):
     assert "current_workflow" in "".join(lines[join:])
 
 
+@pytest.fixture
+def by_batch(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(tb, "PER_BUCKET", 50)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    yield tb.by_batch(spark, sf_dir)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_documents_by_batch_are_the_documents(spark, sf_dir, by_batch):
+    plain, laid = tb.table(spark, sf_dir, "documents"), tb.table(spark, by_batch, "documents")
+    assert by_batch.parts == 4 and laid.schema == plain.schema
+    assert sorted(laid.collect()) == sorted(plain.collect())
+    assert not any("documents_by_batch" in t.name for t in spark.catalog.listTables())
+
+
+def test_what_documents_by_batch_give_is_not_moved_again(spark, by_batch):
+    # As small as staged evidence of companies is.
+    evidence = F.broadcast(_evidence(spark))
+    categories = F.broadcast(qs.company_categories(_evidence(spark)))
+    accepted = rc.accepted(rc.verify_recommendations(tb.recommendation_drafts(spark, by_batch, evidence), evidence))
+    questions = qs.verify_questions(tb.question_drafts(spark, by_batch), categories).filter("verdict = 'accepted'")
+    answers = qs.verify_answers(tb.clarification_answers(spark, by_batch), questions)
+    for frame in (accepted, grounded.recommendation_lists(accepted), questions, answers):
+        assert "Exchange hashpartitioning(batch_id" not in plan(frame)
+
+
+def test_contexts_move_no_text(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(tb, "PER_BUCKET", 50)
+    results = registered._Results(spark, sf_dir).ready()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "30k")
+    try:
+        lines = plan(results.contexts()).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [line for line in lines if "Exchange hashpartitioning(batch_id" in line or "Exchange hashpartitioning(doc_id" in line]
+    # The ids of complete batches and the histories, which come from conversations.
+    assert len(moved) <= 2
+
+
+def test_duplicates_are_told_by_category_within_a_batch(spark):
+    """Null ids are equal to each other, as in a grouping."""
+    rows = [(1, 0, "a"), (1, 1, "b"), (1, 2, "a"), (2, 0, None), (2, 1, None), (2, 2, "a")]
+    drafts = spark.createDataFrame(
+        [(b, p, "asia", q, "Who approves this?", ["view"]) for b, p, q in rows],
+        "batch_id bigint, pos int, company_id string, question_id string, question string, related_categories array<string>",
+    )
+    found = qs.verify_questions(drafts, qs.company_categories(_evidence(spark))).orderBy("batch_id", "pos")
+    assert [r.verdict for r in found.collect()] == ["accepted", "accepted", "duplicate", "accepted", "duplicate", "accepted"]
+
+
 def _evidence(spark):
     return spark.createDataFrame(
         [("asia", "view", ["Ticket count: 1", "Automation score: 1.00/100"])],

@@ -25,7 +25,7 @@ from ticketlens.operators import recommendations as rc
 from ticketlens.operators import report as rp
 from ticketlens.operators import scoring as sc
 from ticketlens.plans import audit, grounded, intake, maintained
-from ticketlens.session import at_once, shared_folder, staged
+from ticketlens.session import at_once, shared_folder, staged, staged_by
 from ticketlens.sources import companies as co
 from ticketlens.sources import documents as do
 from ticketlens.sources import folders as fo
@@ -457,7 +457,7 @@ def evidence_checksum(spark, sf):
     done = _audit(spark, sf)
     results = _Results(spark, sf, done).ready()
     parts = F.to_json(F.struct(*grounded.EVIDENCE), {"ignoreNullFields": "false"}).alias("package")
-    packed = _documents(spark, sf).join(results.per_company, "company_id").select(
+    packed = _documents(spark, results.sf).join(results.per_company, "company_id").select(
         "batch_id",
         F.col("company.name").alias("company_name"),
         "audit_summary",
@@ -716,10 +716,16 @@ def _coverage(spark, sf, done=None):
 
 
 class _Results:
-    """Grounded results of all batches; what several parts of a query read is staged once."""
+    """Grounded results of all batches; what several parts of a query read is staged once.
+
+    ``sf`` is the folder with its documents laid out by batch. What has texts is staged in the same buckets.
+    """
 
     def __init__(self, spark, sf, done=None):
-        self.spark, self.sf, self.done = spark, sf, done or _audit(spark, sf)
+        self.spark, self.sf, self.done = spark, tb.by_batch(spark, sf), done or _audit(spark, sf)
+
+    def laid(self, frame, name):
+        return staged_by(frame, name, "batch_id", self.sf.parts)
 
     def stage(self, *names):
         """Stage these parts at the same time; none of them may need another one that isn't there yet."""
@@ -738,7 +744,7 @@ class _Results:
     @cached_property
     def analyses(self):
         lists = grounded.analysis_lists(tb.process_analyses(self.spark, self.sf), self.coverage)
-        return staged(lists, "analyses")
+        return self.laid(lists, "analyses")
 
     @cached_property
     def history(self):
@@ -748,11 +754,11 @@ class _Results:
 
     @cached_property
     def verified(self):
-        return staged(_verified(self.spark, self.sf, self.done), "verified")
+        return self.laid(_verified(self.spark, self.sf, self.done), "verified")
 
     @cached_property
     def answers(self):
-        return staged(_answers(self.spark, self.sf, self.done), "answers")
+        return self.laid(_answers(self.spark, self.sf, self.done), "answers")
 
     @cached_property
     def coverage(self):
@@ -761,7 +767,7 @@ class _Results:
     @cached_property
     def initial(self):
         narratives = tb.narratives(self.spark, self.sf)
-        return staged(grounded.initial_reports(rc.accepted(self.verified), narratives), "initial")
+        return self.laid(grounded.initial_reports(rc.accepted(self.verified), narratives), "initial")
 
     @cached_property
     def completeness(self):
@@ -782,12 +788,12 @@ class _Results:
     @cached_property
     def redone(self):
         """Verdicts on the drafts after refinement."""
-        return staged(_verified(self.spark, self.sf, self.done, refined=True), "refined")
+        return self.laid(_verified(self.spark, self.sf, self.done, refined=True), "refined")
 
     @cached_property
     def refined(self):
         narratives = tb.narratives(self.spark, self.sf)
-        return staged(grounded.refined_reports(self.redone, narratives, self.rejected()), "refined-reports")
+        return self.laid(grounded.refined_reports(self.redone, narratives, self.rejected()), "refined-reports")
 
     def reports(self):
         return grounded.active_reports(self.initial, self.refined)
@@ -810,7 +816,7 @@ def verify_chat_answers(spark, sf):
     """Answers in conversations of complete results against the catalogs of those results."""
     results = _Results(spark, sf).ready()
     complete = results.completeness.filter("ok").select("batch_id")
-    answers = tb.chat_answers(spark, sf, results.done.evidence).join(complete, "batch_id", "left_semi")
+    answers = tb.chat_answers(spark, results.sf, results.done.evidence).join(complete, "batch_id", "left_semi")
     answers = staged(answers, "chat-answers")
     spoken = complete.join(answers.select("batch_id").distinct(), "batch_id", "left_semi")
     foreign = ch.foreign_lines(answers, results.contexts(spoken))
@@ -886,10 +892,10 @@ def stage_payloads(spark, sf):
     """What each stage's payload holds: counts of its lists, checksums of its texts; null where a part isn't in it."""
     results = _Results(spark, sf).ready()
     held = results.completeness
-    asked = tb.chat_answers(spark, sf, results.done.evidence).select("batch_id", "turn", "question")
+    asked = tb.chat_answers(spark, results.sf, results.done.evidence).select("batch_id", "turn", "question")
     packed = (
         held.filter("evidence").select("batch_id")
-        .join(_documents(spark, sf).withColumnRenamed("text", "process_documentation"), "batch_id")
+        .join(_documents(spark, results.sf).withColumnRenamed("text", "process_documentation"), "batch_id")
         .join(results.per_company, "company_id")
         .withColumns({"company_name": F.col("company.name"), "category_evidence": F.col("categories")})
     )

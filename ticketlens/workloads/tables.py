@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketlens.operators import metrics as me
+from ticketlens.session import staged_by
 from ticketlens.sources.dimensions import factor_table
 from ticketlens.sources.schemas import COMPANY
 from ticketlens.sources.tickets import CORRUPT
@@ -28,7 +29,29 @@ FACTORS = (
 OUTSIDE = "parking permits"
 
 
+# Documents of a bucket, at least; large inputs have as many buckets as there are shuffle partitions.
+PER_BUCKET = 1000
+
+
+class ByBatch(str):
+    """A folder of tables whose documents are also laid out by their id, in ``parts`` buckets."""
+
+    documents: DataFrame
+    parts: int
+
+
+def by_batch(spark: SparkSession, sf_dir: str) -> ByBatch:
+    """The folder with its documents shuffled and written once by id, so that what is derived from them isn't moved for joins by batch."""
+    documents = table(spark, sf_dir, "documents")
+    folder = ByBatch(sf_dir)
+    folder.parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // PER_BUCKET)))
+    folder.documents = staged_by(documents.repartition(folder.parts, "doc_id"), "documents-by-batch", "doc_id", folder.parts)
+    return folder
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "documents" and isinstance(sf_dir, ByBatch):
+        return sf_dir.documents
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
