@@ -434,6 +434,7 @@ def _packages(spark, sf, done=None):
 @query
 def evidence_row_free(spark, sf):
     """Column names and id prefixes of raw tickets, and texts of tickets, in packages."""
+    sf = tb.by_batch(spark, sf)
     named = ev.raw_row_mentions(_packages(spark, sf), ["batch_id"], ("ticket_id", "created_at", "TKT-"))
     quoted = (
         ev.quoted_tickets(_documents(spark, sf), ["batch_id"], tb.tickets(spark, sf).select("description"))
