@@ -16,16 +16,32 @@ from ticketlens.fixed_values import BULLET_START, CATALOG_PROCESS
 from ticketlens.functions.text import LINE_BREAK, lines, strip
 
 _REST = 2**31 - 1
+# Folders among which documents written one a file are dealt, so that folders are listed and files written by many tasks.
+FOLDERS = 256
 _LABEL = r"^- \*\*(.+?):\*\*\s*(.*)$"
 
 
-def read_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Whole files as ``(path, text)``, stripped."""
-    return spark.read.text(paths, wholetext=True).select(
+def read_documents(spark: SparkSession, paths: str | Sequence[str], *, nested: bool = False) -> DataFrame:
+    """Whole files as ``(path, text)``, stripped; with ``nested``, those of all folders below.
+
+    Folders below are listed by as many tasks as the path has subfolders, and their names aren't taken for partition columns.
+    """
+    return spark.read.text(paths, wholetext=True, recursiveFileLookup=nested).select(
         F.col("_metadata.file_path").alias("path"), strip(F.col("value")).alias("text")
     )
 
 
+def write_documents(documents: DataFrame, path: str, key: str) -> None:
+    """One file for each key, as ``<path>/group=…/<key>=…/part-….txt``; ``path`` is a fresh folder.
+
+    Files cost far more than bytes, so keys are dealt to many tasks, and each task renames its own files when it ends;
+    by default the driver would rename them all, one after another.
+    """
+    group = F.pmod(F.xxhash64(key), F.lit(FOLDERS))
+    rows = documents.select(group.alias("group"), key, "text").repartition(FOLDERS, "group")
+    rows.write.partitionBy("group", key).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+
+
 def stripped_documents(documents: DataFrame) -> DataFrame:
     return documents.withColumn("text", strip(F.col("text"))).withColumn(
         "is_empty", F.length("text") == 0

@@ -525,9 +525,9 @@ def evidence_catalog(spark, sf):
 def read_documents(spark, sf):
     """Process documents written as one file each by batch, and read back as whole texts."""
     path = shared_folder(spark, "documents")
-    tb.process_documents(spark, sf).select("batch_id", "text").write.partitionBy("batch_id").text(path)
+    do.write_documents(tb.process_documents(spark, sf), path, "batch_id")
     number = F.regexp_extract("path", "batch_id=(-?[0-9]+)", 1).cast("bigint")
-    read = do.read_documents(spark, path).select(number.alias("batch_id"), "text")
+    read = do.read_documents(spark, path, nested=True).select(number.alias("batch_id"), "text")
     return do.stripped_documents(read)
 
 
